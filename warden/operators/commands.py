@@ -209,9 +209,15 @@ def decided(checks_: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
 
 
 def strongest(rows: DataFrame) -> DataFrame:
-    """A2: strongest decision per call; the last unit wins a tie, the first check inside it."""
+    """A2: strongest decision per call; the last unit wins a tie, the first check inside it.
+
+    Checks without a decision get no order and lose, so the long decision expression
+    is evaluated once and not again for a filter.
+    """
     order = F.struct(S.col(rank(S.ref("decision")["effect"])).alias("r"), F.col("pos"), (-F.col("idx")).alias("i"))
-    return rows.where("decision is not null").groupBy("call_id").agg(F.max_by("decision", order).alias("decision"))
+    best = rows.groupBy("call_id").agg(
+        F.max_by("decision", F.when(F.col("decision").isNotNull(), order)).alias("decision"))
+    return best.where("decision is not null")
 
 
 def verdicts(calls: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
@@ -232,9 +238,11 @@ def decisions(calls: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
     value = S.when(no_query, decision("deny", "sql.ambiguous", "high", "sql")).when(open_, first)
     relevant = calls.where(S.col(open_ | (kind == "shell_execute")))
     by_query = relevant.withColumn("decision", S.col(value))
-    settled = by_query.where("decision is not null").select("call_id", "decision", F.lit(1).alias("first"))
+    settled = by_query.select("call_id", "decision", F.lit(1).alias("first"))
     by_command = verdicts(relevant, rules).select("call_id", "decision", F.lit(0).alias("first"))
-    return settled.unionByName(by_command).groupBy("call_id").agg(F.max_by("decision", "first").alias("decision"))
+    best = settled.unionByName(by_command).groupBy("call_id").agg(
+        F.max_by("decision", F.when(F.col("decision").isNotNull(), F.col("first"))).alias("decision"))
+    return best.where("decision is not null")
 
 
 def sinks(calls: DataFrame) -> DataFrame:

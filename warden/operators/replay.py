@@ -12,9 +12,6 @@ from warden.functions.decisions import (
 from warden.functions.paths import basename, normalize
 from warden.functions.sql import Sql
 
-FIELDS = ("effect", "rule_id", "severity", "category", "policy_layer", "reason", "matched_path")
-
-
 def _built_in(paths: Sql, capability: Sql, mcp: Sql, rules: RuleSet) -> Sql:
     bulk = (capability == "file_search") & (
         (S.size(paths) == 0) | S.exists(paths, lambda p: ~S.contains(basename(p), "."))
@@ -84,8 +81,9 @@ def decide(calls: DataFrame, rules: RuleSet = RuleSet(), command: DataFrame | No
         .otherwise(default))
     drop = ["_paths", "_early", "_org", "_project", "_command"]
     done = staged.withColumn("_decision", S.col(final)).drop(*drop)
-    return done.select(*[c for c in done.columns if c != "_decision"],
-                       *[F.col(f"_decision.{f}").alias(f) for f in FIELDS])
+    # As a generated row the decision is computed once; a later filter on it cannot
+    # copy the whole ladder into the scan.
+    return done.select(*[c for c in done.columns if c != "_decision"], F.inline_outer(F.array("_decision")))
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:

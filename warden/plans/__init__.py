@@ -1,0 +1 @@
+"""Plans over the given tables."""
