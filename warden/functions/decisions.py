@@ -24,7 +24,7 @@ def decision(effect: str, rule_id: str | Sql, severity: str, category: str, laye
         F.lit(effect).alias("effect"), F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"),
         F.lit(category).alias("category"), F.lit(layer).alias("policy_layer"), F.lit(reason).alias("reason"),
         (F.lit(None).cast("string") if path is None else path).alias("matched_path"),
-    ).cast(DECISION)
+    )
 
 
 def none() -> Sql:
@@ -148,6 +148,16 @@ def path_decision(path: Sql, operation: str, rules: RuleSet, project: Sql | None
     return F.when(path.rlike(any_regex), ladder).otherwise(none())
 
 
+def first_rule_id(path: Sql, rules: list[PathRule]) -> Sql:
+    """Id of the first rule that matches a path, without the rest of its decision."""
+    ladder = None
+    for rule in rules:
+        ladder = F.when(path.rlike(rule.regex()), rule.rule_id) if ladder is None else ladder.when(
+            path.rlike(rule.regex()), rule.rule_id)
+    any_regex = match_regex([compile_path(p).body for r in rules for p in r.patterns])
+    return F.when(path.rlike(any_regex), ladder)
+
+
 def tree_decision(path: Sql, raw: Sql, rules: RuleSet, project: Sql | None = None) -> Sql:
     """A delete or move of a directory that holds protected descendants."""
     ladder = None

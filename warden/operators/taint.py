@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from warden.functions import sql as S
-from warden.functions.decisions import RuleSet, path_decision, rank
+from warden.functions.decisions import RuleSet, first_rule_id, rank
 from warden.functions.paths import normalize
 from warden.functions.sql import Sql
 from warden.functions.statements import sensitive_tables, table_categories
@@ -30,7 +30,7 @@ def order_key(ts: str = "ts", seq: str = "seq") -> Column:
 
 def path_source(path: Sql, rules: RuleSet = RuleSet()) -> Sql:
     """The source id of a protected path, by the rules that guard reads."""
-    return path_decision(path, "read", rules)["rule_id"]
+    return first_rule_id(path, [r for layer in ("built_in", "organization") for r in rules.of(layer, "read")])
 
 
 def source_categories(source_id: Sql) -> Sql:
@@ -79,10 +79,8 @@ def first_seen(events: DataFrame) -> DataFrame:
         F.min(F.when(F.array_contains("source_categories", c), F.col("_order"))).alias(f"first_{c}")
         for c in CATEGORIES
     ]
-    firsts = (
-        events.withColumn("_order", order_key())
-        .where("session_id is not null and size(source_categories) > 0").groupBy(*KEY).agg(*marks))
-    return firsts
+    firsts = events.withColumn("_order", order_key()).where("session_id is not null").groupBy(*KEY).agg(*marks)
+    return firsts.where(" or ".join(f"first_{c} is not null" for c in CATEGORIES))
 
 
 def prior(events: DataFrame) -> DataFrame:
