@@ -83,25 +83,25 @@ def j12(spark, folder):
     return frames.refused(derive(spark, folder, MESSAGES)).groupBy("direction", "method").agg(F.count("*").alias("n"))
 
 
-# (frame with @ for the event id, valid, kind, binary payload, safe metadata): golden rows.
+# (frame with # for the event id, valid, kind, binary payload, safe metadata): golden rows.
 RAW = [
-    ('{"jsonrpc":"2.0","id":@,"method":"tools/call","params":{"name":"x"}}', 1, "request", 0, 1),
-    ('{"jsonrpc":"2.0","id":"a@","result":{"content":[{"type":"text","text":"ok"}]}}', 1, "reply", 0, 1),
-    ('{"jsonrpc":"2.0","id":@,"result":{"content":[{"type":"image","data":"AAAA"}]}}', 1, "reply", 1, 1),
-    ('{"jsonrpc":"2.0","id":@,"result":{"x":{"blob":"AA"}}}', 1, "reply", 1, 1),
-    ('{"jsonrpc":"2.0","id":@,"result":{"mimeType":"application/pdf","data":"AA"}}', 1, "reply", 1, 1),
-    ('{"jsonrpc":"2.0","id":@,"result":{"mimeType":"text/plain","data":"AA"}}', 1, "reply", 0, 1),
-    ('{"jsonrpc":"2.0","id":@,"error":{"code":-1,"message":"no"}}', 1, "reply", 0, 1),
-    ('{"jsonrpc":"2.0","id":@,"error":{"message":"no"}}', 0, "reply", 0, 1),
-    ('{"jsonrpc":"2.0","id":@,"result":{},"error":{"code":1,"message":"x"}}', 0, "reply", 0, 1),
-    ('{"jsonrpc":"2.0","method":"notifications/cancelled","params":{"requestId":@}}', 1, "cancel", 0, 1),
-    ('{"jsonrpc":"1.0","id":@,"method":"ping"}', 0, "request", 0, 1),
+    ('{"jsonrpc":"2.0","id":#,"method":"tools/call","params":{"name":"x"}}', 1, "request", 0, 1),
+    ('{"jsonrpc":"2.0","id":"a#","result":{"content":[{"type":"text","text":"ok"}]}}', 1, "reply", 0, 1),
+    ('{"jsonrpc":"2.0","id":#,"result":{"content":[{"type":"image","data":"AAAA"}]}}', 1, "reply", 1, 1),
+    ('{"jsonrpc":"2.0","id":#,"result":{"x":{"blob":"AA"}}}', 1, "reply", 1, 1),
+    ('{"jsonrpc":"2.0","id":#,"result":{"mimeType":"application/pdf","data":"AA"}}', 1, "reply", 1, 1),
+    ('{"jsonrpc":"2.0","id":#,"result":{"mimeType":"text/plain","data":"AA"}}', 1, "reply", 0, 1),
+    ('{"jsonrpc":"2.0","id":#,"error":{"code":-1,"message":"no"}}', 1, "reply", 0, 1),
+    ('{"jsonrpc":"2.0","id":#,"error":{"message":"no"}}', 0, "reply", 0, 1),
+    ('{"jsonrpc":"2.0","id":#,"result":{},"error":{"code":1,"message":"x"}}', 0, "reply", 0, 1),
+    ('{"jsonrpc":"2.0","method":"notifications/cancelled","params":{"requestId":#}}', 1, "cancel", 0, 1),
+    ('{"jsonrpc":"1.0","id":#,"method":"ping"}', 0, "request", 0, 1),
     ('{"jsonrpc":"2.0","id":1.5,"method":"ping"}', 0, "request", 0, 1),
-    ('{"jsonrpc":"2.0","id":@,"method":"initialize","params":{"password":"p@"}}', 1, "request", 0, 0),
-    ('{"jsonrpc":"2.0","id":@,"result":{"tools":[{"inputSchema":{"properties":{"password":{"type":"string"}}}}]}}', 1, "reply", 0, 1),
-    ('{"jsonrpc":"2.0","id":@,"result":{"tools":[{"inputSchema":{"properties":{"password":{"default":"x@"}}}}]}}', 1, "reply", 0, 0),
-    ('{"jsonrpc":"2.0","id":@,"method":"ping","params":{"note":"mail a@b.example"}}', 1, "request", 0, 0),
-    ('not json @', 0, "-", 0, 1),
+    ('{"jsonrpc":"2.0","id":#,"method":"initialize","params":{"password":"p#"}}', 1, "request", 0, 0),
+    ('{"jsonrpc":"2.0","id":#,"result":{"tools":[{"inputSchema":{"properties":{"password":{"type":"string"}}}}]}}', 1, "reply", 0, 1),
+    ('{"jsonrpc":"2.0","id":#,"result":{"tools":[{"inputSchema":{"properties":{"password":{"default":"x#"}}}}]}}', 1, "reply", 0, 0),
+    ('{"jsonrpc":"2.0","id":#,"method":"ping","params":{"note":"mail a@b.example"}}', 1, "request", 0, 0),
+    ('not json #', 0, "-", 0, 1),
 ]
 
 
@@ -111,7 +111,7 @@ def _pick(column: int, index: str = "event_id") -> str:
 
 
 _TEXT = _pick(0).replace("{", "{{").replace("}", "}}")
-RAW_SQL = (f"select event_id, replace({_TEXT}, '@', case when contains({_TEXT}, 'a@b') then '@' else cast(event_id as string) end) "
+RAW_SQL = (f"select event_id, replace({_TEXT}, '#', cast(event_id as string)) "
            "as value from {events}")
 
 

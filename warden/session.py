@@ -14,6 +14,9 @@ SETTINGS = {
     # Hot sessions are split at run time, also where that costs one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Keyed session state outgrows the heap; it lives in RocksDB and is checkpointed.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
