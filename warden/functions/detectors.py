@@ -41,36 +41,27 @@ def strip_ansi(text: Sql) -> Sql:
 
 def unstrip(text: Sql, spans: Sql) -> Sql:
     """Spans of the stripped text, moved back onto the original one."""
-    cuts = F.aggregate(
-        hits(text, ANSI),
-        F.struct(
-            F.lit(0).alias("removed"),
-            F.expr("cast(array() as array<struct<at:int,len:int>>)").alias("out"),
-        ),
-        lambda acc, h: F.struct(
-            (acc["removed"] + F.length(h["value"])).alias("removed"),
-            F.array_append(
-                acc["out"],
-                F.struct((h["at"] - acc["removed"]).alias("at"), F.length(h["value"]).alias("len")),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    pieces = F.zip_with(
+        F.split(text, ANSI, -1), F.regexp_extract_all(text, ANSI, 0),
+        lambda gap, cut: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(cut), F.lit(0)).alias("cut")))
 
-    def moved(position: Sql) -> Sql:
+    def moved(position: Sql, cuts: Sql) -> Sql:
         return position + F.aggregate(
-            cuts, F.lit(0), lambda total, c: total + F.when(c["at"] <= position, c["len"]).otherwise(0)
-        )
+            cuts, F.struct(F.lit(0).alias("plain"), F.lit(0).alias("extra")),
+            lambda acc, c: F.struct(
+                (acc["plain"] + c["gap"]).alias("plain"),
+                (acc["extra"] + F.when(acc["plain"] + c["gap"] <= position, c["cut"]).otherwise(0)).alias("extra")),
+            lambda acc: acc["extra"])
 
-    shifted = F.transform(
+    shifted = F.let(pieces, lambda cuts: F.transform(
         spans,
         lambda s: F.struct(
-            moved(s["start"]).alias("start"), (moved(s["end"] - 1) + 1).alias("end"), s["ord"].alias("ord"),
+            moved(s["start"], cuts).alias("start"), (moved(s["end"] - 1, cuts) + 1).alias("end"), s["ord"].alias("ord"),
             s["rank"].alias("rank"), s["category"].alias("category"), s["detector"].alias("detector"),
             s["confidence"].alias("confidence"),
         ).cast(SPAN),
-    )
-    return F.when(F.contains(text, F.lit("\x1b")) & (F.size(spans) > 0), shifted).otherwise(spans)
+    ))
+    return F.when(F.contains(text, "\x1b") & (F.size(spans) > 0), shifted).otherwise(spans)
 
 
 # a key block up to its own footer, or to the end of the text.
@@ -142,7 +133,9 @@ def _assignment_lines(text: Sql, config: ScanConfig) -> Sql:
             )),
         )
 
-    lines = F.filter(F.transform(hits(text, line), parsed), lambda a: a.isNotNull())
+    sensitive = lambda v: field_class(
+        F.right(trim(F.regexp_extract(v, "^[^=:]*", 0)), F.lit(160)), config).isNotNull()
+    lines = F.filter(F.transform(hits(text, line, sensitive), parsed), lambda a: a.isNotNull())
     return F.when(text.rlike(mark), lines)
 
 
@@ -253,7 +246,7 @@ def _after_key(text: Sql, likely: Sql, key: str, ord_: int, category: str, detec
             h["at"] + F.length(F.regexp_extract(h["value"], "^" + head, 0)),
             h["at"] + F.length(h["value"]), ord_, category, detector,
         ),
-        lambda h: (F.length(h["value"]) - F.length(F.regexp_extract(h["value"], "^" + head, 0))) >= 8,
+        lambda v: (F.length(v) - F.length(F.regexp_extract(v, "^" + head, 0))) >= 8,
     )
 
 
@@ -295,7 +288,7 @@ def database_urls(text: Sql, low: Sql) -> Sql:
 
     return F.concat(*[
         spans_where(text, F.contains(low, F.lit(scheme + "://")), rf"(?i){scheme}://[^/?# \n\r]*+", build,
-                    lambda h: h["value"].rlike(parts))
+                    lambda v: v.rlike(parts))
         for scheme in ("mysql", "mariadb", "postgres", "postgresql")
     ])
 
@@ -353,8 +346,8 @@ def emails(text: Sql) -> Sql:
     address = r"[A-Za-z0-9._\-+]++@[A-Za-z0-9@._\-+]++"
     regex = rf"(?<![^{BREAK_CHARS}])[{TRIM_CHARS}]*+{address}[{TRIM_CHARS}]*+(?![^{BREAK_CHARS}])"
 
-    def dotted(h: Sql) -> Sql:
-        domain = F.regexp_extract(h["value"], r"^[^@]+@([A-Za-z0-9@._\-+]+)", 1)
+    def dotted(value: Sql) -> Sql:
+        domain = F.regexp_extract(value, r"^[^@]+@([A-Za-z0-9@._\-+]+)", 1)
         return F.contains(domain, F.lit(".")) & ~domain.startswith(".") & ~domain.endswith(".")
 
     def build(h: Sql) -> Sql:
@@ -376,19 +369,36 @@ def payment_cards(text: Sql) -> Sql:
                           "financial_data", "financial.payment_card")
 
     return spans_where(text, text.rlike(r"(?:[0-9][ \-]*+){13}"), regex, build,
-                       lambda h: F.luhn_check(F.translate(h["value"], " -", "")))
-
-
-def _mod97(compact: Sql) -> Sql:
-    """Remainder of an account number moved by four places, letters read as 10..35."""
-    moved = F.concat(compact.substr(F.lit(5), F.length(compact)), F.substring(compact, 1, 4))
-    return F.aggregate(
-        F.split(F.upper(moved), "(?<=.)(?=.)"),
-        F.lit(0),
-        lambda acc, c: F.when(
-            c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97
-        ).otherwise((acc * 100 + F.ascii(c) - 55) % 97).cast("int"),
-    )
+                       lambda v: F.luhn_check(F.translate(v, " -", "")))
+
+
+def _account_size(value: Sql) -> Sql:
+    """Written length of the longest prefix that is an account number, NULL without one.
+
+    The first four characters count at the end of the number; they are six digits
+    once letters are read as 10..35, so the remainder of any prefix follows from a
+    running remainder of the characters after them.
+    """
+    digits = lambda c: F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(F.upper(c)) - 55).cast("string"))
+    moved = F.concat(*[digits(F.substring(value, n, 1)) for n in (1, 2)], F.substring(value, 3, 2)).cast("int")
+
+    def walk(six: Sql) -> Sql:
+        def step(acc: Sql, c: Sql) -> Sql:
+            counts = c["char"].rlike("[A-Za-z0-9]")
+            rest = F.when(c["char"].rlike("[0-9]"), acc["rest"] * 10 + F.ascii(c["char"]) - 48).otherwise(
+                acc["rest"] * 100 + F.ascii(F.upper(c["char"])) - 55) % 97
+            return F.when(~counts, acc).otherwise(F.let(rest, lambda r: F.struct(
+                r.cast("int").alias("rest"), (acc["n"] + 1).alias("n"),
+                F.when((acc["n"] + 1 >= 15) & ((r * 1000000 + six) % 97 == 1), c["i"] + 5).otherwise(acc["size"])
+                .cast("int").alias("size"))))
+
+        chars = F.transform(F.split(value.substr(5, F.length(value)), "(?<=.)(?=.)"),
+                            lambda c, i: F.struct(c.alias("char"), i.alias("i")))
+        return F.aggregate(
+            chars, F.struct(F.lit(0).alias("rest"), F.lit(4).alias("n"), F.expr("cast(null as int)").alias("size")),
+            step, lambda acc: acc["size"])
+
+    return F.let(moved, walk)
 
 
 def ibans(text: Sql) -> Sql:
@@ -400,42 +410,21 @@ def ibans(text: Sql) -> Sql:
     run = r"[A-Za-z]{2}[0-9]{2}(?:[ \-]*[A-Za-z0-9]){11,30}"
     zero = rf"(?<![A-Za-z0-9])(?={run})"
     shifted = F.concat(F.lit("\n"), text)
-    found = F.regexp_extract_all(shifted, F.lit(rf"(?<![A-Za-z0-9])(?=({run}))"), F.lit(1))
-    pairs = F.pairs(
-        F.slice(F.split(shifted, zero, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("value")
-    )
+    found = F.regexp_extract_all(shifted, rf"(?<![A-Za-z0-9])(?=({run}))", 1)
+    pairs = F.let(found, lambda f: F.zip_with(
+        F.slice(F.split(shifted, zero, -1), 1, F.size(f)), f,
+        lambda gap, value: F.struct(F.length(gap).alias("gap"), _account_size(value).alias("size"))))
     placed = F.aggregate(
         pairs,
-        F.struct(F.lit(-1).alias("pos"),
-                 F.expr("cast(array() as array<struct<at:int,value:string>>)").alias("out")),
+        F.struct(F.lit(-1).alias("pos"), no_spans().alias("out")),
         lambda acc, p: F.struct(
-            (acc["pos"] + F.length(p["gap"])).alias("pos"),
-            F.array_append(
-                acc["out"],
-                F.struct((acc["pos"] + F.length(p["gap"])).alias("at"), p["value"].alias("value")),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-
-    def ends(value: Sql) -> Sql:
-        """Lengths, in the written form, of the prefixes that pass."""
-        places = F.filter(
-            F.sequence(F.lit(15), F.length(value)),
-            lambda n: value.substr(n, F.lit(1)).rlike("[A-Za-z0-9]"),
-        )
-        compact = lambda n: F.regexp_replace(value.substr(F.lit(1), n), "[ \\-]", "")
-        return F.filter(places, lambda n: (F.length(compact(n)) >= 15) & (_mod97(compact(n)) == 1))
-
-    checked = F.transform(
-        placed, lambda h: F.struct(h["at"].alias("at"), F.array_max(ends(h["value"])).alias("size"))
-    )
-    built = F.transform(
-        F.filter(checked, lambda h: h["size"].isNotNull()),
-        lambda h: fixed_span(h["at"], h["at"] + h["size"], ORDER["iban"], "financial_data", "financial.iban"),
-    )
+            (acc["pos"] + p["gap"]).alias("pos"),
+            F.when(p["size"].isNotNull() & (F.size(acc["out"]) <= MAX_FINDINGS), F.array_append(acc["out"], fixed_span(
+                acc["pos"] + p["gap"], acc["pos"] + p["gap"] + p["size"], ORDER["iban"], "financial_data", "financial.iban")))
+            .otherwise(acc["out"]).alias("out")),
+        lambda acc: acc["out"])
     likely = text.rlike(r"[0-9]{2}(?<=[A-Za-z]{2}[0-9]{2})(?:[ \-]*[A-Za-z0-9]){11}")
-    return F.when(likely, built).otherwise(no_spans())
+    return F.when(likely, placed).otherwise(no_spans())
 
 
 def _ipv6() -> str:

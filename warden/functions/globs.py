@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+_ANYWHERE = "(?:.*/)?"
 _WINDOWS_HEAD = "(?=[A-Za-z]:/|//[^/])"
 
 
@@ -14,7 +15,7 @@ def _body(pattern: str) -> str:
     while rest.startswith("**/"):
         rest = rest[3:]
         if not out:
-            out.append("(?:.*/)?")
+            out.append(_ANYWHERE)
     depth = 0
     pos = 0
     while pos < len(rest):
@@ -73,9 +74,14 @@ class PathGlob:
 
 
 def match_regex(bodies: list[str]) -> str:
-    """One regex for any of ``bodies`` on a normalised path; Windows paths ignore case."""
-    either = "|".join(bodies)
-    return rf"(?s)^/*(?:{either})\z|^{_WINDOWS_HEAD}/*(?i:{either})\z"
+    """One regex for any of ``bodies`` on a normalised path; Windows paths ignore case.
+
+    Patterns that may start at any component share one scan over the components.
+    """
+    floating = [b.removeprefix(_ANYWHERE) for b in bodies if b.startswith(_ANYWHERE)]
+    rooted = [b for b in bodies if not b.startswith(_ANYWHERE)]
+    either = "|".join(([f"{_ANYWHERE}(?:{'|'.join(floating)})"] if floating else []) + rooted)
+    return rf"(?s)^/*+(?:{either})\z|^{_WINDOWS_HEAD}/*+(?i:{either})\z"
 
 
 def glob_to_regex(pattern: str) -> tuple[str, str, str]:
@@ -95,7 +101,7 @@ def compile_path(pattern: str) -> PathGlob:
         raise ValueError("path patterns must be relative and non-empty")
     body = _body(pattern)
     if pattern.endswith("/**"):
-        body = f"(?:{body}|{_body(pattern[:-3])})"
+        body = _body(pattern[:-3]) + "(?:/.*)?"
     bare = pattern[3:] if pattern.startswith("**/") else pattern
     prefix = []
     for part in bare.split("/"):
@@ -115,6 +121,12 @@ def _anchor(bare: str) -> str | None:
     return "ext:" + extension.group(1).lower() if extension else None
 
 
+def tables_regex(plain: list[str], prefixed: list[str]) -> str:
+    """One regex for many table globs, with one scan over the possible prefixes."""
+    join = lambda names: "|".join(".*".join(re.escape(p) for p in n.split("*")) for n in names)
+    return rf"(?is)^(?:(?:.*_)?(?:{join(prefixed)})|{join(plain)})\z"
+
+
 def table_regex(pattern: str, prefixed: bool) -> str:
     """``*`` globs on table names; ``prefixed`` also allows a database prefix."""
     body = ".*".join(re.escape(part) for part in pattern.split("*"))

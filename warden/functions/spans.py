@@ -7,7 +7,7 @@ from collections.abc import Callable
 from warden.functions import sql as F
 from warden.functions.sql import Sql
 
-from warden.vocab import CATEGORY_RANK
+from warden.vocab import CATEGORY_RANK, MAX_FINDINGS
 
 SPAN = (
     "struct<start:int,`end`:int,ord:int,rank:int,category:string,detector:string,confidence:string>"
@@ -40,43 +40,40 @@ def fixed_span(start: Sql, end: Sql, ord_: int, category: str, detector: str,
     ).cast(SPAN)
 
 
-def hits(text: Sql, regex: str) -> Sql:
-    """array<struct(at, value)> of every match; ``at`` counts characters from 0.
+def hits(text: Sql, regex: str, keep: Callable[[Sql], Sql] | None = None) -> Sql:
+    """array<struct(at, value)> of the matches that ``keep`` accepts; ``at`` counts characters from 0.
 
     The pieces between the matches come from the same regex, so a running sum of
-    lengths gives the offsets. The regex must not match the empty string.
+    lengths gives the offsets. The regex must not match the empty string. One match
+    more than the cap of findings is enough: such a text is blocked as a whole, so the
+    list stays short whatever the text holds.
     """
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    pairs = F.pairs(
-        F.slice(F.split(text, regex, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("value")
-    )
+    found = F.regexp_extract_all(text, regex, 0)
+    pairs = F.let(found, lambda f: F.zip_with(
+        F.slice(F.split(text, regex, -1), 1, F.size(f)), f,
+        lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))))
     start = F.struct(
         F.lit(0).alias("pos"),
         F.expr("cast(array() as array<struct<at:int,value:string>>)").alias("out"),
     )
-    return F.aggregate(
-        pairs,
-        start,
-        lambda acc, p: F.struct(
-            (acc["pos"] + F.length(p["gap"]) + F.length(p["value"])).alias("pos"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    (acc["pos"] + F.length(p["gap"])).alias("at"), p["value"].alias("value")
-                ).cast("struct<at:int,value:string>"),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def step(acc: Sql, p: Sql) -> Sql:
+        at = acc["pos"] + F.length(p["gap"])
+        wanted = F.size(acc["out"]) <= MAX_FINDINGS
+        if keep is not None:
+            wanted = wanted & F.coalesce(keep(p["value"]), F.lit(False))
+        return F.struct(
+            (at + F.length(p["value"])).alias("pos"),
+            F.when(wanted, F.array_append(acc["out"], F.struct(at.alias("at"), p["value"].alias("value"))))
+            .otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
 def spans_where(text: Sql, likely: Sql, regex: str,
                 build: Callable[[Sql], Sql], keep: Callable[[Sql], Sql] | None = None) -> Sql:
     """Spans of ``regex`` in texts where ``likely`` holds; other texts pay only that test."""
-    found = hits(text, regex)
-    if keep is not None:
-        found = F.filter(found, keep)
-    built = F.filter(F.transform(found, build), lambda s: s["start"] < s["end"])
+    built = F.filter(F.transform(hits(text, regex, keep), build), lambda s: s["start"] < s["end"])
     return F.when(likely, built).otherwise(no_spans())
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from warden.functions import sql as F
 from warden.functions.decisions import DECISION, decision, none
-from warden.functions.globs import table_regex
+from warden.functions.globs import tables_regex
 from warden.functions.sql import Sql
 from warden.vocab import (
     CATEGORIES, MAX_STRING_BYTES, SENSITIVE_TABLES, SQL_FILE_WORDS, SQL_MUTATIONS, SQL_READERS, SQL_SAFE_CALLS,
@@ -45,10 +45,8 @@ def _identifier(word: Sql) -> Sql:
 
 def sensitive_regex(configured: tuple[str, ...] = ()) -> str:
     """One regex for every sensitive table name, with and without a database prefix."""
-    globs = [table_regex(t, False) for t in SENSITIVE_TABLES]
-    globs += [table_regex(t, True) for t in SENSITIVE_TABLES if t not in UNPREFIXED_TABLES]
-    globs += [table_regex(t, prefixed) for t in configured for prefixed in (False, True)]
-    return "|".join(globs)
+    prefixed = [t for t in SENSITIVE_TABLES if t not in UNPREFIXED_TABLES]
+    return tables_regex(list(UNPREFIXED_TABLES), [*prefixed, *configured])
 
 
 def _split_statements(found: Sql) -> Sql:
