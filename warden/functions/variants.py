@@ -6,7 +6,7 @@ from warden.functions import sql as F
 from warden.functions.sql import Sql
 from warden.vocab import MAX_JSON_DEPTH
 
-_NODE = "struct<key:string,path:string,value:variant>"
+_NODE = "struct<key:string,path:string,keys:array<string>,value:variant>"
 
 
 def _children(node: Sql) -> Sql:
@@ -17,25 +17,38 @@ def _children(node: Sql) -> Sql:
         m.isNotNull(),
         F.transform(F.map_entries(m), lambda e: F.struct(
             e["key"].alias("key"), F.concat(node["path"], "/", e["key"]).alias("path"),
-            e["value"].alias("value"))),
+            F.array_append(node["keys"], e["key"]).alias("keys"), e["value"].alias("value"))),
     ).otherwise(F.let(as_list, lambda a: F.when(
         a.isNotNull(),
         F.transform(a, lambda v: F.struct(
-            node["key"].alias("key"), F.concat(node["path"], "[]").alias("path"), v.alias("value"))),
+            node["key"].alias("key"), F.concat(node["path"], "[]").alias("path"),
+            node["keys"].alias("keys"), v.alias("value"))),
     ).otherwise(F.array(node)))))
 
 
 def nodes(value: Sql, depth: int = MAX_JSON_DEPTH) -> Sql:
-    """array<struct(key, path, value)> of all leaves, opened level by level."""
-    start = F.expr(f"cast(array(named_struct('key', cast(null as string), 'path', '', 'value', {value}))"
+    """array<struct(key, path, keys, value)> of all leaves, opened level by level.
+
+    What lies deeper than ``depth`` is left as it is, an object or array among the leaves.
+    """
+    start = F.expr(f"cast(array(named_struct('key', cast(null as string), 'path', '', 'keys', cast(array() as array<string>), 'value', {value}))"
                    f" as array<{_NODE}>)")
     return F.aggregate(F.sequence(1, depth), start, lambda level, _round: F.flatten(F.transform(level, _children)).cast(
         f"array<{_NODE}>"))
 
 
+def too_deep(found: Sql) -> Sql:
+    """Some value was deeper than the levels that were opened."""
+    return F.exists(found, lambda n: F.schema_of_variant(n["value"]).rlike("^(?:OBJECT|ARRAY)<"))
+
+
 def leaves(value: Sql, depth: int = MAX_JSON_DEPTH) -> Sql:
     """array<struct(key, path, text, is_null)>; ``text`` is NULL for leaves that are no strings."""
-    return F.transform(nodes(value, depth), lambda n: F.struct(
+    return as_texts(nodes(value, depth))
+
+
+def as_texts(found: Sql) -> Sql:
+    return F.transform(found, lambda n: F.struct(
         n["key"].alias("key"), n["path"].alias("path"),
         F.when(F.schema_of_variant(n["value"]) == "STRING",
                F.try_variant_get(n["value"], "$", "string")).alias("text"),

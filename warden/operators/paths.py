@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from warden.functions import sql as S
 from warden.functions.globs import compile_path
 from warden.functions.paths import bad_component, covers, normalize  # noqa: F401  (public names)
+from warden.vocab import MAX_PATTERNS, MAX_RULES
 
 
 def anchored(rules: DataFrame) -> DataFrame:
@@ -16,7 +17,10 @@ def anchored(rules: DataFrame) -> DataFrame:
     so the distinct patterns are compiled once on the driver.
     """
     spark = rules.sparkSession
-    patterns = [r[0] for r in rules.select("pattern").distinct().collect()]
+    bound = MAX_RULES * MAX_PATTERNS
+    patterns = [r[0] for r in rules.select("pattern").distinct().limit(bound + 1).collect()]
+    if len(patterns) > bound:
+        raise ValueError("more patterns than the policies of one replay may hold")
     compiled = [(p, g.regex, g.anchor or "any") for p in patterns for g in [compile_path(p)]]
     table = spark.createDataFrame(compiled, "pattern string, regex string, anchor string")
     return rules.join(table, "pattern")

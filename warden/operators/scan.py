@@ -13,9 +13,9 @@ from warden.functions.detectors import SEPARATOR_LINE, detect, open_context
 from warden.functions.fields import SPACE, ScanConfig, field_class, trim
 from warden.functions.spans import SPAN, fixed_span, merge, no_spans, redact
 from warden.functions.sql import Sql
-from warden.functions.variants import leaves
+from warden.functions.variants import as_texts, nodes, too_deep
 from warden.vocab import (
-    CATEGORIES, CATEGORY_RANK, MAX_FINDINGS, MAX_JSON_DEPTH, MAX_LINE_DELIMITERS, MAX_NEWLINES, MAX_SCAN_BYTES,
+    CATEGORIES, CATEGORY_RANK, MAX_FINDINGS, MAX_LINE_DELIMITERS, MAX_NEWLINES, MAX_SCAN_BYTES,
 )
 
 
@@ -126,8 +126,11 @@ def verdicts(df: DataFrame, text: str, id_: str, config: ScanConfig = ScanConfig
     )
 
 
-def json_verdict(text: Sql, config: ScanConfig = ScanConfig(), depth: int = MAX_JSON_DEPTH) -> Sql:
-    """struct(rule, categories, n) of a JSON text, from its leaves."""
+MAX_SCAN_DEPTH = 32
+
+
+def json_verdict(text: Sql, config: ScanConfig = ScanConfig(), depth: int = MAX_SCAN_DEPTH) -> Sql:
+    """struct(rule, categories, n) of a JSON text, from its leaves and keys."""
     def leaf_hits(leaf: Sql) -> Sql:
         kind = field_class(leaf["key"], config)
         word = S.when(leaf["text"].isNotNull(), merge(detect(leaf["text"], config)))
@@ -137,17 +140,22 @@ def json_verdict(text: Sql, config: ScanConfig = ScanConfig(), depth: int = MAX_
         ).otherwise(S.coalesce(
             S.transform(word, lambda s: s["category"]), S.expr("cast(array() as array<string>)"))))
 
-    def judged(value: Sql) -> Sql:
-        categories = S.flatten(S.transform(leaves(value, depth), leaf_hits))
+    def in_keys(found: Sql) -> Sql:
+        keys = S.array_distinct(S.flatten(S.transform(found, lambda n: n["keys"])))
+        return S.flatten(S.transform(keys, lambda k: S.transform(merge(detect(k, config)), lambda s: s["category"])))
+
+    def judged(found: Sql) -> Sql:
+        categories = S.concat(S.flatten(S.transform(as_texts(found), leaf_hits)), in_keys(found))
         return S.let(categories, lambda c: S.struct(
-            S.when(S.size(c) > MAX_FINDINGS, "result.sanitization_error")
+            S.when((S.size(c) > MAX_FINDINGS) | too_deep(found), "result.sanitization_error")
             .when(S.size(c) > 0, "result.sensitive_output").otherwise("result.clean").alias("rule"),
             ordered_categories(c).alias("categories"), S.size(c).alias("n")))
 
     broken = S.struct(
         S.lit("result.sanitization_error").alias("rule"),
         S.expr("cast(array() as array<string>)").alias("categories"), S.lit(0).alias("n"))
-    return S.let(S.try_parse_json(text), lambda v: S.when(v.isNull(), broken).otherwise(judged(v)))
+    return S.let(S.try_parse_json(text), lambda v: S.when(v.isNull(), broken).otherwise(
+        S.let(nodes(v, depth), judged)))
 
 
 def detector_report(found: DataFrame, id_: str, approximate: bool = False) -> DataFrame:
@@ -179,17 +187,16 @@ def two_stream_verdicts(df: DataFrame, id_: str, first: str, second: str,
                         config: ScanConfig = ScanConfig()) -> DataFrame:
     """One verdict for the two output streams of a call, kept as two columns of a row."""
     a, b = S.ref(first), S.ref(second)
-    flagged = (
-        df.withColumn("_open", S.col(
-            ((b != "") & open_context(a, config)) | ((a != "") & open_context(b, config))))
-        .withColumn("_a", S.col(stream_rule(a, config)))
-        .withColumn("_b", S.col(stream_rule(b, config)))
-    )
-    x, y = S.ref("_a"), S.ref("_b")
+    # Both streams pass through one expression, as items of an array.
+    judged = S.transform(S.array(a, b), lambda t: S.struct(
+        stream_rule(t, config).alias("rule"), open_context(t, config).alias("open")))
+    flagged = df.withColumn("_j", S.col(judged))
+    x, y = S.expr("_j[0].rule"), S.expr("_j[1].rule")
+    opened = ((b != "") & S.expr("_j[0].open")) | ((a != "") & S.expr("_j[1].open"))
     quiet = ("result.clean", "result.sensitive_output")
     rule = (
         S.when((x == "result.scan_limit") | (y == "result.scan_limit"), "result.scan_limit")
-        .when(S.ref("_open"), "result.cross_stream_context")
+        .when(opened, "result.cross_stream_context")
         .when(~x.isin(*quiet) | ~y.isin(*quiet), "result.inspection_failed")
         .when((x == "result.sensitive_output") | (y == "result.sensitive_output"), "result.sensitive_output")
         .otherwise("result.clean")
