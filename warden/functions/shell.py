@@ -11,7 +11,7 @@ from warden.functions.paths import normalize
 from warden.functions.sql import Sql
 from warden.vocab import MAX_SHELL_TOKENS, MAX_STRING_BYTES, MAX_WRAPPERS
 
-_WORD = r"""(?:[^ \t\r\n'"\;&|><$`*?\[\](){}~]++|'[^']*+'|"(?:[^"\\$`]++|\\.)*+"|\\.)++"""
+_WORD = r"""(?:[^ \t\r\n'"\\;&|><$`*?\[\](){}~]++|'[^']*+'|"(?:[^"\\$`]++|\\.)*+"|\\.)++"""
 _MARK = r"&&|\|\||[|;\n]|>>|>"
 _TOKEN = rf"(?s){_WORD}|{_MARK}"
 _WHOLE = rf"(?s)^(?:{_WORD}|{_MARK}|[ \t\r])*+\z"
