@@ -31,10 +31,15 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return os.path.join(session.checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, lost executors cost nothing twice."""
     spark = df.sparkSession
-    path = os.path.join(session.checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

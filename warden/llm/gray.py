@@ -294,10 +294,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # A table of its own: the join then has two plain exchanges, and a hub's rows can be split at run time.
+        low = common.saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")),
+                           "least-near")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = common.saved(large.where("a <> b").distinct(), "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = common.saved(large.groupBy("a").agg(F.min("b").alias("m")), "least-below")
         small = large.join(low, "a").select(F.explode(F.array(
             F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")),
             F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from warden.llm import common, gray, lines, machine, pieces, templates
+from warden.llm import bootstrap, common, grammar, gray, lines, machine, ngrams, pieces, templates, tiff, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Statements of queries that SQL can express; the others are held against brute force in tests/llm.
@@ -51,8 +51,37 @@ def _near(spark: SparkSession, folder: str) -> DataFrame:
     return gray.near_duplicates(common.read(spark, folder, "documents"))
 
 
+@query("op5_token_files")
+def _token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.read(spark, folder, "documents")
+    path = common.shared_path(spark, "token-files")
+    tokenfile.write(docs, path, vocabulary("word_bpe_49k.json"))
+    return tokenfile.read(spark, path, with_ids=False)
+
+
+@query("op7_bloom_ngrams")
+def _language(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.score(common.read(spark, folder, "documents"))
+
+
+@query("op8_tiff_pages")
+def _tiff(spark: SparkSession, folder: str) -> DataFrame:
+    return tiff.digests(common.read(spark, folder, "documents"))
+
+
 @query("op6_line_winnowing")
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.read(spark, folder, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines_left"),
                                           "n_lines_removed", "text")
+
+
+@query("op9_clause_grammar")
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.read(spark, folder, "documents")
+    return grammar.score(docs, grammar.train(docs, common.read(spark, folder, "labels")))
+
+
+@query("op10_bootstrapped_contexts")
+def _personal(spark: SparkSession, folder: str) -> DataFrame:
+    return bootstrap.personal_data(common.read(spark, folder, "documents"))
