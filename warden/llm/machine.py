@@ -19,7 +19,8 @@ from warden.llm import common, learn
 
 BUCKETS = 512
 RANK = 6
-EPOCHS = 12
+#: Mini-batches of a fit, however many rows there are, and rows of a batch.
+STEPS, BATCH = 600, 256
 #: Words of a text after which its distinct words are looked at anew, so that long texts compare with short ones.
 STRETCH = 200
 
@@ -96,7 +97,7 @@ class Machine:
         return self.bias + x @ self.weights + pairs
 
 
-def fit(x: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, seed: int = 1) -> Machine:
+def fit(x: np.ndarray, y: np.ndarray, rank: int = RANK, steps: int = STEPS, seed: int = 1) -> Machine:
     """Fit by mini-batches of log loss with Adam; rows in a fixed random order."""
     random = np.random.default_rng(seed)
     mean, spread = learn.scaling(x[:, BUCKETS:].astype(np.float64)) if len(x) else (np.zeros(1), np.ones(1))
@@ -109,26 +110,26 @@ def fit(x: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, se
     machine.bias = float(np.log(y.mean() / (1 - y.mean())))
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in
              (("weights", machine.weights), ("vectors", machine.vectors), ("bias", np.zeros(1)))}
-    step, size = 0, min(256, len(x))
-    for _ in range(epochs):
-        order = random.permutation(len(x))
-        for at in range(0, len(order) - size + 1, size):
-            part, step = order[at:at + size], step + 1
-            xs = x[part]
-            error = (learn.sigmoid(machine.margin(xs)) - y[part]) / size
-            squares = (xs ** 2).T @ error
-            gradient = {"weights": xs.T @ error + 1e-5 * machine.weights, "bias": np.array([error.sum()]),
-                        "vectors": (xs * error[:, None]).T @ (xs @ machine.vectors) - squares[:, None] * machine.vectors
-                        + 1e-4 * machine.vectors}
-            for name, g in gradient.items():
-                m, v = state[name]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                move = 0.02 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-                if name == "bias":
-                    machine.bias -= float(move[0])
-                else:
-                    setattr(machine, name, getattr(machine, name) - move)
+    size, order = min(BATCH, len(x)), np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(order) < size:
+            order = random.permutation(len(x))
+        part, order = order[:size], order[size:]
+        xs = x[part]
+        error = (learn.sigmoid(machine.margin(xs)) - y[part]) / size
+        squares = (xs ** 2).T @ error
+        gradient = {"weights": xs.T @ error + 1e-5 * machine.weights, "bias": np.array([error.sum()]),
+                    "vectors": (xs * error[:, None]).T @ (xs @ machine.vectors) - squares[:, None] * machine.vectors
+                    + 1e-4 * machine.vectors}
+        for name, g in gradient.items():
+            m, v = state[name]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            move = 0.02 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+            if name == "bias":
+                machine.bias -= float(move[0])
+            else:
+                setattr(machine, name, getattr(machine, name) - move)
     return machine
 
 
