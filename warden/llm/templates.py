@@ -68,39 +68,38 @@ def word_facts(word: str) -> tuple[int, int, int, int]:
     return literal, literal, LITERAL, stop
 
 
-class _Facts:
+class _Facts(dict):
     """Word facts by number, for numpy look-ups; starts anew when it holds many words."""
 
     def __init__(self, limit: int = 300_000):
-        self.limit = limit
-        self.clear()
+        super().__init__()
+        self.limit, self.table = limit, np.zeros((1024, 4), np.uint64)
 
-    def clear(self):
-        self.number, self.rows, self.table = {}, [], np.zeros((0, 4), np.uint64)
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        if number >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[number] = word_facts(word)
+        return number
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > self.limit:
+        if len(self) > self.limit:
             self.clear()
-        number, rows = self.number, self.rows
-        for word in set(words).difference(number):
-            number[word] = len(rows)
-            rows.append(word_facts(word))
-        if len(rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(rows[len(self.table):], np.uint64)])
-        return self.table[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[numbers]
 
 
-def tokens(text: str, facts: _Facts, first_is_name: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(hash, kind, word) of each template token of a whole text."""
+def tokens(text: str, facts: _Facts, first_is_name: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(hash, kind) of each template token of a whole text, its words and the place of each token in them."""
     words = text.replace("\n", f" {_NEWLINE} ").split()
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), [], np.zeros(0, np.int64)
     table = facts(words)
     start = np.r_[not first_is_name, table[:-1, 3] == 1]
     hashes = np.where(start, table[:, 0], table[:, 1])
     kinds = np.where(start & (table[:, 2] == NAME), LITERAL, table[:, 2]).astype(np.int64)
     real = np.flatnonzero(hashes)
-    return hashes[real], kinds[real], [words[i] for i in real] if len(real) < len(words) else words
+    return hashes[real], kinds[real], words, real
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -114,9 +113,9 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
 
 
-def _fillers(kinds: np.ndarray, words: list[str], at: int, size: int) -> list[str]:
+def _fillers(kinds: np.ndarray, words: list[str], real: np.ndarray, at: int, size: int) -> list[str]:
     """What fills the placeholders of one window, with their places in it."""
-    return [f"{k}\x01{_EDGES.sub('', words[at + k]).lower()}" for k in np.flatnonzero(kinds[at:at + size])]
+    return [f"{k}\x01{_EDGES.sub('', words[real[at + k]]).lower()}" for k in np.flatnonzero(kinds[at:at + size])]
 
 
 _WINDOWS = "row_id long, gram long, at int, size int, n_tokens int, fillers array<string>"
@@ -131,7 +130,7 @@ def _windows(bitmap: np.ndarray | None, sizes: list[int] | None):
             for row_id, text in zip(frame["row_id"].tolist(), frame["text"].tolist()):
                 seen = set()
                 for first_is_name in ((False,) if bitmap is not None else (False, True)):
-                    hashes, kinds, words = tokens(text, facts, first_is_name)
+                    hashes, kinds, words, real = tokens(text, facts, first_is_name)
                     n = len(hashes)
                     for size in (sizes if sizes is not None else [min(WINDOW, n)]):
                         grams = window_hashes(hashes, size) if size else np.zeros(0, np.uint64)
@@ -143,7 +142,7 @@ def _windows(bitmap: np.ndarray | None, sizes: list[int] | None):
                         for k in at.tolist():
                             if (key := (int(signed[k]), k)) not in seen:
                                 seen.add(key)
-                                out.append((row_id, key[0], k, size, n, _fillers(kinds, words, k, size)))
+                                out.append((row_id, key[0], k, size, n, _fillers(kinds, words, real, k, size)))
             yield pd.DataFrame(out, columns=["row_id", "gram", "at", "size", "n_tokens", "fillers"])
 
     return work
