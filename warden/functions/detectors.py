@@ -12,8 +12,10 @@ from warden.functions import sql as F
 from warden.functions.sql import Sql
 
 from warden.functions.fields import SPACE, ScanConfig, field_class, raw_name_patterns, trim
-from warden.functions.spans import SPAN, fixed_span, hits, no_spans, span, spans_where
-from warden.vocab import MAX_FINDINGS, TOKEN_PREFIXES
+from warden.functions.spans import (
+    SPAN, appended, empty_list, extended, fixed_span, hits, no_spans, span, spans_where, whole_list,
+)
+from warden.vocab import TOKEN_PREFIXES
 
 # --- fixed values: character classes and patterns ---------------------------
 TOKEN_CHARS = r"[A-Za-z0-9_\-.~+/=]"
@@ -179,19 +181,18 @@ def tables(text: Sql, config: ScanConfig) -> Sql:
     kinds_type = "array<struct<category:string,detector:string>>"
     start = F.struct(
         F.lit(0).alias("pos"), F.lit("").alias("delimiter"),
-        F.expr(f"cast(array() as {kinds_type})").alias("kinds"), no_spans().alias("out"),
+        F.expr(f"cast(array() as {kinds_type})").alias("kinds"), *empty_list(SPAN),
     )
 
-    def state(pos: Sql, delimiter: Sql, kinds: Sql, out: Sql) -> Sql:
-        return F.struct(
-            pos.alias("pos"), delimiter.alias("delimiter"), kinds.alias("kinds"), out.alias("out")
-        )
+    def state(pos: Sql, delimiter: Sql, kinds: Sql, acc: Sql, more: Sql | None = None) -> Sql:
+        found = (acc["full"].alias("full"), acc["out"].alias("out")) if more is None else extended(acc, more)
+        return F.struct(pos.alias("pos"), delimiter.alias("delimiter"), kinds.alias("kinds"), *found)
 
     def cell_spans(acc: Sql, row: Sql) -> Sql:
         """Spans of the cells below sensitive headers."""
         placed = F.aggregate(
             F.pairs(row.alias("cell"), acc["kinds"].alias("kind")),
-            F.struct(acc["pos"].alias("pos"), acc["out"].alias("out")),
+            F.struct(acc["pos"].alias("pos"), no_spans().alias("out")),
             lambda a, c: F.struct(
                 (a["pos"] + F.length(c["cell"]) + 1).alias("pos"),
                 F.when(c["kind"].isNull(), a["out"]).otherwise(
@@ -207,17 +208,16 @@ def tables(text: Sql, config: ScanConfig) -> Sql:
             ),
             lambda a: F.filter(a["out"], lambda s: s["start"] < s["end"]),
         )
-        # Beyond the cap the text is blocked anyway.
-        return F.when(F.size(acc["out"]) > MAX_FINDINGS, acc["out"]).otherwise(placed)
+        return placed
 
     def header(acc: Sql, line: Sql, pos: Sql) -> Sql:
         own = F.when(F.contains(line, F.lit("|")), F.lit("|")).otherwise(F.lit("\t"))
         kinds = F.transform(_cells(line, own), lambda c: field_class(trim(c), config)).cast(kinds_type)
-        closed = state(pos, F.lit(""), F.expr(f"cast(array() as {kinds_type})"), acc["out"])
+        closed = state(pos, F.lit(""), F.expr(f"cast(array() as {kinds_type})"), acc)
         return F.when(
             F.contains(line, F.lit("|")) | F.contains(line, F.lit("\t")),
             F.let(kinds, lambda k: F.when(
-                (F.size(k) >= 2) & F.exists(k, lambda x: x.isNotNull()), state(pos, own, k, acc["out"])
+                (F.size(k) >= 2) & F.exists(k, lambda x: x.isNotNull()), state(pos, own, k, acc)
             ).otherwise(closed)),
         ).otherwise(closed)
 
@@ -228,12 +228,12 @@ def tables(text: Sql, config: ScanConfig) -> Sql:
         row = _cells(line, acc["delimiter"])
         is_row = active & F.contains(line, acc["delimiter"]) & (F.size(row) == F.size(acc["kinds"]))
         return (
-            F.when(active & line.rlike(SEPARATOR_LINE), state(pos, acc["delimiter"], acc["kinds"], acc["out"]))
-            .when(is_row, state(pos, acc["delimiter"], acc["kinds"], cell_spans(acc, row)))
+            F.when(active & line.rlike(SEPARATOR_LINE), state(pos, acc["delimiter"], acc["kinds"], acc))
+            .when(is_row, state(pos, acc["delimiter"], acc["kinds"], acc, cell_spans(acc, row)))
             .otherwise(header(acc, line, pos))
         )
 
-    folded = F.aggregate(F.split(text, "\n", -1), start, step, lambda acc: acc["out"])
+    folded = F.aggregate(F.split(text, "\n", -1), start, step, whole_list)
     return F.when(likely, folded).otherwise(no_spans())
 
 
@@ -416,13 +416,13 @@ def ibans(text: Sql) -> Sql:
         lambda gap, value: F.struct(F.length(gap).alias("gap"), _account_size(value).alias("size"))))
     placed = F.aggregate(
         pairs,
-        F.struct(F.lit(-1).alias("pos"), no_spans().alias("out")),
+        F.struct(F.lit(-1).alias("pos"), *empty_list(SPAN)),
         lambda acc, p: F.struct(
             (acc["pos"] + p["gap"]).alias("pos"),
-            F.when(p["size"].isNotNull() & (F.size(acc["out"]) <= MAX_FINDINGS), F.array_append(acc["out"], fixed_span(
-                acc["pos"] + p["gap"], acc["pos"] + p["gap"] + p["size"], ORDER["iban"], "financial_data", "financial.iban")))
-            .otherwise(acc["out"]).alias("out")),
-        lambda acc: acc["out"])
+            *appended(acc, fixed_span(
+                acc["pos"] + p["gap"], acc["pos"] + p["gap"] + p["size"], ORDER["iban"], "financial_data", "financial.iban"),
+                p["size"].isNotNull())),
+        whole_list)
     likely = text.rlike(r"[0-9]{2}(?<=[A-Za-z]{2}[0-9]{2})(?:[ \-]*[A-Za-z0-9]){11}")
     return F.when(likely, placed).otherwise(no_spans())
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from warden.functions import sql as F
 from warden.functions.sql import Sql
 
-from warden.vocab import CATEGORY_RANK, MAX_FINDINGS
+from warden.vocab import CATEGORY_RANK
 
 SPAN = (
     "struct<start:int,`end`:int,ord:int,rank:int,category:string,detector:string,confidence:string>"
@@ -40,34 +40,59 @@ def fixed_span(start: Sql, end: Sql, ord_: int, category: str, detector: str,
     ).cast(SPAN)
 
 
+#: A list in a fold grows in chunks: an append copies a chunk, never all that was found before.
+CHUNK = 256
+
+
+def empty_list(kind: str) -> tuple[Sql, Sql]:
+    """Fields of a fold's state for a list of ``kind`` that grows."""
+    return (F.expr(f"cast(array() as array<array<{kind}>>)").alias("full"),
+            F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+
+
+def appended(acc: Sql, item: Sql, wanted: Sql) -> tuple[Sql, Sql]:
+    """The list's fields with one more item where ``wanted`` holds."""
+    last = F.size(acc["out"]) >= CHUNK - 1
+    return (F.when(wanted & last, F.array_append(acc["full"], F.array_append(acc["out"], item)))
+            .otherwise(acc["full"]).alias("full"),
+            F.when(~wanted, acc["out"]).when(last, F.slice(acc["out"], 1, 0))
+            .otherwise(F.array_append(acc["out"], item)).alias("out"))
+
+
+def extended(acc: Sql, items: Sql) -> tuple[Sql, Sql]:
+    """The list's fields with a short list more."""
+    last = F.size(acc["out"]) >= CHUNK
+    return (F.when(last, F.array_append(acc["full"], F.concat(acc["out"], items))).otherwise(acc["full"]).alias("full"),
+            F.when(last, F.slice(acc["out"], 1, 0)).otherwise(F.concat(acc["out"], items)).alias("out"))
+
+
+def whole_list(acc: Sql) -> Sql:
+    return F.flatten(F.array_append(acc["full"], acc["out"]))
+
+
 def hits(text: Sql, regex: str, keep: Callable[[Sql], Sql] | None = None) -> Sql:
     """array<struct(at, value)> of the matches that ``keep`` accepts; ``at`` counts characters from 0.
 
     The pieces between the matches come from the same regex, so a running sum of
-    lengths gives the offsets. The regex must not match the empty string. One match
-    more than the cap of findings is enough: such a text is blocked as a whole, so the
-    list stays short whatever the text holds.
+    lengths gives the offsets. The regex must not match the empty string. All matches
+    are kept, however many a text has.
     """
     found = F.regexp_extract_all(text, regex, 0)
     pairs = F.let(found, lambda f: F.zip_with(
         F.slice(F.split(text, regex, -1), 1, F.size(f)), f,
         lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))))
     start = F.struct(
-        F.lit(0).alias("pos"),
-        F.expr("cast(array() as array<struct<at:int,value:string>>)").alias("out"),
+        F.lit(0).alias("pos"), *empty_list("struct<at:int,value:string>"),
     )
 
     def step(acc: Sql, p: Sql) -> Sql:
         at = acc["pos"] + F.length(p["gap"])
-        wanted = F.size(acc["out"]) <= MAX_FINDINGS
-        if keep is not None:
-            wanted = wanted & F.coalesce(keep(p["value"]), F.lit(False))
+        wanted = F.lit(True) if keep is None else F.coalesce(keep(p["value"]), F.lit(False))
         return F.struct(
             (at + F.length(p["value"])).alias("pos"),
-            F.when(wanted, F.array_append(acc["out"], F.struct(at.alias("at"), p["value"].alias("value"))))
-            .otherwise(acc["out"]).alias("out"))
+            *appended(acc, F.struct(at.alias("at"), p["value"].alias("value")), wanted))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.aggregate(pairs, start, step, whole_list)
 
 
 def spans_where(text: Sql, likely: Sql, regex: str,
@@ -80,7 +105,7 @@ def spans_where(text: Sql, likely: Sql, regex: str,
 def merge(spans: Sql) -> Sql:
     """Overlapping and touching spans as one; the highest category wins, then the first."""
     ordered = F.array_sort(spans)
-    start = F.struct(no_spans().alias("done"), F.expr(f"cast(null as {SPAN})").alias("last"))
+    start = F.struct(*empty_list(SPAN), F.expr(f"cast(null as {SPAN})").alias("last"))
 
     def step(acc: Sql, s: Sql) -> Sql:
         last = acc["last"]
@@ -101,15 +126,13 @@ def merge(spans: Sql) -> Sql:
             )
         ).cast(SPAN)
         touching = last.isNotNull() & (s["start"] <= last["end"])
-        closed = F.when(
-            last.isNull() | touching, acc["done"]
-        ).otherwise(F.array_append(acc["done"], last))
-        return F.struct(closed.alias("done"), F.when(touching, joined).otherwise(s).alias("last"))
+        closed = appended(acc, last, last.isNotNull() & ~F.coalesce(touching, F.lit(False)))
+        return F.struct(*closed, F.when(touching, joined).otherwise(s).alias("last"))
 
     folded = F.aggregate(
         ordered, start, step,
-        lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(
-            F.array_append(acc["done"], acc["last"])
+        lambda acc: F.when(acc["last"].isNull(), whole_list(acc)).otherwise(
+            F.array_append(whole_list(acc), acc["last"])
         ),
     )
     return folded

@@ -58,16 +58,16 @@ def _scanned(df: DataFrame, text: str, config: ScanConfig) -> DataFrame:
     """Adds ``_rule`` (why the text is blocked, or NULL) and ``_spans`` (merged, with raw count)."""
     t = S.ref(text)
     df = df.withColumn("_limit", S.col(limit_rule(t)))
-    found = S.when(
-        S.ref("_limit").isNull() & ~looks_like_json(t),
-        S.let(detect(t, config), lambda raw: S.struct(
-            S.size(raw).alias("raw"), S.when(S.size(raw) <= MAX_FINDINGS, merge(raw)).alias("merged"))),
-    )
+    found = S.when(~looks_like_json(t), S.let(detect(t, config), lambda raw: S.struct(
+        S.size(raw).alias("raw"), merge(raw).alias("merged"))))
     return df.withColumn("_found", S.col(found))
 
 
 def findings(df: DataFrame, text: str, id_: str, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Merged findings of plain texts, one row each, with character and byte offsets."""
+    """Merged findings of plain texts, one row each, with character and byte offsets.
+
+    All findings of every text: the limits that make a verdict ``block`` take nothing away here.
+    """
     t = S.ref(text)
     return (
         _scanned(df, text, config)
@@ -266,7 +266,7 @@ def protected_verdicts(df: DataFrame, text: str, id_: str, config: ScanConfig =
     staged = df.withColumn("_limit", S.col(limit_rule(t))).withColumn("_rows", S.col(rows))
     both = S.when(S.ref("_rows").isNotNull(), S.let(
         S.concat(detect(t, config), S.ref("_rows")),
-        lambda s: S.when(S.size(s) <= MAX_FINDINGS, merge(s))))
+        merge))
     staged = staged.withColumn("_merged", S.col(both))
     m = S.ref("_merged")
     rule = (
