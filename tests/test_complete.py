@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from warden import mask, scan
+from warden.functions import sql as S
+from warden.operators import frames, taint
+from warden.streaming import taint as live_taint
 
 N = 1000
 
@@ -24,3 +27,91 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, long)], "doc_id long, body string")
     assert scan.findings(df, "body", "doc_id").count() == 1
     assert "@mail" not in mask.mask_columns(df).first().body
+
+
+def _frames(spark, rows):
+    return spark.createDataFrame(rows, "session_id string, id string, sec int, seq bigint, kind string").withColumn(
+        "ts", F.timestamp_seconds("sec"))
+
+
+def _brute_statuses(rows, limit):
+    """The rule of an id in plain Python: what waits, what was called off, frame by frame."""
+    got, open_, off = {}, {}, {}
+    for session, id_, sec, seq, kind in sorted(rows, key=lambda r: (r[2], r[3], r[4])):
+        key = (session, id_)
+        if key in open_ and sec - open_[key][0] >= limit:
+            del open_[key]
+        if key in off and sec - off[key][0] >= limit:
+            del off[key]
+        if kind == "request":
+            if key in open_ or key in off:
+                got[seq] = "duplicate"
+            else:
+                got[seq], open_[key] = "unanswered", (sec, seq)
+        elif kind == "cancel":
+            if key in open_:
+                request = open_.pop(key)[1]
+                got[seq], got[request], off[key] = "cancelled", "cancelled", (sec, request)
+            else:
+                got[seq] = "unknown_cancel"
+        elif key in off:
+            got[seq] = "dropped"
+            del off[key]
+        elif key in open_:
+            request = open_.pop(key)[1]
+            got[seq] = got[request] = "answered"
+        else:
+            got[seq] = "orphan"
+    return got
+
+
+def test_frame_statuses_follow_the_rule(spark):
+    import random
+    rnd = random.Random(4)
+    rows, sec = [], 0
+    for seq in range(3000):
+        sec += rnd.choice([0, 1, 1, 3, 9, 40])
+        rows.append((rnd.choice(["a", "b", None]), rnd.choice(["1", "2", None]), sec, seq,
+                     rnd.choice(["request", "request", "request", "reply", "cancel"])))
+    rows += [("dense", "1", i * 5, 10_000 + i, "request") for i in range(2000)]  # no reply, no pause
+    got = {r.seq: r.status for r in frames.paired(_frames(spark, rows), 30).collect()}
+    assert got == _brute_statuses(rows, 30)
+
+
+def test_first_request_is_answered_and_requests_expire(spark):
+    rows = [("s", "1", 0, 1, "request"), ("s", "1", 5, 2, "request"), ("s", "1", 10, 3, "reply")]
+    pairs = frames.pair(_frames(spark, rows), 30).collect()
+    assert [(r.request_seq, r.reply_seq, r.latency_us) for r in pairs] == [(1, 3, 10_000_000)]
+    spaced = [("s", str(i), 60 * i, i, "request") for i in range(100)]
+    assert {r.n_live for r in frames.live(_frames(spark, spaced), 30).collect()} == {1}
+    assert frames.paired(_frames(spark, rows[:0]), 30).collect() == []
+
+
+def test_deep_and_neighbouring_payloads(spark):
+    deep = lambda n, leaf: '{"a":' * n + leaf + "}" * n
+    texts = [deep(20, '{"blob":"x"}'), deep(40, '{"x":1}'), '[{"type":"image","url":"u"},{"type":"text","data":"d"}]',
+             '{"type":"image","data":{}}', deep(20, '{"password":"x"}'), '{"a":[1,{"b":{}}]}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.try_parse_json("t").alias("v"))
+    got = df.select("i", S.col(frames.binary_payload(S.ref("v"))).alias("b"), S.col(frames.safe_metadata(S.ref("v"))).alias("s")).orderBy("i").collect()
+    assert [r.b for r in got] == [True, True, False, True, False, False]
+    assert [r.s for r in got] == [True, False, True, True, False, True]
+
+
+def test_late_call_keeps_taint_known_at_arrival(spark):
+    schema = "agent string, session_id string, call_id string, sec int, seq bigint, source_categories array<string>"
+    rows = lambda part: spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("sec"))
+    first = rows([("x", "s", "1", 50, 1, ["credential"])])
+    _, known = live_taint.fold_batch(first, taint.first_seen(first.where("false")))
+    late, changed = live_taint.fold_batch(rows([("x", "s", "2", 10, 2, [])]), known)
+    assert late.select("prior").first().prior == ["credential"]
+    assert changed.count() == 1
+    assert live_taint.fold_batch(rows([("x", "other", "3", 10, 3, [])]), known)[1].count() == 0
+
+
+def test_project_rules_are_taint_sources(spark):
+    from warden.functions.decisions import BUILT_IN, PathRule, RuleSet
+    own = PathRule("project", "project.path.deny_read", "deny", "high", "filesystem", "", "read", ("**/private/**",), project="p")
+    calls = spark.createDataFrame([("1", "/w", "p", ["private/a"], []), ("2", "/w", "q", ["private/a"], [])],
+                                  "call_id string, cwd string, project string, paths array<string>, sql_texts array<string>")
+    got = taint.sources(calls, RuleSet((*BUILT_IN, own))).select("call_id", "source_id").collect()
+    assert [tuple(r) for r in got] == [("1", "project.path.deny_read")]

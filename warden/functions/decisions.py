@@ -148,12 +148,14 @@ def path_decision(path: Sql, operation: str, rules: RuleSet, project: Sql | None
     return F.when(path.rlike(any_regex), ladder).otherwise(none())
 
 
-def first_rule_id(path: Sql, rules: list[PathRule]) -> Sql:
+def first_rule_id(path: Sql, rules: list[PathRule], project: Sql | None = None) -> Sql:
     """Id of the first rule that matches a path, without the rest of its decision."""
     ladder = None
     for rule in rules:
-        ladder = F.when(path.rlike(rule.regex()), rule.rule_id) if ladder is None else ladder.when(
-            path.rlike(rule.regex()), rule.rule_id)
+        test = path.rlike(rule.regex())
+        if rule.project is not None:
+            test = test & _in_project(rule, project)
+        ladder = F.when(test, rule.rule_id) if ladder is None else ladder.when(test, rule.rule_id)
     any_regex = match_regex([compile_path(p).body for r in rules for p in r.patterns])
     return F.when(path.rlike(any_regex), ladder)
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from warden.functions import sql as S
 from warden.functions.detectors import detect
 from warden.functions.fields import ScanConfig, field_category
 from warden.functions.sql import Sql
-from warden.functions.variants import nodes
+from warden.functions.variants import opened, unopened
 from warden.operators.running import running_sum
 from warden.vocab import CLIENT_METHODS, MAX_IDENTIFIER_BYTES, MAX_PENDING, SERVER_NOTIFICATIONS
 
 KEY = ("session_id", "id")
+#: A time bucket of an id is this many timeouts long.
+BUCKET_TIMEOUTS = 64
+FRAME = ("session_id", "id", "seq", "kind", "_at")
+OUTCOME = ("status", "request_seq", "latency_us", "expires")
 
 
 def frame_fields(text: Sql) -> Sql:
@@ -47,43 +54,116 @@ def read_frames(spark, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("f", S.col(frame_fields(S.ref("value")))).select("*", "f.*").drop("f")
 
 
+def runs(frames: DataFrame, timeout_seconds: int = 30) -> DataFrame:
+    """Frames with ``_at`` and ``_run``, the place of the frame that begins their run.
+
+    A reply leaves nothing open under its id, and neither does a pause as long as the
+    timeout, so after either a new run begins and runs do not depend on each other. A
+    frame's run is found inside its time bucket; one small row per bucket carries the
+    last beginning over to later buckets. An id used over and over is thus spread over
+    its buckets, then over its runs.
+    """
+    limit = timeout_seconds * 1_000_000
+    spots = ["_id", "_bucket"]
+    # As a struct, null sessions and ids are equal to each other in a join.
+    rows = (
+        frames.select(F.struct(*KEY).alias("_id"), "seq", "kind", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+        .withColumn("_bucket", F.floor(F.col("_at") / F.lit(limit * BUCKET_TIMEOUTS))))
+    order = Window.partitionBy(*spots).orderBy("_at", "seq", "kind")
+    place, prev = F.struct("_at", "seq"), F.struct("kind", "_at")
+    marked = rows.withColumn("_prev", F.lag(prev).over(order)).withColumn(
+        "_begins", F.when((F.col("_prev.kind") == "reply") | (F.col("_at") - F.col("_prev._at") >= limit), place))
+    found = marked.withColumn("_run", F.last("_begins", ignorenulls=True).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = marked.groupBy(*spots).agg(
+        F.min(place).alias("_head"), F.max(F.struct("_at", "seq", "kind")).alias("_tail"), F.max("_begins").alias("_begun"))
+    along = Window.partitionBy("_id").orderBy("_bucket")
+    ends = ends.withColumn("_left", F.lag("_tail").over(along))
+    fresh = (F.col("_left").isNull() | (F.col("_left.kind") == "reply")
+             | (F.col("_head._at") - F.col("_left._at") >= limit))
+    carried = (
+        ends.withColumn("_head", F.when(fresh, F.col("_head")))
+        .withColumn("_carry", F.coalesce("_head", F.last(F.coalesce("_begun", "_head"), ignorenulls=True).over(
+            along.rowsBetween(Window.unboundedPreceding, -1))))
+        .select(*spots, "_carry"))
+    return found.join(carried, spots).select("_id", "seq", "kind", "_at", F.coalesce("_run", "_carry").alias("_run"))
+
+
+def _statuses(limit: int):
+    """The rule of one id, frame by frame. It holds no more than one open request."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = accepted = called_off = None  # the accepted request that waits, and when it was cancelled
+
+        def ended(gone: int | None) -> tuple:
+            return *accepted, "unanswered" if called_off is None else "cancelled", None, None, gone
+
+        def expiry() -> int:
+            return (accepted[4] if called_off is None else called_off) + limit
+
+        for batch in batches:
+            out = []
+            for frame in zip(*[batch.column(c).to_pylist() for c in (*FRAME, "_run_at", "_run_seq")]):
+                mine, here = frame[:5], (frame[0], frame[1], *frame[5:])
+                seq, kind, at = mine[2:]
+                if accepted and (here != run or at >= expiry()):
+                    out.append(ended(expiry()))
+                    accepted = called_off = None
+                run = here
+                if kind == "request" and accepted:
+                    out.append((*mine, "duplicate", None, None, None))
+                elif kind == "request":
+                    accepted = mine
+                elif kind == "cancel" and accepted and called_off is None:
+                    called_off = at
+                    out.append((*mine, "cancelled", accepted[2], None, None))
+                elif kind == "cancel":
+                    out.append((*mine, "unknown_cancel", None, None, None))
+                elif kind == "reply" and accepted and called_off is None:
+                    out.append((*accepted, "answered", None, None, None))
+                    out.append((*mine, "answered", accepted[2], at - accepted[4], None))
+                    accepted = None
+                elif kind == "reply" and accepted:
+                    out.append(ended(None))
+                    out.append((*mine, "dropped", None, None, None))
+                    accepted = called_off = None
+                else:
+                    out.append((*mine, "orphan" if kind == "reply" else "other", None, None, None))
+            if out:
+                yield _batch(out)
+        if accepted:
+            yield _batch([ended(expiry())])
+
+    return judge
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    text, number = pa.string(), pa.int64()
+    kinds = (text, text, number, text, number, text, number, number, number)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)], names=[*FRAME, *OUTCOME])
+
+
 def paired(frames: DataFrame, timeout_seconds: int = 30) -> DataFrame:
     """Status of every request, reply and cancellation.
 
-    ``frames`` has session_id, id, ts, seq and kind. A pending request ends with the
-    timeout, so neighbours further away never matter: time is cut into windows as
-    long as the timeout, each frame is shown to its own window and the two next to
-    it, and the sort runs per (session, id, window). An id that is used over and over
-    never gathers in one task, and no pairs are formed within an id.
+    ``frames`` has session_id, id, ts, seq and kind. A request is accepted if its id is
+    free: no accepted request waits under it, and none was cancelled less than the
+    timeout ago. Others are duplicates and change nothing. A reply answers the accepted
+    request; after a cancellation it is dropped. ``expires`` (microseconds) is set for
+    accepted requests that no reply ended. Null ids form an id of their own; any other
+    kind is passed on as "other". The rule is a small automaton, which needs one ordered
+    pass over each run; a task holds one open request, never a run.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = frames.select(*KEY, "ts", "seq", "kind", micros.alias("_at")).withColumn(
-        "_own", F.floor(F.col("_at") / F.lit(timeout_seconds * 1_000_000)))
-    shown = rows.withColumn("_window", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)))
-    order = Window.partitionBy(*KEY, "_window").orderBy("_at", "seq")
-    seen = (
-        shown.withColumn("prev", F.lag(F.struct("kind", "_at", "ts", "seq")).over(order))
-        .withColumn("next", F.lead(F.struct("kind", "_at", "ts", "seq")).over(order))
-        .where("_own = _window"))
-    limit = timeout_seconds * 1_000_000
-    after = F.when(F.col("_at") - F.col("prev._at") < limit, F.col("prev.kind"))
-    before = F.when(F.col("next._at") - F.col("_at") < limit, F.col("next.kind"))
-    kind = F.col("kind")
-    reused = F.coalesce(after.isin("request", "cancel"), F.lit(False))
-    status = (
-        F.when((kind == "reply") & (after == "request"), "answered")
-        .when((kind == "reply") & (after == "cancel"), "dropped")
-        .when(kind == "reply", "orphan")
-        .when((kind == "cancel") & (after == "request"), "cancelled")
-        .when(kind == "cancel", "unknown_cancel")
-        .when(reused, "duplicate")
-        .when(before == "reply", "answered")
-        .when(before == "cancel", "cancelled")
-        .otherwise("unanswered"))
-    return seen.withColumn("status", status).select(
-        *KEY, "ts", "seq", "kind", "status",
-        F.when((kind == "reply") & (F.col("status") == "answered"), F.col("prev.seq")).alias("request_seq"),
-        F.when((kind == "reply") & (F.col("status") == "answered"), F.col("_at") - F.col("prev._at")).alias("latency_us"))
+    ready = runs(frames, timeout_seconds).select(
+        F.col("_id.session_id").cast("string").alias("session_id"), F.col("_id.id").cast("string").alias("id"),
+        F.col("seq").cast("bigint").alias("seq"), "kind", "_at",
+        F.col("_run._at").alias("_run_at"), F.col("_run.seq").cast("bigint").alias("_run_seq"))
+    run = [*KEY, "_run_at", "_run_seq"]
+    judged = ready.repartition(*run).sortWithinPartitions(*run, "_at", "seq", "kind").mapInArrow(
+        _statuses(timeout_seconds * 1_000_000),
+        "session_id string, id string, seq bigint, kind string, _at bigint, "
+        "status string, request_seq bigint, latency_us bigint, expires bigint")
+    return judged.withColumn("ts", F.timestamp_micros("_at"))
 
 
 def pair(frames: DataFrame, timeout_seconds: int = 30) -> DataFrame:
@@ -117,19 +197,26 @@ def refused(frames: DataFrame) -> DataFrame:
 
 
 def live(frames: DataFrame, timeout_seconds: int = 30, bucket_seconds: int = 3600) -> DataFrame:
-    """Requests pending per session after every frame, and whether the cap of 64 is broken."""
+    """Requests pending per session after every frame, and whether the cap of 64 is broken.
+
+    A request leaves with its reply, else with the timeout, counted from its cancellation if there was one.
+    """
     known = paired(frames, timeout_seconds)
     change = F.when((F.col("kind") == "request") & (F.col("status") != "duplicate"), 1).when(
         (F.col("kind") == "reply") & F.col("status").isin("answered", "dropped"), -1).otherwise(0)
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = known.withColumn("_change", change).withColumn("_at", at)
-    summed = running_sum(rows, ["session_id"], ["_at", "seq"], "_change",
+    step = lambda at, frame, by: F.struct(at.alias("_at"), frame.alias("_frame"), by.alias("_change"))
+    steps = F.filter(F.array(
+        step(F.col("_at"), F.lit(1), change), step(F.col("expires"), F.lit(0), F.lit(-1))), lambda s: s["_at"].isNotNull())
+    rows = known.withColumn("_step", F.explode(steps)).select(
+        *KEY, "ts", "seq", "kind", "status", "_step._at", "_step._frame", "_step._change")
+    # What expires at a moment is gone before the frames of that moment count.
+    summed = running_sum(rows, ["session_id"], ["_at", "_frame", "seq"], "_change",
                          F.floor(F.col("_at") / F.lit(bucket_seconds * 1_000_000)), "n_live")
-    return summed.withColumn("over_cap", F.col("n_live") > MAX_PENDING).drop("_change", "_at")
+    return summed.where("_frame = 1").withColumn("over_cap", F.col("n_live") > MAX_PENDING).drop("_change", "_at", "_frame")
 
 
 def binary_payload(value: Sql) -> Sql:
-    """Content a text scan cannot cover: blobs, and typed or non-text data."""
+    """Content a text scan cannot cover: blobs, and typed or non-text data; and what is nested too deep to tell."""
     def judged(found: Sql) -> Sql:
         paths = S.transform(found, lambda n: n["path"])
         text = lambda n: S.try_variant_get(n["value"], "$", "string")
@@ -141,21 +228,21 @@ def binary_payload(value: Sql) -> Sql:
         mime = S.exists(found, lambda n: n["key"].isin("mimeType", "mime_type") & ~text(n).startswith("text/")
                         & (text(n) != "application/json") & beside(S.regexp_replace(n["path"], r"/[^/]*\z", ""), "data"))
         blob = S.exists(paths, lambda p: p.rlike(r"/blob(?:[/\[]|\z)"))
-        return S.coalesce(typed, S.lit(False)) | S.coalesce(mime, S.lit(False)) | blob
+        return S.coalesce(typed, S.lit(False)) | S.coalesce(mime, S.lit(False)) | blob | unopened(found)
 
-    return S.let(nodes(value), judged)
+    return S.let(opened(value), judged)
 
 
 def safe_metadata(value: Sql, config: ScanConfig = ScanConfig()) -> Sql:
     """A control message without sensitive text, keys or values.
 
     Names of schema properties may be sensitive words; their default, enum, examples
-    and const values may not be given.
+    and const values may not be given. What is nested too deep to look at is not safe.
     """
     def unsafe(n: Sql) -> Sql:
-        keys = S.filter(S.split(S.regexp_replace(n["path"], r"\[\]", ""), "/"), lambda k: k != "")
+        keys = S.filter(S.split(S.regexp_replace(n["path"], r"\[[0-9]+\]", ""), "/"), lambda k: k != "")
         plain = S.regexp_replace(n["path"], r"(?s)/(?:inputSchema|outputSchema)(?:[/\[].*|\z)", "")
-        outside = S.filter(S.split(S.regexp_replace(plain, r"\[\]", ""), "/"), lambda k: k != "")
+        outside = S.filter(S.split(S.regexp_replace(plain, r"\[[0-9]+\]", ""), "/"), lambda k: k != "")
         null_leaf = S.is_variant_null(n["value"])
         named = S.exists(S.transform(outside, lambda k, i: field_category(k, config).isNotNull() & (
             ~null_leaf | (i + 1 < S.size(outside)))), lambda x: x)
@@ -168,4 +255,4 @@ def safe_metadata(value: Sql, config: ScanConfig = ScanConfig()) -> Sql:
             lambda w: S.size(detect(w, config)) > 0)
         return named | (n["path"].rlike("/(?:inputSchema|outputSchema)/") & in_schema) | words
 
-    return ~S.exists(nodes(value), unsafe)
+    return S.let(opened(value), lambda found: ~(S.exists(found, unsafe) | unopened(found)))

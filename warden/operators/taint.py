@@ -28,9 +28,14 @@ def order_key(ts: str = "ts", seq: str = "seq") -> Column:
         f" + cast({seq} as decimal(38,0))").cast("decimal(38,0)")
 
 
-def path_source(path: Sql, rules: RuleSet = RuleSet()) -> Sql:
-    """The source id of a protected path, by the rules that guard reads."""
-    return first_rule_id(path, [r for layer in ("built_in", "organization") for r in rules.of(layer, "read")])
+def path_source(path: Sql, rules: RuleSet = RuleSet(), project: Sql | None = None) -> Sql:
+    """The source id of a protected path, by the rules that guard reads, those of the call's project included."""
+    layers = ("built_in", "organization", "project")
+    return first_rule_id(path, [r for layer in layers for r in rules.of(layer, "read")], project)
+
+
+def _project(calls: DataFrame) -> Sql | None:
+    return S.ref("project") if "project" in calls.columns else None
 
 
 def source_categories(source_id: Sql) -> Sql:
@@ -53,7 +58,7 @@ def sources(calls: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
     this function as pseudonyms only.
     """
     paths = S.transform(S.ref("paths"), lambda p: S.let(normalize(S.ref("cwd"), p), lambda n: S.let(
-        path_source(n, rules), lambda source: S.when(source.isNotNull(), S.struct(
+        path_source(n, rules, _project(calls)), lambda source: S.when(source.isNotNull(), S.struct(
             source.alias("source_id"), S.lit("file").alias("resource_kind"), pseudonym(n).alias("resource"),
             source_categories(source).alias("categories"))))))
     texts = S.transform(S.ref("sql_texts"), lambda q: S.transform(
@@ -68,7 +73,7 @@ def sources(calls: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
 def call_categories(calls: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
     """The categories each call exposes by its paths, kept in the row as ``source_categories``."""
     found = S.transform(S.ref("paths"), lambda p: S.let(
-        path_source(normalize(S.ref("cwd"), p), rules),
+        path_source(normalize(S.ref("cwd"), p), rules, _project(calls)),
         lambda source: S.when(source.isNotNull(), source_categories(source)).otherwise(S.expr(_STRINGS))))
     return calls.withColumn("source_categories", S.col(S.array_distinct(S.flatten(found))))
 

@@ -12,23 +12,46 @@ from warden.vocab import CLIENT_METHODS, SERVER_NOTIFICATIONS
 
 DAY = 86400
 TIMEOUT = 60 * DAY
+# A third and more of the orders share one session; ids are used again within the timeout.
 FRAMES = """
-select cast(o_custkey % 40 as string) as session_id, cast(o_orderkey % 400 as string) as id, o_orderdate as ts,
-  o_orderkey * 1000000 as seq, 'request' as kind from {orders}
+with o as (select o_orderkey, o_orderdate, o_orderstatus,
+    case when o_custkey % 3 = 1 then 'hub' else concat('c', cast(o_custkey as string)) end as session_id,
+    case when o_custkey % 3 = 1 then cast(o_orderkey % 32 + 32 * cast(floor(o_orderkey / 512) as bigint) as string)
+      else cast(o_orderkey % 3 as string) end as id
+  from {orders})
+select session_id, id, o_orderdate as ts, o_orderkey * 1000000 as seq, 'request' as kind from o
 union all
-select cast(o_custkey % 40 as string), cast(o_orderkey % 400 as string), o_orderdate + interval 9 days, o_orderkey * 1000000 + 999999, 'cancel'
-  from {orders} where o_orderstatus = 'P'
+select session_id, id, o_orderdate + interval 9 days, o_orderkey * 1000000 + 999999, 'cancel' from o where o_orderstatus = 'P'
 union all
-select cast(o_custkey % 40 as string), cast(o_orderkey % 400 as string), l_shipdate, o_orderkey * 1000000 + l_partkey % 1000 * 900 + l_linenumber, 'reply'
-  from {lineitem} join {orders} on l_orderkey = o_orderkey where l_linenumber <= 2
+select session_id, id, l_shipdate, o_orderkey * 1000000 + l_partkey % 1000 * 900 + l_linenumber, 'reply'
+  from {lineitem} join o on l_orderkey = o_orderkey
 """
+# The rule one frame after the other: what is open under an id (its kind, moment and place), then the next frame.
 STATUS = f"""
-f as ({sql(FRAMES)}), n as (select *, lag(kind) over w as pk, lag(ts) over w as pt, lag(seq) over w as ps, lead(kind) over w as nk, lead(ts) over w as nt
-  from f window w as (partition by session_id, id order by ts, seq)),
-x as (select *, case when date_diff('second', pt, ts) < {TIMEOUT} then pk end as a, case when date_diff('second', ts, nt) < {TIMEOUT} then nk end as b from n),
-s as (select *, case kind when 'reply' then case a when 'request' then 'answered' when 'cancel' then 'dropped' else 'orphan' end
-  when 'cancel' then case when a = 'request' then 'cancelled' else 'unknown_cancel' end
-  else case when a in ('request', 'cancel') then 'duplicate' when b = 'reply' then 'answered' when b = 'cancel' then 'cancelled' else 'unanswered' end end as status from x)"""
+recursive f as (select *, row_number() over (partition by session_id, id order by ts, seq, kind) as n from ({sql(FRAMES)}) x),
+w as (select session_id, id, ts, seq, kind, n, cast(null as bigint) as request_seq, cast(null as timestamp) as request_ts,
+    case kind when 'request' then 'accepted' when 'reply' then 'orphan' else 'unknown_cancel' end as status,
+    case when kind = 'request' then 'open' else 'free' end as held, cast(ts as timestamp) as held_ts, seq as held_seq, cast(ts as timestamp) as begun
+  from f where n = 1
+  union all
+  select session_id, id, ts, seq, kind, n, case when status in ('answered', 'cancelled') then held_seq end,
+    case when status in ('answered', 'cancelled') then begun end, status,
+    case when status = 'accepted' then 'open' when status = 'cancelled' then 'off' when kind = 'reply' then 'free' else held end,
+    case when status in ('accepted', 'cancelled') then ts else held_ts end,
+    case when status = 'accepted' then seq else held_seq end, case when status = 'accepted' then ts else begun end
+  from (select s.*, case
+      when kind = 'request' then case when held = 'free' then 'accepted' else 'duplicate' end
+      when kind = 'cancel' then case when held = 'open' then 'cancelled' else 'unknown_cancel' end
+      else case held when 'open' then 'answered' when 'off' then 'dropped' else 'orphan' end end as status
+    from (select f.*, w.held_ts, w.held_seq, w.begun,
+        case when date_diff('second', w.held_ts, cast(f.ts as timestamp)) < {TIMEOUT} then w.held else 'free' end as held
+      from w join f on f.session_id = w.session_id and f.id = w.id and f.n = w.n + 1) s) t),
+e as (select session_id, id, request_seq, max(ts) filter (where status = 'cancelled') as off_ts,
+    max(ts) filter (where status = 'answered') as reply_ts from w where request_seq is not null group by all),
+s as (select w.session_id, w.id, w.ts, w.seq, w.kind, w.request_seq, w.request_ts, e.off_ts, e.reply_ts,
+    case when w.status <> 'accepted' then w.status when e.off_ts is not null then 'cancelled'
+      when e.reply_ts is not null then 'answered' else 'unanswered' end as status
+  from w left join e on w.status = 'accepted' and e.session_id = w.session_id and e.id = w.id and e.request_seq = w.seq)"""
 
 
 def rows(spark, folder):
@@ -36,7 +59,7 @@ def rows(spark, folder):
 
 
 @query("j8_request_reply", f"""
-with {STATUS} select session_id, id, ps as request_seq, seq as reply_seq, date_diff('microsecond', pt, ts) as latency_us
+with {STATUS} select session_id, id, request_seq, seq as reply_seq, date_diff('microsecond', request_ts, cast(ts as timestamp)) as latency_us
 from s where kind = 'reply' and status = 'answered'""")
 def j8(spark, folder):
     return frames.pair(rows(spark, folder), TIMEOUT)
@@ -58,12 +81,17 @@ def j11(spark, folder):
 
 
 @query("w7_live_requests", f"""
-with {STATUS}, l as (select session_id, seq, sum(case when kind = 'request' and status <> 'duplicate' then 1
-   when kind = 'reply' and status in ('answered', 'dropped') then -1 else 0 end)
-   over (partition by session_id order by ts, seq rows unbounded preceding) as n_live from s)
-select session_id, seq, cast(n_live as bigint) as n_live, cast(n_live > 64 as int) as over_cap from l""")
+with {STATUS}, d as (select session_id, id, seq, ts from s where status = 'dropped'),
+b as (select session_id, 1 as frame, ts as moment, seq, case when kind = 'request' and status <> 'duplicate' then 1
+    when kind = 'reply' and status in ('answered', 'dropped') then -1 else 0 end as step from s
+  union all select session_id, 0, ts + interval {TIMEOUT} seconds, null, -1 from s where kind = 'request' and status = 'unanswered'
+  union all select c.session_id, 0, c.off_ts + interval {TIMEOUT} seconds, null, -1 from s c
+    where c.kind = 'request' and c.status = 'cancelled' and not exists (select 1 from d where d.session_id = c.session_id
+      and d.id = c.id and d.ts >= c.off_ts and d.ts < c.off_ts + interval {TIMEOUT} seconds)),
+l as (select session_id, frame, seq, sum(step) over (partition by session_id order by moment, frame, seq rows unbounded preceding) as n_live from b)
+select session_id, seq, cast(n_live as bigint) as n_live, cast(n_live > 64 as int) as over_cap from l where frame = 1""")
 def w7(spark, folder):
-    return frames.live(rows(spark, folder), TIMEOUT, 30 * DAY).select(
+    return frames.live(rows(spark, folder), TIMEOUT, DAY).select(
         "session_id", "seq", "n_live", F.col("over_cap").cast("int").alias("over_cap"))
 
 

@@ -76,16 +76,23 @@ def fold_batch(batch: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     """ST1 without Python: one micro-batch joined with the stored first moments of its sessions.
 
     ``known`` has the columns of operators.taint.first_seen. Returns the events with
-    their prior categories and the new table of first moments. For foreachBatch, where
-    the caller stores that table in a shared folder under the id of the batch.
+    their prior categories and the new first moments of the sessions of this batch that
+    have any; the caller merges those rows into the stored ones by (agent, session_id). What was known before the batch
+    counts for all of its events, however late; within the batch the order decides.
     """
     marks = [f"first_{c}" for c in CATEGORIES]
-    both = known.unionByName(first_seen(batch))
-    merged = both.groupBy(*KEY).agg(*[F.min(m).alias(m) for m in marks])
-    joined = batch.withColumn("_order", order_key()).join(merged, list(KEY), "left")
+    here = batch.select(*KEY).where("session_id is not null").distinct()
+    fresh = first_seen(batch)
+    earlier = known.join(here, list(KEY), "left_semi")
+    merged = earlier.unionByName(fresh).groupBy(*KEY).agg(*[F.min(m).alias(m) for m in marks])
+    joined = (
+        batch.withColumn("_order", order_key())
+        .join(fresh, list(KEY), "left")
+        .join(earlier.select(*KEY, *[F.col(m).alias(f"old_{m}") for m in marks]), list(KEY), "left"))
     touched = F.filter(
-        F.array(*[F.when(F.col(f"first_{c}") < F.col("_order"), F.lit(c)) for c in CATEGORIES]), lambda c: c.isNotNull())
-    return joined.withColumn("prior", touched).drop("_order", *marks), merged
+        F.array(*[F.when(F.col(f"old_first_{c}").isNotNull() | (F.col(f"first_{c}") < F.col("_order")), F.lit(c))
+                  for c in CATEGORIES]), lambda c: c.isNotNull())
+    return joined.withColumn("prior", touched).drop("_order", *marks, *[f"old_{m}" for m in marks]), merged
 
 
 def once(records: DataFrame, delay: str = "1 hour") -> DataFrame:

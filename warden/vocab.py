@@ -160,6 +160,7 @@ MAX_SHELL_TOKENS = 512
 MAX_SHELL_DEPTH = 4
 MAX_WRAPPERS = 8
 MAX_JSON_DEPTH = 16
+MAX_FRAME_DEPTH = 32
 MAX_SOURCES = 32
 MAX_PENDING = 64
 MAX_RULES = 1_024
