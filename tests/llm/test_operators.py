@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from warden.llm import (bootstrap, coder, common, grammar, gray, lines, machine, ngrams, pieces, queries, templates, tiff,
                         tokenfile)
@@ -296,6 +297,25 @@ def test_base_scores_are_exact_and_the_model_is_better(spark):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_filter_grows_with_its_entries(spark):
+    rows = spark.range(60_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    for n in (6_000, 60_000):
+        some = rows.limit(n).select(F.col("text").cast("binary").alias("text"))
+        made = ngrams.gathered(ngrams.built(some, least=64))
+        unseen = ngrams.singles(ngrams.words(" ".join(f"x{i}" for i in range(20_000)).encode())[:-1])
+        assert (made.levels(unseen) > 0).mean() < 1.5 * ngrams.ERROR
+    assert ngrams.level(np.array([1 << 20, 1 << 40])).tolist() == [21, 41]
+
+
+def test_a_filter_that_stays_dealt_gives_the_same_scores(spark, awkward, monkeypatch):
+    docs = common.read(spark, FOLDER, "documents").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+    want = sorted(map(str, ngrams.score(docs).select("doc_id", "n_tokens", "n_known", F.round("score", 6)).collect()))
+    monkeypatch.setattr(ngrams, "BROADCAST", 0)
+    monkeypatch.setattr(ngrams, "CHUNK_BYTES", 100_000)
+    got = sorted(map(str, ngrams.score(docs).select("doc_id", "n_tokens", "n_known", F.round("score", 6)).collect()))
+    assert got == want
+
+
 # --- 8: TIFF --------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("scheme", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
