@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,26 @@ def test_links_of_crowded_fingerprints(spark, chunk):
     assert {i: roots.get(i, i) for i in range(len(fps))} == want
 
 
+def test_a_run_of_several_chunks_that_begins_inside_a_partition():
+    # Key 1 ends in the first frame; key 2 fills several chunks. Any two of its fingerprints differ in two bits.
+    fps = np.array([1 << i for i in range(40)], np.uint64)
+    ranks = fps.copy()
+    for step in (1, 2, 4, 8, 16, 32):
+        ranks ^= ranks >> np.uint64(step)
+    ranks = np.r_[[5, 6, 9], np.sort(ranks).view(np.int64)]
+    whole = pd.DataFrame({"key": [1] * 3 + [2] * 40, "rank": ranks, "rep": np.arange(43)})
+    frames = [whole[at:at + 4] for at in range(0, len(whole), 4)]
+    found = pd.concat(gray._chunks(gray.MOST_BITS, 8)(iter(frames)))
+    linked = found[found["key"].isna()][["a", "b"]]
+    parts = found[found["key"] == 2].sort_values("low")
+    assert len(parts) > 2
+    pairs = [{"ranks": x.ranks, "reps": x.reps, "other_ranks": y.ranks, "other_reps": y.reps}
+             for i, x in enumerate(parts.itertuples()) for y in parts.iloc[i + 1:].itertuples()]
+    linked = pd.concat([linked, *gray._across(gray.MOST_BITS)(iter([pd.DataFrame(pairs)]))]).astype(int)
+    labels = gray.merge(np.arange(43), linked["a"].to_numpy(), linked["b"].to_numpy())
+    assert set(labels[3:]) == {3}
+
+
 # --- 5: token files -------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("high", [1, 300, 49_408, 2 ** 31])

@@ -200,14 +200,15 @@ def _chunks(limit: int, chunk: int):
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, going_on = [], True  # the first run may have begun in the partition before
 
-        def flush(rows, last):
+        def flush(rows, last=False, alone=False):
             nonlocal going_on
             keys, ranks, reps = (np.concatenate([r[i] for r in rows]) for i in range(3))
             fps = _from_rank(ranks)
             yield from links(reps, _linked(fps, keys, limit))
             edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             ends = np.r_[edge[1:], len(keys)]
-            cut = [(edge[0], ends[0])] if going_on else []
+            # A run that fills the chunk alone may go on in the next one, wherever it began.
+            cut = [(edge[0], ends[0])] if going_on or alone else []
             if last and (len(edge) > 1 or not going_on):
                 cut.append((edge[-1], ends[-1]))
             yield from open_rows(keys, ranks, fps, reps, cut)
@@ -226,7 +227,7 @@ def _chunks(limit: int, chunk: int):
             stop = int(np.searchsorted(keys, keys[-1]))
             alone = stop == 0
             stop = len(keys) if alone else stop
-            yield from flush([(keys[:stop], ranks[:stop], reps[:stop])], last=False)
+            yield from flush([(keys[:stop], ranks[:stop], reps[:stop])], alone=alone)
             going_on = alone
             held, size = ([(keys[stop:], ranks[stop:], reps[stop:])], len(keys) - stop) if stop < len(keys) else ([], 0)
         if held:
