@@ -223,6 +223,15 @@ def test_token_files_against_the_library(spark, tmp_path):
         start += len(ids) // 4
 
 
+def test_names_of_special_tokens_are_coded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer, some = Tokenizer.from_file(WORDS), ["a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|EndOfText|> z"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert 49407 in want[0]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in tokenfile.word_tokenizer(WORDS)(some)] == want
+
+
 # --- 6: lines -------------------------------------------------------------------------------------------------------
 
 def plain_dedup(rows, cells, grams, window, reach, least):

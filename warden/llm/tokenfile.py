@@ -30,13 +30,13 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     """Ids (little-endian 32 bits each) of texts, by a tokenizer that drops white space and never joins across it.
 
-    Words between white space are remembered per worker. The names of special tokens in a text are ordinary text.
+    Words between white space are remembered per worker. The name of a special token in a text becomes that token's id,
+    as in the tokenizer's plain `encode`; such names hold no white space.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     known: dict[str, bytes] = {}
 
     def split(text):
