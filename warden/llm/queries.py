@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from warden.llm import bootstrap, common, grammar, gray, lines, machine, ngrams, pieces, templates, tiff, tokenfile
+from warden.llm import (bootstrap, collocations, common, exact, grammar, gray, lines, machine, merkle, ngrams, pieces, statements,
+                        templates, tiff, tokenfile)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Statements of queries that SQL can express; the others are held against brute force in tests/llm.
@@ -85,3 +86,18 @@ def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bootstrapped_contexts")
 def _personal(spark: SparkSession, folder: str) -> DataFrame:
     return bootstrap.personal_data(common.read(spark, folder, "documents"))
+
+
+@query("op11_count_streams", statements.COLLOCATIONS)
+def _collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.ranked(common.read(spark, folder, "documents"))
+
+
+@query("op12_merkle_manifest", statements.MERKLE)
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(common.read(spark, folder, "documents"))
+
+
+@query("op13_exact_refinement", statements.EXACT)
+def _exact(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.groups(common.read(spark, folder, "documents"), digests=True)
