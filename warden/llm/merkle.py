@@ -79,8 +79,8 @@ def checkpoints(leaves: DataFrame, name: str) -> list[DataFrame]:
     """The written levels of all trees, the leaves (tree, pos, n, h, ...) first; a tree's root is where its n is 1."""
     levels = [leaves]
     most = leaves.agg(F.max("n")).first()[0] or 0
-    top = "case steps " + " ".join(f"when {k} then element_at(l{k}, 1)" for k in range(1, STRIDE)) + (
-        f" else element_at({_up(f'l{STRIDE - 1}')}, 1) end")
+    roots = [*[f"l{k}" for k in range(1, STRIDE)], _up(f"l{STRIDE - 1}")]
+    top = "element_at(array(" + ", ".join(f"element_at({level}, 1)" for level in roots) + "), steps)"
     while most > 1:
         made = _subtrees(levels[-1]).select(
             "tree", F.col("block").alias("pos"), F.expr(f"(n - 1) div cast(power({FAN}, steps) as bigint) + 1").alias("n"),
