@@ -29,15 +29,46 @@ GIT_VALUES = ("-C", "-c", "--git-dir", "--work-tree", "--namespace")
 MYSQL_VALUES = ("-h", "--host", "-u", "--user", "-P", "--port", "-S", "--socket", "-D", "--database")
 MYSQL_FLAGS = ("-B", "--batch", "-N", "--skip-column-names", "-t", "--table", "--no-defaults")
 DDEV_SAFE = ("start", "describe", "status", "version", "list", "logs", "stop", "restart")
-SEARCH_VALUES = ("-A", "--after-context", "-B", "--before-context", "-C", "--context", "-g", "--glob", "--iglob", "-j",
-                 "--threads", "-m", "--max-count", "--max-columns", "--max-depth", "--path-separator", "-t", "--type",
-                 "-T", "--type-not", "--type-add", "--encoding", "--engine", "--sort", "--sortr")
 READERS = ("cat", "head", "tail", "less", "more", "sed", "awk", "wc")
-CURL_DATA = ("-d", "--data", "--data-binary", "--data-ascii")
-CURL_FILES = ("-T", "--upload-file", "-K", "--config")
-CURL_FORMS = ("-F", "--form")
-COPY_LONG = ("--recursive", "--force", "--preserve", "--no-preserve", "--verbose", "--no-target-directory")
-COPY_PREFIXES = r"^--(?:mode|owner|group|suffix|preserve|no-preserve)="
+# program: effect of an option, then the ways to write it; V stands for its value.
+OPTION_TABLE = (
+    ("cp mv rm install", "target", "-t V", "-tV", "--target-directory V", "--target-directory=V"),
+    ("cp mv rm install", "value", "--suffix V"),
+    ("cp mv rm", "unclear", "-m V", "--mode V", "-o V", "--owner V", "-g V", "--group V"),
+    ("install", "value", "-m V", "--mode V", "-o V", "--owner V", "-g V", "--group V"),
+    ("cp mv rm install", "flag", "--recursive", "--force", "--preserve", "--no-preserve", "--verbose",
+     "--no-target-directory", "--mode=V", "--owner=V", "--group=V", "--suffix=V", "--preserve=V", "--no-preserve=V"),
+    ("grep rg", "read", "-f V", "-fV", "--file V", "--file=V"),
+    ("grep rg", "pattern", "-e V", "-eV", "--regexp V", "--regexp=V"),
+    ("grep rg", "value", "-A V", "--after-context V", "-B V", "--before-context V", "-C V", "--context V", "-g V",
+     "--glob V", "--iglob V", "-j V", "--threads V", "-m V", "--max-count V", "--max-columns V", "--max-depth V",
+     "--path-separator V", "-t V", "--type V", "-T V", "--type-not V", "--type-add V", "--encoding V", "--engine V",
+     "--sort V", "--sortr V"),
+    ("rg", "value", "-r V", "--replace V"),
+    ("curl", "write", "-o V", "-o=V", "--output V", "--output=V", "--output-dir V", "--output-dir=V"),
+    ("curl", "write attached", "-oV"),
+    ("curl", "write by server", "-O", "--remote-name", "--remote-name-all", "-J", "--remote-header-name"),
+    ("curl", "data", "-d V", "-dV", "--data V", "--data=V", "--data-binary V", "--data-binary=V", "--data-ascii V",
+     "--data-ascii=V"),
+    ("curl", "encoded", "--data-urlencode V", "--data-urlencode=V"),
+    ("curl", "form", "-F V", "-FV", "--form V", "--form=V"),
+    ("curl", "send", "-T V", "-TV", "--upload-file V", "--upload-file=V", "-K V", "-KV", "--config V", "--config=V"),
+    ("wget", "write", "-O V", "-O=V", "--output-document V", "--output-document=V", "-P V", "-P=V",
+     "--directory-prefix V", "--directory-prefix=V"),
+    ("wget", "write attached", "-OV", "-PV"),
+    ("wget", "send whole", "--post-file V", "--post-file=V", "--body-file V", "--body-file=V", "--input-file V",
+     "--input-file=V", "-i V"),
+    ("ddev exec", "service", "-s V", "-s=V", "--service V", "--service=V"),
+    ("ddev exec", "dir", "-d V", "-d=V", "--dir V", "--dir=V"),
+    ("ddev exec", "raw", "--raw", "--raw=V"),
+)
+# How a program reads its arguments besides: unknown options that make the command unclear, whether a value may be read
+# as an option too, whether -- ends the options, whether the first operand does, and whether a lone - is an operand.
+READING = {
+    "cp": dict(unclear="--"), "install": dict(unclear="--"), "grep": dict(dash=True), "rg": dict(dash=True),
+    "curl": dict(peeks=True, ends=False), "wget": dict(peeks=True, ends=False),
+    "ddev exec": dict(unclear="-", stops=True),
+}
 
 
 def args_of(argv: Sql) -> Sql:
@@ -57,6 +88,75 @@ def short_flag(arg: Sql, letters: str) -> Sql:
     return arg.rlike(rf"(?s)^-(?!-).*[{letters}]")
 
 
+# --- options -----------------------------------------------------------------
+
+WORDS = "array<struct<effect:string,flag:string,value:string>>"
+
+
+def _effect(program: str, key: Sql, shape: str) -> Sql:
+    """Effect of an option of a program that is written in one shape: "V" with the value apart, "=V", "V" attached or bare."""
+    ladder = None
+    for programs, effect, *ways in OPTION_TABLE:
+        if program not in programs.split(" ") and program != programs:
+            continue
+        ends = {"apart": " V", "joined": "=V", "attached": "V", "bare": ""}
+        names = [way.removesuffix(ends[shape]) for way in ways if _shape(way) == shape]
+        if names:
+            ladder = F.when(key.isin(*names), effect) if ladder is None else ladder.when(key.isin(*names), effect)
+    return F.lit(None).cast("string") if ladder is None else ladder.otherwise(None)
+
+
+def _shape(way: str) -> str:
+    return "apart" if way.endswith(" V") else "joined" if way.endswith("=V") else "attached" if way.endswith("V") else "bare"
+
+
+def words(program: str, args: Sql) -> Sql:
+    """Arguments as (effect, flag, value): every option by OPTION_TABLE, every other word as an operand.
+
+    An option whose value is missing has the value NULL; unknown options are flags, or unclear.
+    """
+    how = dict(unclear=None, peeks=False, ends=True, stops=False, dash=False) | READING[program]
+    one = lambda effect, flag, value: F.array(F.struct(
+        F.lit(effect).alias("effect"), F.lit(flag).cast("string").alias("flag"), F.lit(value).cast("string").alias("value")))
+    state = f"struct<skip:boolean,only:boolean,out:{WORDS}>"
+    to = lambda skip, only, out: F.struct(
+        F.lit(skip).alias("skip"), F.lit(only).alias("only"), out.alias("out")).cast(state)
+
+    def step(acc: Sql, a: Sql) -> Sql:
+        word, only, out = a["word"], acc["only"], acc["out"]
+        head, tail = F.substring_index(word, "=", 1), word.substr(F.instr(word, "=") + 1, F.length(word))
+        add = lambda more, skip=False, last=only: to(skip, last, F.concat(out, more))
+        operand = only | ~word.startswith("-") | (F.lit(how["dash"]) & (word == "-"))
+        ladder = F.when(acc["skip"], to(False, only, out)).when(
+            operand, add(one("operand", None, word), last=F.lit(True) if how["stops"] else only))
+        if how["ends"]:
+            ladder = ladder.when(word == "--", to(False, True, out))
+        apart, joined, attached, bare = (
+            _effect(program, word, "apart"), _effect(program, head, "joined"),
+            _effect(program, F.substring(word, 1, 2), "attached"), _effect(program, word, "bare"))
+        unknown = F.lit("flag") if how["unclear"] is None else F.when(
+            word.startswith(how["unclear"]), "unclear").otherwise("flag")
+        return (
+            ladder.when(apart.isNotNull(), add(one(apart, word, a["next"]), skip=not how["peeks"]))
+            .when(F.contains(word, "=") & joined.isNotNull(), add(one(joined, head, tail)))
+            .when((F.length(word) > 2) & ~word.startswith("--") & attached.isNotNull(), add(one(
+                attached, F.substring(word, 1, 2), word.substr(3, F.length(word)))))
+            .otherwise(add(one(F.coalesce(bare, unknown), word, None))))
+
+    return F.aggregate(
+        F.transform(args, lambda w, i: F.struct(w.alias("word"), F.get(args, i + 1).alias("next"))),
+        to(False, False, F.expr(f"cast(array() as {WORDS})")), step, lambda s: s["out"])
+
+
+def values(found: Sql, *effects: str) -> Sql:
+    """Values of the words with one of these effects."""
+    return F.transform(F.filter(found, lambda w: w["effect"].isin(*effects)), lambda w: w["value"])
+
+
+def has(found: Sql, *effects: str) -> Sql:
+    return F.exists(found, lambda w: w["effect"].isin(*effects))
+
+
 # --- fixed verdicts ----------------------------------------------------------
 
 OPTIONS = {"drush": (DRUSH_FLAGS, DRUSH_VALUES), "composer": (COMPOSER_FLAGS, COMPOSER_VALUES), "git": ((), GIT_VALUES)}
@@ -157,37 +257,16 @@ def ddev_rest(args: Sql) -> Sql:
 
 def ddev_exec(args: Sql) -> Sql:
     """struct(inner, dir, raw) of ``ddev exec``; NULL when its context is not known."""
-    state = "struct<at:int,flag:string,dir:string,raw:boolean,bad:boolean>"
-    make = lambda at, flag, dir_, raw, bad: F.struct(
-        F.lit(at).alias("at"), F.lit(flag).alias("flag"), F.lit(dir_).alias("dir"), F.lit(raw).alias("raw"),
-        F.lit(bad).alias("bad")).cast(state)
-
-    def valued(acc: Sql, flag: Sql, value: Sql) -> Sql:
-        return (
-            F.when(flag.isin("--service", "-s") & (value == "web"), make(-1, "", acc["dir"], acc["raw"], False))
-            .when(flag.isin("--dir", "-d") & is_absolute(value), make(-1, "", value, acc["raw"], False))
-            .when((flag == "--raw") & (value == "true"), make(-1, "", acc["dir"], True, False))
-            .otherwise(make(-1, "", acc["dir"], acc["raw"], True)))
+    def read_(found: Sql) -> Sql:
+        odd = F.exists(found, lambda w: (
+            F.when(w["effect"] == "service", ~F.coalesce(w["value"] == "web", F.lit(False)))
+            .when(w["effect"] == "dir", w["value"].isNull() | ~is_absolute(w["value"]))
+            .when(w["effect"] == "raw", F.coalesce(w["value"] != "true", F.lit(False)))
+            .otherwise(w["effect"] == "unclear")))
+        return F.let(values(found, "operand"), lambda inner: F.when(~odd & (F.size(inner) > 0), F.struct(
+            inner.alias("inner"), F.get(F.reverse(values(found, "dir")), 0).alias("dir"), has(found, "raw").alias("raw"))))
 
-    def step(acc: Sql, a: Sql) -> Sql:
-        word, i = a["word"], a["i"]
-        return (
-            F.when((acc["at"] >= 0) | acc["bad"], acc)
-            .when(acc["flag"] != "", valued(acc, acc["flag"], word))
-            .when(word == "--", make(i + 1, "", acc["dir"], acc["raw"], False))
-            .when(~word.startswith("-"), make(i, "", acc["dir"], acc["raw"], False))
-            .when(F.contains(word, "="), valued(
-                acc, F.substring_index(word, "=", 1), word.substr(F.instr(word, "=") + 1, F.length(word))))
-            .when(word.isin("--service", "-s", "--dir", "-d"), make(-1, word, acc["dir"], acc["raw"], False))
-            .when(word == "--raw", make(-1, "", acc["dir"], True, False))
-            .otherwise(make(-1, "", acc["dir"], acc["raw"], True)))
-
-    walked = F.aggregate(
-        F.transform(args, lambda w, i: F.struct(w.alias("word"), i.alias("i"))),
-        make(-1, "", F.lit(None), False, False), step)
-    return F.let(walked, lambda s: F.when(
-        ~s["bad"] & (s["at"] >= 0) & (s["at"] < F.size(args)),
-        F.struct(after(args, s["at"] + 1).alias("inner"), s["dir"].alias("dir"), s["raw"].alias("raw"))))
+    return F.let(words("ddev exec", args), read_)
 
 
 def literal(args: Sql) -> Sql:
@@ -257,48 +336,24 @@ def operands(args: Sql) -> Sql:
 
 def _copies(name: Sql, args: Sql, cwd: Sql) -> Sql:
     """Targets and sources of cp, mv, install and rm."""
-    state = "struct<only:boolean,skip:string,dir:string,bad:boolean,out:array<string>>"
-    make = lambda only, skip, dir_, bad, out: F.struct(
-        F.lit(only).alias("only"), F.lit(skip).alias("skip"), F.lit(dir_).alias("dir"), F.lit(bad).alias("bad"),
-        out.alias("out")).cast(state)
-
-    def step(acc: Sql, a: Sql) -> Sql:
-        out, dir_, only = acc["out"], acc["dir"], acc["only"]
-        option = ~only
+    clustered = F.exists(args, lambda a: a.rlike(r"(?s)^-(?![-t]).*t"))
+    whole = F.exists(args, lambda a: (a == "--recursive") | short_flag(a, "rRa"))
+
+    def built(found: Sql, named: Sql, rest: Sql) -> Sql:
+        open_ = has(found, "unclear") | F.exists(
+            found, lambda w: w["effect"].isin("target", "value") & w["value"].isNull())
+        to = F.coalesce(F.get(F.reverse(named), 0), F.get(F.reverse(rest), 0))
+        from_ = F.when(F.size(named) > 0, rest).otherwise(F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0))))
+        taken = lambda p: F.when(name == "mv", F.array(read(p, cwd), check(p, "write", True, cwd))).otherwise(
+            F.array(read(p, cwd)))
         return (
-            F.when(acc["bad"], acc)
-            .when(acc["skip"] == "dir", make(only, "", a, False, out))
-            .when(acc["skip"] == "value", make(only, "", dir_, False, out))
-            .when(option & (a == "--"), make(True, "", dir_, False, out))
-            .when(option & a.isin("-t", "--target-directory"), make(only, "dir", dir_, False, out))
-            .when(option & a.rlike("(?s)^-t."), make(only, "", a.substr(3, F.length(a)), False, out))
-            .when(option & a.startswith("--target-directory="), make(only, "", a.substr(20, F.length(a)), False, out))
-            .when(option & a.isin("-m", "--mode", "-o", "--owner", "-g", "--group", "--suffix"),
-                  make(only, "value", dir_, (name != "install") & (a != "--suffix"), out))
-            .when(only | ~a.startswith("-"), make(only, "", dir_, False, F.array_append(out, a)))
-            .when(a.startswith("--") & ~a.isin(*COPY_LONG) & ~a.rlike(COPY_PREFIXES), make(only, "", dir_, True, out))
-            .otherwise(acc))
+            F.when(open_ | ((name != "rm") & (to.isNull() | clustered)), shell_rule("filesystem.ambiguous"))
+            .when(name == "rm", F.transform(rest, lambda p: check(p, "write", True, cwd)))
+            .otherwise(F.concat(F.array(check(to, "write", whole, cwd)), F.flatten(F.transform(from_, taken)))))
 
-    walked = F.aggregate(args, make(False, "", F.lit(None), False, F.expr(_STRINGS)), step)
-    bundled = F.exists(args, lambda a: a.rlike(r"(?s)^-(?![-t]).*t"))
-    recursive = F.exists(args, lambda a: (a == "--recursive") | short_flag(a, "rRa"))
-
-    def built(s: Sql) -> Sql:
-        has_dir = s["dir"].isNotNull()
-        target = F.when(has_dir, s["dir"]).otherwise(F.get(s["out"], F.size(s["out"]) - 1))
-        sources = F.when(has_dir, s["out"]).otherwise(F.slice(s["out"], 1, F.greatest(F.size(s["out"]) - 1, F.lit(0))))
-        unclear = s["bad"] | (s["skip"] != "") | target.isNull() | bundled
-        return (
-            F.when(s["bad"] | (s["skip"] != ""), shell_rule("filesystem.ambiguous"))
-            .when(name == "rm", F.transform(s["out"], lambda p: check(p, "write", True, cwd)))
-            .when(unclear, shell_rule("filesystem.ambiguous"))
-            .otherwise(F.concat(
-                F.when(recursive, F.array(check(target, "write", True, cwd))).otherwise(
-                    F.array(check(target, "write", False, cwd))),
-                F.flatten(F.transform(sources, lambda p: F.when(
-                    name == "mv", F.array(read(p, cwd), check(p, "write", True, cwd))).otherwise(F.array(read(p, cwd))))))))
-
-    return F.let(walked, built)
+    found = F.when(name == "install", words("install", args)).otherwise(words("cp", args))
+    return F.let(found, lambda w: F.let(values(w, "target"), lambda t: F.let(
+        values(w, "operand"), lambda o: built(w, t, o))))
 
 
 def _pick(args: Sql, chosen) -> Sql:
@@ -306,48 +361,40 @@ def _pick(args: Sql, chosen) -> Sql:
     return F.filter(F.transform(args, lambda a, i: chosen(a, F.get(args, i + 1))), lambda x: x.isNotNull())
 
 
-def _downloads(name: Sql, args: Sql, cwd: Sql) -> Sql:
-    """Files curl and wget write."""
-    def written(flags: tuple[str, ...]) -> Sql:
-        short = [f for f in flags if len(f) == 2]
-        return _pick(args, lambda a, following: (
-            F.when(a.isin(*flags), F.coalesce(following, F.lit("\0")))
-            .when(F.contains(a, "="), F.when(F.substring_index(a, "=", 1).isin(*flags),
-                                             a.substr(F.instr(a, "=") + 1, F.length(a))))
-            .when(a.rlike(rf"(?s)^(?:{'|'.join(short)})."), a.substr(3, F.length(a)))))
+def _transfers(name: Sql, args: Sql, cwd: Sql) -> Sql:
+    """Files curl and wget write, then those they send."""
+    def built(found: Sql) -> Sql:
+        into = F.filter(found, lambda w: (w["effect"] == "write") | (
+            (w["effect"] == "write attached") & ~F.contains(w["value"], "=")))
+        written = F.let(into, lambda o: F.when(
+            F.exists(o, lambda w: w["value"].isNull()) | has(found, "write by server") | ((name == "wget") & (F.size(o) == 0)),
+            shell_rule("filesystem.ambiguous")).otherwise(F.transform(o, lambda w: check(w["value"], "write", False, cwd))))
+        return F.concat(written, F.transform(sent(found), lambda p: read(p, cwd)))
+
+    return F.let(_transfer_words(name, args), built)
+
+
+def _transfer_words(name: Sql, args: Sql) -> Sql:
+    return F.when(name == "curl", words("curl", args)).when(name == "wget", words("wget", args))
+
+
+def sent(found: Sql) -> Sql:
+    """Local files among the words of a transfer command."""
+    def file_of(w: Sql) -> Sql:
+        value, beyond = w["value"], lambda mark: w["value"].substr(
+            F.instr(w["value"], mark) + 1, F.length(w["value"]))
+        return F.when(w["effect"] == "send whole", value).otherwise(F.substring_index(
+            F.when(w["effect"] == "send", value)
+            .when((w["effect"] == "data") & value.startswith("@"), beyond("@"))
+            .when((w["effect"] == "encoded") & F.contains(value, "@"), beyond("@"))
+            .when((w["effect"] == "form") & value.rlike("(?s)^[^=]*=[@<]"), beyond("=").substr(2, F.length(value))), ";", 1))
 
-    curl = written(("-o", "--output", "--output-dir"))
-    wget = written(("-O", "--output-document", "-P", "--directory-prefix"))
-    remote = (name == "curl") & some(args, "-O", "--remote-name", "--remote-name-all", "-J", "--remote-header-name")
-    files = F.when(name == "curl", curl).otherwise(wget)
-    return F.let(files, lambda found: F.when(
-        remote | F.array_contains(found, "\0") | ((name == "wget") & (F.size(found) == 0)),
-        shell_rule("filesystem.ambiguous")).otherwise(F.transform(found, lambda p: check(p, "write", False, cwd))))
+    return F.filter(F.transform(found, file_of), lambda p: p.isNotNull())
 
 
 def uploads(name: Sql, args: Sql) -> Sql:
     """P20: local files a transfer command sends."""
-    def value_file(flag: Sql, value: Sql) -> Sql:
-        at = lambda v: v.substr(F.instr(v, "@") + 1, F.length(v))
-        form = value.substr(F.instr(value, "=") + 1, F.length(value))
-        return (
-            F.when(flag.isin(*CURL_DATA), F.when(value.startswith("@"), at(value)))
-            .when(flag == "--data-urlencode", F.when(F.contains(value, "@"), at(value)))
-            .when(flag.isin(*CURL_FORMS), F.when(F.contains(value, "=") & form.rlike("^[@<]"), form.substr(2, F.length(form))))
-            .when(flag.isin(*CURL_FILES), value))
-
-    split = lambda a, n: a.substr(n, F.length(a))
-    curl = _pick(args, lambda a, following: F.substring_index(
-        F.when(a.isin(*CURL_DATA, "--data-urlencode", *CURL_FORMS, *CURL_FILES), value_file(a, following))
-        .when(a.startswith("--"), F.when(F.contains(a, "="), value_file(
-            F.substring_index(a, "=", 1), split(a, F.instr(a, "=") + 1))))
-        .when(a.rlike("^-[dFTK]"), value_file(F.substring(a, 1, 2), split(a, 3))), ";", 1))
-    body = ("--post-file", "--body-file", "--input-file")
-    wget = _pick(args, lambda a, following: F.when(a.isin(*body, "-i"), following).when(
-        F.substring_index(a, "=", 1).isin(*body) & F.contains(a, "="), split(a, F.instr(a, "=") + 1)))
-    return (
-        F.when(name == "curl", curl)
-        .when(name == "wget", wget))
+    return F.let(_transfer_words(name, args), sent)
 
 
 def _git_objects(args: Sql, cwd: Sql) -> Sql:
@@ -389,34 +436,17 @@ def _git_objects(args: Sql, cwd: Sql) -> Sql:
 
 
 def search_paths(name: Sql, args: Sql) -> Sql:
-    """File operands of grep and rg; the first operand is the expression unless -e or -f gave one."""
-    state = "struct<skip:string,given:boolean,seen:boolean,only:boolean,out:array<string>>"
-    make = lambda skip, given, seen, only, out: F.struct(
-        F.lit(skip).alias("skip"), F.lit(given).alias("given"), F.lit(seen).alias("seen"), F.lit(only).alias("only"),
-        out.alias("out")).cast(state)
+    """File operands of grep and rg; the first operand is the expression unless -e or -f came before it."""
+    def built(found: Sql) -> Sql:
+        first = F.array_position(F.transform(found, lambda w: w["effect"]), "operand").cast("int")
+        given = has(F.slice(found, 1, F.greatest(first - 1, F.lit(0))), "pattern", "read")
+        return F.let(F.when(given, 0).otherwise(first), lambda expression: F.transform(
+            F.filter(found, lambda w, i: (w["effect"] == "read") | ((w["effect"] == "operand") & (i + 1 != expression))),
+            lambda w: w["value"]))
 
-    def step(acc: Sql, a: Sql) -> Sql:
-        word, has_next = a["word"], a["i"] + 1 < F.size(args)
-        skip, given, seen, only, out = (acc[k] for k in ("skip", "given", "seen", "only", "out"))
-        option = ~only & word.startswith("-") & (word != "-")
-        rest = lambda n: word.substr(n, F.length(word))
-        return (
-            F.when(skip == "file", make("", given, seen, only, F.array_append(out, word)))
-            .when(skip != "", make("", given, seen, only, out))
-            .when(~only & (word == "--"), make("", given, seen, True, out))
-            .when(option & word.isin("-f", "--file") & has_next, make("file", True, seen, only, out))
-            .when(option & word.isin("-e", "--regexp") & has_next, make("value", True, seen, only, out))
-            .when(option & word.startswith("--file="), make("", True, seen, only, F.array_append(out, rest(8))))
-            .when(option & word.rlike("(?s)^-f."), make("", True, seen, only, F.array_append(out, rest(3))))
-            .when(option & (word.startswith("--regexp=") | word.rlike("(?s)^-e.")), make("", True, seen, only, out))
-            .when(option & (word.isin(*SEARCH_VALUES) | ((name == "rg") & word.isin("-r", "--replace"))),
-                  make("value", given, seen, only, out))
-            .when(option, acc)
-            .when(given | seen, make("", given, seen, only, F.array_append(out, word)))
-            .otherwise(make("", given, True, only, out)))
-
-    return F.aggregate(F.transform(args, lambda w, i: F.struct(w.alias("word"), i.alias("i"))),
-                       make("", False, False, False, F.expr(_STRINGS)), step, lambda s: s["out"])
+    known = F.when(name == "rg", words("rg", args)).otherwise(words("grep", args))
+    # A last option without its value says nothing.
+    return F.let(F.filter(known, lambda w: w["value"].isNotNull()), built)
 
 
 def excluded(args: Sql) -> Sql:
@@ -456,7 +486,7 @@ def path_checks(name: Sql, args: Sql, cwd: Sql, protected: list[str]) -> Sql:
     return (
         F.when(name.isin("cp", "mv", "install", "rm"), F.concat(_copies(name, args, cwd), F.when(
             name.isin("cp", "mv"), reads(operands(early))).otherwise(no_checks())))
-        .when(name.isin("curl", "wget"), F.concat(_downloads(name, args, cwd), reads(uploads(name, args))))
+        .when(name.isin("curl", "wget"), _transfers(name, args, cwd))
         .when(name.isin("scp", "sftp", "rsync"), reads(
             F.filter(args, lambda a: ~a.startswith("-") & ~F.contains(a, ":"))))
         .when(name == "git", _git_objects(args, cwd))
