@@ -124,6 +124,15 @@ def test_structured_queries_and_database_tools(spark):
     assert got == {1: "sql.ambiguous", 2: "sql.read.sensitive_table"}
 
 
+def test_full_replay_needs_no_shuffle(spark):
+    """Commands, queries, paths, project rules and candidates are decided in one projection over one scan."""
+    from warden.plans import all_queries
+
+    df = all_queries.QUERIES["a4_full_replay"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and plan.count("Relation") == 1
+
+
 def test_policy_files(spark, tmp_path):
     org = {"schema": 3, "paths": {"deny_read": ["**/p/**"]}, "audit_only_rules": ["a.b"], "rules": [
         {"id": "a.b", "description": "d", "effect": "deny", "severity": "low", "match": {"paths": ["**/x", "**/y"]}}]}

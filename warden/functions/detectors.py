@@ -55,7 +55,7 @@ def unstrip(text: Sql, spans: Sql) -> Sql:
                 (acc["extra"] + F.when(acc["plain"] + c["gap"] <= position, c["cut"]).otherwise(0)).alias("extra")),
             lambda acc: acc["extra"])
 
-    shifted = F.let(pieces, lambda cuts: F.transform(
+    shifted = F.let_as(f"array<{SPAN}>", pieces, lambda cuts: F.transform(
         spans,
         lambda s: F.struct(
             moved(s["start"], cuts).alias("start"), (moved(s["end"] - 1, cuts) + 1).alias("end"), s["ord"].alias("ord"),
@@ -103,7 +103,7 @@ def continues(value: Sql) -> Sql:
             | (quote.isin('"', "'") & ((F.length(v) < 2) | (F.substring(v, -1, 1) != quote)))
         )
 
-    return F.let(value, goes_on)
+    return F.let_as("boolean", value, goes_on)
 
 
 def _assignment_lines(text: Sql, config: ScanConfig) -> Sql:
@@ -398,7 +398,7 @@ def _account_size(value: Sql) -> Sql:
             chars, F.struct(F.lit(0).alias("rest"), F.lit(4).alias("n"), F.expr("cast(null as int)").alias("size")),
             step, lambda acc: acc["size"])
 
-    return F.let(moved, walk)
+    return F.let_as("int", moved, walk)
 
 
 def ibans(text: Sql) -> Sql:
@@ -476,5 +476,5 @@ def detect(text: Sql, config: ScanConfig = ScanConfig()) -> Sql:
             found.append(ip_addresses(plain))
         return F.concat(*found)
 
-    spans = F.let(strip_ansi(text), lambda plain: F.let(F.lower(plain), lambda low: search(plain, low)))
-    return F.let(spans, lambda found: unstrip(text, found))
+    spans = F.let_as(f"array<{SPAN}>", strip_ansi(text), lambda plain: F.let_as(f"array<{SPAN}>", F.lower(plain), lambda low: search(plain, low)))
+    return F.let_as(f"array<{SPAN}>", spans, lambda found: unstrip(text, found))

@@ -43,7 +43,7 @@ def bad_component(component: Sql) -> Sql:
 def _posix(cwd: Sql, path: Sql) -> Sql:
     full = F.when(path.startswith("/"), path).otherwise(F.concat(cwd, F.lit("/"), path))
     # Most logged paths need no work; only the others are taken apart.
-    return F.let(full, lambda f: F.when(
+    return F.let_as("string", full, lambda f: F.when(
         f.rlike(r"//|/\.{1,2}(?:/|\z)|/\z"), F.concat(F.lit("/"), F.array_join(_resolve(f), "/"))).otherwise(f))
 
 
@@ -73,10 +73,10 @@ def _windows(cwd: Sql, path: Sql) -> Sql:
             r["seen"], F.when(drive, "").otherwise(F.concat(F.lit("/"), r["root"]))), "/"), lambda c: ~c.isin("", ".", ".."))
         usable = r["usable"] & (r["root"] != "") & ~r["root"].rlike(r"^//.*/\.{1,2}\z|^//+\.{1,2}/") & ~F.exists(
             names, bad_component)
-        return F.when(usable, F.let(F.array_join(_resolve(r["below"]), "/"), lambda tail: F.concat(
+        return F.when(usable, F.let_as("string", F.array_join(_resolve(r["below"]), "/"), lambda tail: F.concat(
             root, F.when((tail != "") | drive, "/").otherwise(""), tail)))
 
-    return F.let(F.let(sides, rooted), built)
+    return F.let_as("string", F.let(sides, rooted), built)
 
 
 def normalize(cwd: Sql, path: Sql) -> Sql:
@@ -87,9 +87,9 @@ def normalize(cwd: Sql, path: Sql) -> Sql:
             (there != "") & (F.octet_length(here) <= MAX_PATH_BYTES) & (F.octet_length(there) <= MAX_PATH_BYTES)
             & ~F.contains(here, "\0") & ~F.contains(there, "\0"))
         result = F.when(is_windows(here), _windows(here, there)).when(here.startswith("/"), _posix(here, there))
-        return F.when(usable, F.let(result, lambda n: F.when(F.octet_length(n) <= MAX_PATH_BYTES, n)))
+        return F.when(usable, F.let_as("string", result, lambda n: F.when(F.octet_length(n) <= MAX_PATH_BYTES, n)))
 
-    return F.let(F.struct(cwd.alias("cwd"), path.alias("path")), checked)
+    return F.let_as("string", F.struct(cwd.alias("cwd"), path.alias("path")), checked)
 
 
 def basename(path: Sql) -> Sql:

@@ -12,7 +12,9 @@ from warden.vocab import PROGRAM_SINKS
 
 _STRINGS = "cast(array() as array<string>)"
 CHECK = "struct<path:string,operation:string,tree:boolean,cwd:string,rule:string,effect:string,severity:string,category:string>"
-_NO_CHECKS = f"cast(array() as array<{CHECK}>)"
+CHECKS = f"array<{CHECK}>"
+_NO_CHECKS = f"cast(array() as {CHECKS})"
+_EXEC = "struct<inner:array<string>,dir:string,raw:boolean>"
 
 # --- fixed values: program vocabularies -------------------------------------
 CONTROL_WORDS = ("cd", "pushd", "popd", "if", "then", "else", "for", "while", "until", "do", "case", "!", "function")
@@ -226,7 +228,7 @@ def client_query(args: Sql, positional: Sql) -> Sql:
             .when(arg.startswith("-") & ~arg.isin(*MYSQL_FLAGS) & ~arg.rlike(known), make(acc["query"], "", True))
             .otherwise(acc))
 
-    return F.let(F.aggregate(args, start, step), lambda s: F.when(~s["bad"] & (s["mode"] == ""), s["query"]))
+    return F.let_as("string", F.aggregate(args, start, step), lambda s: F.when(~s["bad"] & (s["mode"] == ""), s["query"]))
 
 
 def ddev_blocked(rule: str) -> Sql:
@@ -263,10 +265,10 @@ def ddev_exec(args: Sql) -> Sql:
             .when(w["effect"] == "dir", w["value"].isNull() | ~is_absolute(w["value"]))
             .when(w["effect"] == "raw", F.coalesce(w["value"] != "true", F.lit(False)))
             .otherwise(w["effect"] == "unclear")))
-        return F.let(values(found, "operand"), lambda inner: F.when(~odd & (F.size(inner) > 0), F.struct(
+        return F.let_as(_EXEC, values(found, "operand"), lambda inner: F.when(~odd & (F.size(inner) > 0), F.struct(
             inner.alias("inner"), F.get(F.reverse(values(found, "dir")), 0).alias("dir"), has(found, "raw").alias("raw"))))
 
-    return F.let(words("ddev exec", args), read_)
+    return F.let_as(_EXEC, words("ddev exec", args), read_)
 
 
 def literal(args: Sql) -> Sql:
@@ -352,8 +354,8 @@ def _copies(name: Sql, args: Sql, cwd: Sql) -> Sql:
             .otherwise(F.concat(F.array(check(to, "write", whole, cwd)), F.flatten(F.transform(from_, taken)))))
 
     found = F.when(name == "install", words("install", args)).otherwise(words("cp", args))
-    return F.let(found, lambda w: F.let(values(w, "target"), lambda t: F.let(
-        values(w, "operand"), lambda o: built(w, t, o))))
+    return F.let_as(CHECKS, found, lambda w: F.let_as(CHECKS, values(w, "target"), lambda t: F.let_as(
+        CHECKS, values(w, "operand"), lambda o: built(w, t, o))))
 
 
 def _pick(args: Sql, chosen) -> Sql:
@@ -366,12 +368,12 @@ def _transfers(name: Sql, args: Sql, cwd: Sql) -> Sql:
     def built(found: Sql) -> Sql:
         into = F.filter(found, lambda w: (w["effect"] == "write") | (
             (w["effect"] == "write attached") & ~F.contains(w["value"], "=")))
-        written = F.let(into, lambda o: F.when(
+        written = F.let_as(CHECKS, into, lambda o: F.when(
             F.exists(o, lambda w: w["value"].isNull()) | has(found, "write by server") | ((name == "wget") & (F.size(o) == 0)),
             shell_rule("filesystem.ambiguous")).otherwise(F.transform(o, lambda w: check(w["value"], "write", False, cwd))))
         return F.concat(written, F.transform(sent(found), lambda p: read(p, cwd)))
 
-    return F.let(_transfer_words(name, args), built)
+    return F.let_as(CHECKS, _transfer_words(name, args), built)
 
 
 def _transfer_words(name: Sql, args: Sql) -> Sql:
@@ -394,7 +396,7 @@ def sent(found: Sql) -> Sql:
 
 def uploads(name: Sql, args: Sql) -> Sql:
     """P20: local files a transfer command sends."""
-    return F.let(_transfer_words(name, args), sent)
+    return F.let_as("array<string>", _transfer_words(name, args), sent)
 
 
 def _git_objects(args: Sql, cwd: Sql) -> Sql:
@@ -407,7 +409,7 @@ def _git_objects(args: Sql, cwd: Sql) -> Sql:
         word, i = a["word"], a["i"]
         return (
             F.when((acc["at"] >= 0) | acc["rule"].isNotNull(), acc)
-            .when(acc["take"] == "cwd", F.let(normalize(acc["cwd"], word), lambda n: F.when(
+            .when(acc["take"] == "cwd", F.let_as(state, normalize(acc["cwd"], word), lambda n: F.when(
                 n.isNull(), make(-1, "", acc["cwd"], "guard.evaluation_error")).otherwise(make(-1, "", n, None))))
             .when(acc["take"] == "value", make(-1, "", acc["cwd"], None))
             .when(word == "-C", make(-1, "cwd", acc["cwd"], None))
@@ -427,12 +429,12 @@ def _git_objects(args: Sql, cwd: Sql) -> Sql:
             F.when(s["rule"] == "git.context.unknown", shell_rule("git.context.unknown"))
             .when(s["rule"].isNotNull() | (s["take"] == "cwd"), shell_rule("guard.evaluation_error", "guard", "critical"))
             .when(F.get(args, F.when(s["at"] >= 0, s["at"]).otherwise(F.size(args))).isin("show", "cat-file"),
-                  F.let(selected(after(args, s["at"] + 2)), lambda p: F.when(
+                  F.let_as(CHECKS, selected(after(args, s["at"] + 2)), lambda p: F.when(
                       F.size(p) == 0, shell_rule("git.read.opaque_object")).otherwise(
                       F.transform(p, lambda x: read(x, s["cwd"])))))
             .otherwise(no_checks()))
 
-    return F.let(walked, built)
+    return F.let_as(CHECKS, walked, built)
 
 
 def search_paths(name: Sql, args: Sql) -> Sql:
@@ -440,13 +442,13 @@ def search_paths(name: Sql, args: Sql) -> Sql:
     def built(found: Sql) -> Sql:
         first = F.array_position(F.transform(found, lambda w: w["effect"]), "operand").cast("int")
         given = has(F.slice(found, 1, F.greatest(first - 1, F.lit(0))), "pattern", "read")
-        return F.let(F.when(given, 0).otherwise(first), lambda expression: F.transform(
+        return F.let_as("array<string>", F.when(given, 0).otherwise(first), lambda expression: F.transform(
             F.filter(found, lambda w, i: (w["effect"] == "read") | ((w["effect"] == "operand") & (i + 1 != expression))),
             lambda w: w["value"]))
 
     known = F.when(name == "rg", words("rg", args)).otherwise(words("grep", args))
     # A last option without its value says nothing.
-    return F.let(F.filter(known, lambda w: w["value"].isNotNull()), built)
+    return F.let_as("array<string>", F.filter(known, lambda w: w["value"].isNotNull()), built)
 
 
 def excluded(args: Sql) -> Sql:
@@ -474,7 +476,7 @@ def _search(name: Sql, args: Sql, cwd: Sql, protected: list[str]) -> Sql:
         return F.concat(F.transform(found, lambda p: read(p, cwd)),
                         F.when(bulk & ~covered, shell_rule("filesystem.read.bulk")).otherwise(no_checks()))
 
-    return F.let(search_paths(name, args), built)
+    return F.let_as(CHECKS, search_paths(name, args), built)
 
 
 def path_checks(name: Sql, args: Sql, cwd: Sql, protected: list[str]) -> Sql:

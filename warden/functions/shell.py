@@ -17,6 +17,8 @@ _TOKEN = rf"(?s){_WORD}|{_MARK}"
 _WHOLE = rf"(?s)^(?:{_WORD}|{_MARK}|[ \t\r])*+\z"
 _CONNECTORS = (";", "\n", "&&", "||", "|")
 _EMPTY = "cast(array() as array<string>)"
+_SEGMENT = "struct<cwd:string,argv:array<string>,targets:array<string>,broken:boolean,moves:boolean,lost:boolean>"
+_STEP = "struct<argv:array<string>,go:boolean>"
 
 # --- fixed values: wrappers -------------------------------------------------
 ENVIRONMENT_OVERRIDES = r"^(?:PATH|BASH_ENV|ENV|CDPATH|SHELLOPTS|BASHOPTS|LD_[A-Za-z0-9_]*|DYLD_[A-Za-z0-9_]*)="
@@ -60,7 +62,7 @@ def _segment(raw: Sql) -> Sql:
 
 def _segments(raw: Sql) -> Sql:
     ends = F.filter(F.transform(raw, lambda t, i: F.when(t.isin(*_CONNECTORS), i)), lambda i: i.isNotNull())
-    parts = F.let(ends, lambda e: F.zip_with(
+    parts = F.let_as("array<array<string>>", ends, lambda e: F.zip_with(
         F.concat(F.array(-1), e), F.concat(e, F.array(F.size(raw))),
         lambda a, b: F.slice(raw, a + 2, b - a - 1)))
     return F.transform(F.filter(parts, lambda p: F.size(p) > 0), _segment)
@@ -89,15 +91,15 @@ def segments(command: Sql, cwd: Sql) -> Sql:
                 lambda here, s: F.when(F.get(s["argv"], 0) == "cd", normalize(here, F.get(s["argv"], 1)))
                 .otherwise(here))
 
-        moved = F.transform(found, lambda s, i: F.let(at(i), lambda here: F.struct(
+        moved = F.transform(found, lambda s, i: F.let_as(_SEGMENT, at(i), lambda here: F.struct(
             here.alias("cwd"), s["argv"].alias("argv"), s["targets"].alias("targets"), s["broken"].alias("broken"),
             (F.get(s["argv"], 0) == "cd").alias("moves"),
             (F.lit(False) | loose | odd | here.isNull()).alias("lost"))))
         return F.when(moving, moved).otherwise(simple)
 
     tokens = F.regexp_extract_all(command, _TOKEN, 0)
-    return F.when(usable, F.let(tokens, lambda raw: F.when(
-        F.size(raw) <= MAX_SHELL_TOKENS, F.let(_segments(raw), lambda found: placed(raw, found)))))
+    return F.when(usable, F.let_as(f"array<{_SEGMENT}>", tokens, lambda raw: F.when(
+        F.size(raw) <= MAX_SHELL_TOKENS, F.let_as(f"array<{_SEGMENT}>", _segments(raw), lambda found: placed(raw, found)))))
 
 
 def rest_after_options(args: Sql, flags: Sql, values: Sql, strict: Sql) -> Sql:
@@ -125,7 +127,7 @@ def rest_after_options(args: Sql, flags: Sql, values: Sql, strict: Sql) -> Sql:
 
     walked = F.aggregate(F.transform(args, lambda w, i: F.struct(w.alias("word"), i.alias("i"))),
                          make(False, -1, False), step)
-    return F.let(walked, lambda s: F.when(~s["bad"], F.when(
+    return F.let_as("array<string>", walked, lambda s: F.when(~s["bad"], F.when(
         s["at"] >= 0, F.slice(args, s["at"] + 1, F.size(args))).otherwise(F.expr(_EMPTY))))
 
 
@@ -158,14 +160,14 @@ def _unwrap_once(argv: Sql) -> Sql:
         own = F.when(name == "timeout", 1).otherwise(0)
         return (
             F.when((F.size(words) > 0) & name.isin(*OPAQUE_WRAPPERS), lost)
-            .when((F.size(words) > 0) & name.isin(*WRAPPERS), F.let(
-                F.when(name == "busybox", args).otherwise(rest),
+            .when((F.size(words) > 0) & name.isin(*WRAPPERS), F.let_as(
+                _STEP, F.when(name == "busybox", args).otherwise(rest),
                 lambda r: F.when(F.coalesce(F.size(r) > own, F.lit(False)), F.struct(
                     F.slice(r, own + 1, F.size(r)).alias("argv"), F.lit(True).alias("go"))).otherwise(lost)))
             .otherwise(done(words)))
 
-    return F.when(override, lost).otherwise(F.let(
-        F.slice(argv, assigned + 1, F.size(argv)), inner))
+    return F.when(override, lost).otherwise(F.let_as(
+        _STEP, F.slice(argv, assigned + 1, F.size(argv)), inner))
 
 
 _LIKELY_WRAPPED = r"(?s)^(?:[A-Za-z0-9_]+=|(?:.*/)?(?:" + "|".join((*WRAPPERS, *OPAQUE_WRAPPERS)) + r")\z)"

@@ -78,7 +78,7 @@ def hits(text: Sql, regex: str, keep: Callable[[Sql], Sql] | None = None) -> Sql
     are kept, however many a text has.
     """
     found = F.regexp_extract_all(text, regex, 0)
-    pairs = F.let(found, lambda f: F.zip_with(
+    pairs = F.let_as("array<struct<gap:string,value:string>>", found, lambda f: F.zip_with(
         F.slice(F.split(text, regex, -1), 1, F.size(f)), f,
         lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))))
     start = F.struct(
@@ -144,7 +144,7 @@ def placeholder_of(category: Sql) -> Sql:
 
 def redact(text: Sql, merged: Sql) -> Sql:
     """F16: the text with every merged span replaced by its placeholder."""
-    return F.let(merged, lambda m: _redact(text, m))
+    return F.let_as("string", merged, lambda m: _redact(text, m))
 
 
 def _redact(text: Sql, merged: Sql) -> Sql:

@@ -113,6 +113,18 @@ def ref(name: str) -> Sql:
     return Sql(".".join(f"`{part}`" for part in name.split(".")))
 
 
+class fields:
+    """The columns of a frame as the fields of one value."""
+
+    def __init__(self, *names: str):
+        self.names = names
+
+    def __getitem__(self, name: str) -> Sql:
+        if name not in self.names:
+            raise KeyError(name)
+        return ref(name)
+
+
 def expr(text: str) -> Sql:
     return Sql(text)
 
@@ -137,6 +149,16 @@ def let(value: Sql, body: Callable[[Sql], Sql]) -> Sql:
     return Sql(f"get(transform(array({lit(value)}), {_lambda(body)}), 0)")
 
 
+def let_as(kind: str, value: Sql, body: Callable[[Sql], Sql]) -> Sql:
+    """``let`` for a result of a known type.
+
+    A fold hands its result on as it is; an element taken out of an array is copied, and
+    its type is worked out anew from the whole expression for every row.
+    """
+    bound = _lambda(body)
+    return Sql(f"aggregate(array({lit(value)}), cast(null AS {kind}), (_, {bound.replace(' -> ', ') -> ', 1)})")
+
+
 def any_of(text: Sql, words) -> Sql:
     """The text holds one of ``words``: a byte search, far cheaper than a regex."""
     return Sql("(" + " OR ".join(str(text.contains(word)) for word in sorted(set(words))) + ")")

@@ -51,14 +51,14 @@ def sensitive_regex(configured: tuple[str, ...] = ()) -> str:
 
 def _split_statements(found: Sql) -> Sql:
     ends = F.filter(F.transform(found, lambda w, i: F.when(w == ";", i)), lambda i: i.isNotNull())
-    return F.let(ends, lambda e: F.zip_with(
+    return F.let_as("array<array<string>>", ends, lambda e: F.zip_with(
         F.concat(F.array(-1), e), F.concat(e, F.array(F.size(found))),
         lambda a, b: F.slice(found, a + 2, b - a - 1)))
 
 
 def statements(sql: Sql) -> Sql:
     """Statements of one query as word arrays; NULL where the text is ambiguous."""
-    return F.let(words(sql), lambda w: F.when(w.isNotNull(), _split_statements(w)))
+    return F.let_as("array<array<string>>", words(sql), lambda w: F.when(w.isNotNull(), _split_statements(w)))
 
 
 def ambiguous() -> Sql:
@@ -90,7 +90,7 @@ def statement_decision(statement: Sql, configured: tuple[str, ...] = ()) -> Sql:
 
 def query_decision(sql: Sql, configured: tuple[str, ...] = ()) -> Sql:
     """P13 on a whole query: the first statement that decides, NULL for a harmless read."""
-    first = F.let(statements(sql), lambda s: F.when(s.isNull(), ambiguous()).otherwise(
+    first = F.let_as(DECISION, statements(sql), lambda s: F.when(s.isNull(), ambiguous()).otherwise(
         F.get(F.filter(F.transform(s, lambda st: statement_decision(st, configured)), lambda d: d.isNotNull()), 0)))
     return F.when(
         F.regexp_replace(sql, r"[\p{IsWhite_Space}]+", "") == "", ambiguous()
@@ -100,7 +100,7 @@ def query_decision(sql: Sql, configured: tuple[str, ...] = ()) -> Sql:
 def sensitive_tables(sql: Sql, configured: tuple[str, ...] = ()) -> Sql:
     """Distinct sensitive identifiers of a query, in order; NULL where it is ambiguous."""
     regex = sensitive_regex(configured)
-    return F.when(inspectable(sql), F.let(words(sql), lambda w: F.when(w.isNotNull(), F.array_distinct(
+    return F.when(inspectable(sql), F.let_as("array<string>", words(sql), lambda w: F.when(w.isNotNull(), F.array_distinct(
         F.filter(F.transform(w, _identifier), lambda t: (t != "") & t.rlike(regex))))))
 
 
@@ -123,4 +123,4 @@ def table_categories(table: Sql) -> Sql:
                 out = F.when(test, value) if out is None else out.when(test, value)
         return out.otherwise(F.array("unknown_sensitive"))
 
-    return F.let(ending, ladder)
+    return F.let_as("array<string>", ending, ladder)

@@ -12,6 +12,7 @@ from warden.functions.decisions import (
 from warden.functions.paths import basename, normalize
 from warden.functions.sql import Sql
 
+
 def _built_in(paths: Sql, capability: Sql, mcp: Sql, rules: RuleSet) -> Sql:
     bulk = (capability == "file_search") & (
         (S.size(paths) == 0) | S.exists(paths, lambda p: ~S.contains(basename(p), "."))
@@ -27,42 +28,32 @@ def _policy(layer: str, paths: Sql, capability: Sql, mcp: Sql, rules: RuleSet, p
     return first_rule(ordered, paths, capability, mcp, project)
 
 
-def decide(calls: DataFrame, rules: RuleSet = RuleSet(), command: DataFrame | None = None,
-           omit_candidates: bool = False) -> DataFrame:
-    """One decision per call, in the truth order of the policy contract.
-
-    ``calls`` has call_id, cwd, tool_name, capability and paths (array); a column
-    ``project`` selects project rules. ``command`` holds (call_id, decision) for the
-    calls whose command or query decided something (see commands.decisions).
-    Without it everything is one projection; with it there is one join on call_id.
-    """
-    rules = (rules.without_candidates() if omit_candidates else rules).check_inline()
+def with_decision(calls: DataFrame, rules: RuleSet, column: str, command: str | None = None) -> DataFrame:
+    """Adds the decision of a call as a struct, in the truth order of the policy contract; see ``decide``."""
+    rules.check_inline()
     project = S.ref("project") if "project" in calls.columns else None
-    if command is not None:
-        calls = calls.join(command.select("call_id", F.col("decision").alias("_command")), "call_id", "left")
-    else:
-        calls = calls.withColumn("_command", F.lit(None).cast(DECISION))
+    places = {n: f"{column}{n}" for n in ("_command", "_paths", "_early", "_org", "_project")}
+    calls = calls.withColumn(places["_command"], F.lit(None).cast(DECISION) if command is None else F.col(command))
     cwd, capability = S.ref("cwd"), S.ref("capability")
     mcp = is_mcp(S.ref("tool_name"), capability)
-    calls = calls.withColumn("_paths", S.col(
+    calls = calls.withColumn(places["_paths"], S.col(
         S.coalesce(S.transform(S.ref("paths"), lambda p: normalize(cwd, p)), S.expr("cast(array() as array<string>)"))))
-    paths = S.ref("_paths")
+    cmd, paths, early, org, own = (S.ref(c) for c in places.values())
     broken = S.exists(paths, lambda p: p.isNull())
     tree = S.when(
         capability.isin("file_delete", "file_move"),
         S.get(S.filter(S.transform(paths, lambda p: tree_decision(p, p, rules, project)),
                        lambda d: d.isNotNull()), 0),
     )
-    staged = calls.withColumn("_early", S.col(
-        S.when(S.ref("_command")["effect"] == "deny", S.ref("_command"))
+    staged = calls.withColumn(places["_early"], S.col(
+        S.when(cmd["effect"] == "deny", cmd)
         .when(broken, decision("deny", "guard.evaluation_error", "critical", "guard"))
         .otherwise(S.coalesce(tree, _built_in(paths, capability, mcp, rules)))))
-    open_ = S.ref("_early").isNull()
-    staged = staged.withColumn("_org", S.col(
+    open_ = early.isNull()
+    staged = staged.withColumn(places["_org"], S.col(
         S.when(open_, _policy("organization", paths, capability, mcp, rules, None))))
-    staged = staged.withColumn("_project", S.col(
+    staged = staged.withColumn(places["_project"], S.col(
         S.when(open_, _policy("project", paths, capability, mcp, rules, project))))
-    early, org, own, cmd = (S.ref(c) for c in ("_early", "_org", "_project", "_command"))
     org_or_command = S.when(
         org.isNotNull() & cmd.isNotNull() & (rank(org["effect"]) < rank(cmd["effect"])), cmd).otherwise(org)
     default_effect = S.when(capability == "unknown", rules.unknown_tool).otherwise("allow")
@@ -71,35 +62,57 @@ def decide(calls: DataFrame, rules: RuleSet = RuleSet(), command: DataFrame | No
         S.lit("info").alias("severity"), S.lit("default").alias("category"),
         S.lit("default").alias("policy_layer"), S.lit("").alias("reason"),
         S.lit(None).cast("string").alias("matched_path")).cast(DECISION)
-    final = S.let(S.struct(org_or_command.alias("org"), own.alias("own")), lambda x: S.when(
+    final = S.let_as(DECISION, org_or_command, lambda above: S.when(
         early.isNotNull(), early)
-        .when(x["org"].isNotNull() & x["own"].isNotNull(),
-              S.when(rank(x["own"]["effect"]) > rank(x["org"]["effect"]), x["own"]).otherwise(x["org"]))
-        .when(x["org"].isNotNull(), x["org"])
-        .when(x["own"].isNotNull(), x["own"])
+        .when(above.isNotNull() & own.isNotNull(),
+              S.when(rank(own["effect"]) > rank(above["effect"]), own).otherwise(above))
+        .when(above.isNotNull(), above)
+        .when(own.isNotNull(), own)
         .when(cmd.isNotNull() & (rank(cmd["effect"]) >= rank(default_effect)), cmd)
         .otherwise(default))
-    drop = ["_paths", "_early", "_org", "_project", "_command"]
-    done = staged.withColumn("_decision", S.col(final)).drop(*drop)
+    return staged.withColumn(column, S.col(final)).drop(*places.values())
+
+
+def decide(calls: DataFrame, rules: RuleSet = RuleSet(), command: DataFrame | str | None = None,
+           omit_candidates: bool = False) -> DataFrame:
+    """One decision per call, in the truth order of the policy contract.
+
+    ``calls`` has call_id, cwd, tool_name, capability and paths (array); a column
+    ``project`` selects project rules. ``command`` is the decision of a call's commands
+    and queries: the name of a column that holds it (commands.with_call_decision), and the
+    whole replay is one projection, or a frame (call_id, decision), which costs a join.
+    """
+    rules = rules.without_candidates() if omit_candidates else rules
+    if command is not None and not isinstance(command, str):
+        calls = calls.join(command.select("call_id", F.col("decision").alias("_by_command")), "call_id", "left")
+        command = "_by_command"
+    done = with_decision(calls, rules, "_decision", command).drop("_by_command")
     # As a generated row the decision is computed once; a later filter on it cannot
     # copy the whole ladder into the scan.
     return done.select(*[c for c in done.columns if c != "_decision"], F.inline_outer(F.array("_decision")))
 
 
-def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Calls whose outcome differs between two replays."""
-    a = before.select("call_id", F.col("effect").alias("effect_before"), F.col("rule_id").alias("rule_before"))
-    b = after.select("call_id", F.col("effect").alias("effect_after"), F.col("rule_id").alias("rule_after"))
-    return a.join(b, "call_id").where("effect_before <> effect_after or rule_before <> rule_after")
+def _both(calls: DataFrame, first: RuleSet, second: RuleSet, command: str | None) -> DataFrame:
+    """The columns of ``calls`` and two decisions, a and b, in one projection over one scan."""
+    kept = calls.columns
+    done = with_decision(with_decision(calls, first, "_a", command), second, "_b", command)
+    return done.select(*kept, F.inline(F.array(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")))))
+
+
+def diff(calls: DataFrame, before: RuleSet, after: RuleSet, command: str | None = None) -> DataFrame:
+    """Calls whose outcome differs between two policies, each call read and decided on once."""
+    both = _both(calls, before, after, command).select(
+        "call_id", F.col("a.effect").alias("effect_before"), F.col("a.rule_id").alias("rule_before"),
+        F.col("b.effect").alias("effect_after"), F.col("b.rule_id").alias("rule_after"))
+    return both.where("effect_before <> effect_after or rule_before <> rule_after")
 
 
-def candidate_decisions(calls: DataFrame, rules: RuleSet, command: DataFrame | None = None) -> DataFrame:
-    """A14 input: evaluated and enforced decision of every call."""
-    evaluated = decide(calls, rules, command)
-    enforced = decide(calls, rules, command, omit_candidates=True)
-    return evaluated.select(*evaluated.columns).join(
-        enforced.select("call_id", F.col("effect").alias("enforcement_decision"),
-                        F.col("rule_id").alias("enforcement_rule_id")), "call_id")
+def candidate_decisions(calls: DataFrame, rules: RuleSet, command: str | None = None) -> DataFrame:
+    """A14 input: evaluated and enforced decision of every call, in one projection."""
+    both = _both(calls, rules, rules.without_candidates(), command)
+    return both.select(
+        *calls.columns, "a.*", F.col("b.effect").alias("enforcement_decision"),
+        F.col("b.rule_id").alias("enforcement_rule_id"))
 
 
 def candidate_report(decided: DataFrame, candidates: list[str]) -> DataFrame:

@@ -61,10 +61,9 @@ def a9(spark, folder):
 @query("p17_command_verdicts", f"""
 with c as ({C}) select call_id, {golden(COMMANDS, 1, 'command_no')} as effect, {golden(COMMANDS, 2, 'command_no')} as rule_id from c""")
 def p17(spark, folder):
-    log = shell_calls(spark, folder)
-    found = commands.verdicts(log, RuleSet()).select("call_id", "decision.effect", "decision.rule_id")
-    return log.select("call_id").join(found, "call_id", "left").select(
-        "call_id", F.coalesce("effect", F.lit("allow")).alias("effect"), F.coalesce("rule_id", F.lit("none")).alias("rule_id"))
+    return commands.verdicts(shell_calls(spark, folder), RuleSet()).select(
+        "call_id", F.coalesce("decision.effect", F.lit("allow")).alias("effect"),
+        F.coalesce("decision.rule_id", F.lit("none")).alias("rule_id"))
 
 
 @query("p14_command_segments")

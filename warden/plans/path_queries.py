@@ -9,9 +9,10 @@ from warden.functions.calls import candidates, capability, is_mcp, patch_paths,
 from warden.functions.decisions import BUILT_IN, PathRule, RuleSet
 from warden.functions.paths import bad_component, covers, normalize
 from warden.functions.globs import compile_path, table_regex
-from warden.operators import paths as path_ops, replay
+from warden.operators import commands, paths as path_ops, replay
 from warden.plans import derived
-from warden.plans.derived import CALLS, PATHS, SQL_TEXTS, TOOLS, calls, derive, pick, sql
+from warden.plans.derived import (
+    CALLS, COMMANDS, CONFIGURED_TABLES, PATHS, SQL_TEXTS, TOOLS, calls, derive, golden, pick, sql)
 from warden.plans.registry import query
 
 R = S.ref
@@ -289,6 +290,41 @@ def a4(spark, folder):
     return replay.decide(file_calls(spark, folder), ORG).select("call_id", "rule_id", "effect", "policy_layer")
 
 
+def full_calls(spark, folder):
+    """Calls with what each kind brings: commands, queries or paths."""
+    none = F.expr("cast(array() as array<string>)")
+    given = lambda kind, column: F.when(F.col("capability") == kind, F.array(column)).otherwise(none)
+    return file_calls(spark, folder).select(
+        "call_id", "cwd", "tool_name", "capability", "project", given("shell_execute", "command").alias("commands"),
+        given("mcp_call", "query").alias("queries"),
+        F.when(F.col("capability") == "shell_execute", none).otherwise(F.array("path")).alias("paths"))
+
+
+FULL = RuleSet(ORG.rules, CONFIGURED_TABLES, ORG.unknown_tool)
+FULL_SQL = f"""
+select call_id, case
+  when capability = 'shell_execute' then
+    case when {golden(COMMANDS, 1, 'command_no')} = 'allow' then 'default.no_matching_rule' else {golden(COMMANDS, 2, 'command_no')} end
+  when capability = 'mcp_call' and {golden(SQL_TEXTS, 1, 'query_no')} <> 'allow' then {golden(SQL_TEXTS, 2, 'query_no')}
+  else rule_id end as rule_id, {golden(COMMANDS, 1, 'command_no')} as by_command, capability
+from ({ORG_SQL.replace('{candidate}', '{{candidate}}')}) join ({C}) using (call_id)"""
+EFFECT_SQL = """case when {rule} = 'default.no_matching_rule' then 'allow' when {rule} = 'org.ask.docs' then 'ask'
+  when {kind} = 'shell_execute' then {command} else 'deny' end"""
+
+
+@query("a4_full_replay", f"""
+with a as ({FULL_SQL.replace('{{candidate}}', 'true')}), b as ({FULL_SQL.replace('{{candidate}}', 'false')})
+select a.call_id, a.rule_id, {EFFECT_SQL.format(rule='a.rule_id', kind='a.capability', command='a.by_command')} as effect,
+  {EFFECT_SQL.format(rule='b.rule_id', kind='b.capability', command='b.by_command')} as enforcement_decision,
+  b.rule_id as enforcement_rule_id
+from a join b using (call_id)""")
+def a4_full(spark, folder):
+    """Commands, queries, paths, project rules and candidates of every call in one projection."""
+    calls_ = commands.with_call_decision(full_calls(spark, folder), "by_command", FULL)
+    return replay.candidate_decisions(calls_, FULL, "by_command").select(
+        "call_id", "rule_id", "effect", "enforcement_decision", "enforcement_rule_id")
+
+
 MATCHED = f"""
 with c as ({C}), d as (select *, ltrim(normal_path, '/') as p from c where capability in ('file_read','file_write'))"""
 
@@ -319,8 +355,7 @@ select a.call_id, rule_before, rule_id as rule_after,
   case when rule_id = 'default.no_matching_rule' then 'allow' when rule_id = 'org.ask.docs' then 'ask' else 'deny' end as effect_after
 from a join b using (call_id) where rule_before <> rule_id""")
 def j15(spark, folder):
-    log = file_calls(spark, folder)
-    return replay.diff(replay.decide(log), replay.decide(log, ORG))
+    return replay.diff(file_calls(spark, folder), RuleSet(), ORG)
 
 
 @query("a14_candidate_report", f"""

@@ -114,7 +114,7 @@ CONTAINER = [
 
 @query("p24_container_paths", f"with c as ({C}) select call_id, {golden(CONTAINER, 1, INDEX)} as rule_id from c where {golden(CONTAINER, 1, INDEX)} <> ''")
 def p24(spark, folder):
-    found = commands.verdicts(with_command(spark, folder, CONTAINER).withColumn("commands", F.array("command")))
+    found = commands.verdicts(with_command(spark, folder, CONTAINER).withColumn("commands", F.array("command"))).where("decision is not null")
     return found.select("call_id", "decision.rule_id")
 
 
@@ -126,7 +126,7 @@ TIES = [
 
 @query("a2_strongest_segment", f"with c as ({C}) select call_id, {golden(TIES, 1, INDEX)} as rule_id from c")
 def a2(spark, folder):
-    found = commands.verdicts(with_command(spark, folder, TIES).withColumn("commands", F.array("command")))
+    found = commands.verdicts(with_command(spark, folder, TIES).withColumn("commands", F.array("command"))).where("decision is not null")
     return found.select("call_id", "decision.rule_id")
 
 
