@@ -327,6 +327,37 @@ def test_base_scores_are_exact_and_the_model_is_better(spark):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_scores_against_plain_counts(spark):
+    """The model's score from dictionaries; the filter may only read a pair's level too high, and rarely does."""
+    words_of = lambda t: t.encode().lower().split() + [None]
+    own = {i: words_of(t) for i, t in texts(spark).items()}
+    single, pair = Counter(), Counter()
+    for i, w in own.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            single.update(w)
+            pair.update(zip([None, *w[:-1]], w))
+    n, v = sum(single.values()), len(single)
+
+    def middle(c):
+        low = 2.0 ** math.floor(math.log2(c)) if c else 0.0
+        return c if c < 2 else (low + 2 * low - 1) / 2
+
+    def plain(w):
+        out = 0.0
+        for a, b in zip([None, *w[:-1]], w):
+            share = (single[b] + 1) / (n + v + 1)
+            follows = min(middle(pair[a, b]), single[a]) / single[a] if single[a] else 0.0
+            out += math.log10(0.25 * follows + 0.75 * share if single[a] else share)
+        return out
+
+    gaps = []
+    for r in ngrams.score(common.read(spark, FOLDER, "documents")).collect():
+        want = plain(own[r.doc_id])
+        assert r.score >= want - 1e-6 * abs(want)
+        gaps.append((r.score - want) / abs(want))
+    assert sum(gaps) / len(gaps) < 0.02
+
+
 def test_filter_grows_with_its_entries(spark):
     rows = spark.range(60_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
     for n in (6_000, 60_000):
