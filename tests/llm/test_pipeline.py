@@ -1,7 +1,11 @@
 """The corpus pipeline: what each stage keeps, on the given tables and on awkward rows."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
-from warden.llm import bootstrap, common, gray, grammar, lines, machine, templates  # noqa: F401
+from warden.llm import common, machine, near, templates
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,7 +24,7 @@ def test_stages(spark):
     good = machine.score(kept[None], model).where("predicted = 1").select("doc_id")
     assert sorted(r[0] for r in good.collect()) == sorted(r[0] for r in kept["quality"].select("doc_id").collect())
     assert kept["line_dedup"].count() == kept["quality"].count()
-    classes = gray.near_duplicates(kept["line_dedup"])
+    classes = near.classes(kept["line_dedup"])
     assert kept["near_dedup"].count() == classes.select("component_id").distinct().count()
     found = templates.contamination(kept["near_dedup"], common.read(spark, FOLDER, "benchmark")).select("doc_id").distinct()
     assert kept["decontamination"].count() == kept["near_dedup"].count() - found.count()
@@ -29,8 +33,64 @@ def test_stages(spark):
     assert sorted(run) == sorted(kept["tokens"].select("doc_id", "ids_crc32").collect())
 
 
-def test_awkward_documents(spark, awkward):
-    docs = awkward
+def test_awkward_documents(spark, awkward, nothing):
+    docs, left = awkward, nothing
     for name, stage in corpus_pipeline.STAGES:
         docs = common.saved(stage(spark, docs, FOLDER), f"awkward-{name}")
+        left = common.saved(stage(spark, left, FOLDER), f"empty-{name}")
+        assert left.count() == 0
     assert docs.count() > 0
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Of all pairs of similarity 0.8 or more, 0.9 at least are in one class; no class joins texts without such a chain."""
+    draw = random.Random(11)
+    texts = []
+    for _ in range(150):
+        base = [draw.choice("abcdefgh") + str(draw.randint(0, 900)) for _ in range(draw.randint(20, 300))]
+        texts.append(" ".join(base))
+        for _ in range(draw.randint(1, 3)):
+            other = list(base)
+            for _ in range(draw.randint(0, max(1, len(base) // 40))):
+                other[draw.randrange(len(other))] = "changed"
+            texts.append(" ".join(other))
+    own = [plain_shingles(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near.classes(docs).collect()}
+    linked = [(i, j) for i in range(len(own)) for j in range(i) if similarity(own[i], own[j]) >= 0.8]
+    assert sum(got[i] == got[j] for i, j in linked) >= 0.9 * len(linked)
+    reach = list(range(len(own)))
+    for i, j in linked * 3:
+        reach[i] = reach[j] = min(reach[i], reach[j])
+    for i, root in got.items():
+        assert reach[i] == reach[root]
+
+
+@pytest.mark.parametrize("chunk", [2048, 2])
+def test_crowded_buckets(spark, monkeypatch, chunk):
+    """One text with many near copies, and unrelated texts that share a long passage: chunks change nothing."""
+    monkeypatch.setattr(near, "CHUNK", chunk)
+    base, passage = [f"w{i}" for i in range(200)], " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in range(0, 200, 5)]
+    texts += [passage + " " + " ".join(f"u{n}-{i}" for i in range(30)) for n in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.classes(docs).collect()}
+    assert [got[i] for i in range(40)] == [0] * 40 and [got[i] for i in range(40, 70)] == list(range(40, 70))
+
+
+def test_near_copies_of_awkward_rows(spark, awkward):
+    got = sorted((r.doc_id, r.component_id) for r in near.classes(awkward).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5), (6, 5), (7, 7), (8, 8), (9, 9), (10, 1)]
+    left = near.representatives(awkward)
+    assert left.columns == awkward.columns
+    ids = [r.doc_id for r in left.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 4, 5, 5, 7, 8, 9] and ids.count(None) == 2
