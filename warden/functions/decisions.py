@@ -85,7 +85,7 @@ class RuleSet:
     def check_inline(self) -> RuleSet:
         size = sum(len(r.patterns) for r in self.rules)
         if size > MAX_INLINE:
-            raise ValueError(f"{size} patterns are too many for one expression; use paths.match_rules")
+            raise ValueError(f"{size} patterns are too many for one expression; use replay.decide_by_table")
         return self
 
 

@@ -66,7 +66,6 @@ class PathGlob:
     pattern: str
     body: str
     prefix: tuple[str, ...]
-    anchor: str | None
 
     @property
     def regex(self) -> str:
@@ -108,17 +107,7 @@ def compile_path(pattern: str) -> PathGlob:
         if re.search(r"[*?\[{]", part):
             break
         prefix.append(part)
-    return PathGlob(pattern, body, tuple(prefix), _anchor(bare))
-
-
-def _anchor(bare: str) -> str | None:
-    """Equi-join key a matching path must carry: a literal component, else an extension."""
-    parts = bare.split("/")
-    literal = [p for p in parts if not re.search(r"[*?\[\]{}]", p)]
-    if literal:
-        return "name:" + literal[-1].lower()
-    extension = re.fullmatch(r"[^\[\]{}]*\.([^.*?\[\]{}]+)", parts[-1])
-    return "ext:" + extension.group(1).lower() if extension else None
+    return PathGlob(pattern, body, tuple(prefix))
 
 
 def tables_regex(plain: list[str], prefixed: list[str]) -> str:

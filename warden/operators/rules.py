@@ -109,14 +109,19 @@ RULE_COLUMNS = ("layer", "project", "ord", "rule_id", "effect", "severity", "cat
                 "capabilities", "candidate", "pat_ord", "pattern")
 
 
-def built_in_rules(spark: SparkSession) -> DataFrame:
-    rows = [(r.layer, None, r.ord, r.rule_id, r.effect, r.severity, r.category, r.reason, r.operation, [], False, i, p)
-            for r in BUILT_IN for i, p in enumerate(r.patterns)]
+def as_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """A rule set as rows, one per pattern."""
+    rows = [(r.layer, r.project, r.ord, r.rule_id, r.effect, r.severity, r.category, r.reason, r.operation,
+             list(r.capabilities), r.candidate, i, p) for r in rules.rules for i, p in enumerate(r.patterns)]
     return spark.createDataFrame(rows, (
         "layer string, project string, ord int, rule_id string, effect string, severity string, category string, "
         "reason string, operation string, capabilities array<string>, candidate boolean, pat_ord int, pattern string"))
 
 
+def built_in_rules(spark: SparkSession) -> DataFrame:
+    return as_table(spark, RuleSet(BUILT_IN))
+
+
 def policy_rules(policies: DataFrame) -> DataFrame:
     """Parsed policies (columns layer, project and the policy document) as one row per pattern, in document order."""
     def paths(operation: str, place: int) -> DataFrame:

@@ -9,7 +9,7 @@ from warden.functions.calls import candidates, capability, is_mcp, patch_paths,
 from warden.functions.decisions import BUILT_IN, PathRule, RuleSet
 from warden.functions.paths import bad_component, covers, normalize
 from warden.functions.globs import compile_path, table_regex
-from warden.operators import commands, paths as path_ops, replay
+from warden.operators import commands, paths as path_ops, replay, rules as rule_ops
 from warden.plans import derived
 from warden.plans.derived import (
     CALLS, COMMANDS, CONFIGURED_TABLES, PATHS, SQL_TEXTS, TOOLS, calls, derive, golden, pick, sql)
@@ -230,9 +230,7 @@ group by path""")
 def j2(spark, folder):
     rules = derive(spark, folder, BIG_RULES)
     paths = derive(spark, folder, BIG_PATHS).select("path").distinct()
-    distinct_rules = rules.groupBy("pattern").agg(F.min("rule_no").alias("rule_no"), F.count("*").alias("copies"))
-    hits = path_ops.match_rules(paths, distinct_rules)
-    return hits.groupBy("path").agg(F.min("rule_no").alias("first_rule"), F.sum("copies").alias("n_rules"))
+    return path_ops.first_rules(paths, rules, order="rule_no").select("path", "first_rule", "n_rules")
 
 
 PROJECT_RULES = ("select concat('p', cast(s_suppkey % 5 as string)) as project, s_suppkey as ord, "
@@ -246,8 +244,8 @@ select call_id, min(ord) as first_rule, count(*) as n_rules from c join r
 group by call_id""")
 def j3(spark, folder):
     own = file_calls(spark, folder).select("call_id", "project", S.col(normalize(R("cwd"), R("path"))).alias("path"))
-    hits = path_ops.match_rules(own, derive(spark, folder, PROJECT_RULES), by=("project",))
-    return hits.groupBy("call_id").agg(F.min("ord").alias("first_rule"), F.count("*").alias("n_rules"))
+    return path_ops.first_rules(own, derive(spark, folder, PROJECT_RULES), by=("project",)).select(
+        "call_id", "first_rule", "n_rules")
 
 
 DELETES = ["web", "web/modules", "docs", "web/themes/contrib", ".", "/", "VENDOR", "a/vendor/b", "Web/Modules", "core"]
@@ -325,6 +323,30 @@ def a4_full(spark, folder):
         "call_id", "rule_id", "effect", "enforcement_decision", "enforcement_rule_id")
 
 
+#: Rules that the calls' paths never meet, one per part, so that the rule table grows with the data.
+MANY_RULES = """select 'organization' as layer, cast(null as string) as project, cast(10 + p_partkey as int) as ord,
+  'org.part.' || cast(p_partkey as string) as rule_id, 'deny' as effect, 'high' as severity, 'policy' as category, '' as reason,
+  'match' as operation, cast(array() as array<string>) as capabilities, false as candidate, 0 as pat_ord,
+  '**/' || replace(p_name, ' ', '/') || '/**' as pattern from {part}"""
+
+
+@query("j1_rule_table", f"""
+select call_id, case when capability = 'file_delete' then case
+    when regexp_matches(target, '^(web/themes|web|core)$') then 'filesystem.write.' || case target when 'web/themes' then 'contrib_theme' else 'core' end
+    when target = '.' then 'filesystem.write.ancestor' else 'default.no_matching_rule' end
+  else rule_id end as rule_id
+from (select call_id, rule_id from ({ORG_SQL.format(candidate='true')})) join (select call_id, {pick(['web', 'docs', '.', 'core', 'web/themes'], 'k')} as target,
+  case when event_type = 'purchase' then 'file_delete' else '' end as capability from ({C})) using (call_id)""")
+def j1_table(spark, folder):
+    """Layered decisions, deletes of folders included, by a rule table that grows with the data."""
+    table = rule_ops.as_table(spark, ORG).unionByName(derive(spark, folder, MANY_RULES))
+    removing = F.col("event_type") == "purchase"
+    log = file_calls(spark, folder).withColumn("capability", F.when(removing, "file_delete").otherwise(F.col("capability"))).withColumn(
+        "paths", F.when(removing, F.array(F.expr(pick(["web", "docs", ".", "core", "web/themes"], "k")))).otherwise(F.col("paths")))
+    return replay.decide_by_table(log.select("call_id", "cwd", "project", "tool_name", "capability", "paths"), table,
+                                  unknown_tool="ask").select("call_id", "rule_id")
+
+
 MATCHED = f"""
 with c as ({C}), d as (select *, ltrim(normal_path, '/') as p from c where capability in ('file_read','file_write'))"""
 
