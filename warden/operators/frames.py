@@ -89,49 +89,68 @@ def runs(frames: DataFrame, timeout_seconds: int = 30) -> DataFrame:
     return found.join(carried, spots).select("_id", "seq", "kind", "_at", F.coalesce("_run", "_carry").alias("_run"))
 
 
-def _statuses(limit: int):
-    """The rule of one id, frame by frame. It holds no more than one open request."""
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = accepted = called_off = None  # the accepted request that waits, and when it was cancelled
+class Slot:
+    """What one id has open: an accepted request (session_id, id, seq, kind, at), and when it was cancelled.
+
+    The rule of ``paired``, frame by frame; batch and stream share it.
+    """
 
-        def ended(gone: int | None) -> tuple:
-            return *accepted, "unanswered" if called_off is None else "cancelled", None, None, gone
+    def __init__(self, limit: int, accepted: tuple | None = None, called_off: int | None = None):
+        self.limit, self.accepted, self.called_off = limit, accepted, called_off
+
+    def expiry(self) -> int:
+        return (self.accepted[4] if self.called_off is None else self.called_off) + self.limit
+
+    def _end(self, gone: int | None) -> tuple:
+        row = *self.accepted, "unanswered" if self.called_off is None else "cancelled", None, None, gone
+        self.accepted = self.called_off = None
+        return row
+
+    def expired(self, at: int | None = None) -> list[tuple]:
+        """The row of a request whose time is over at a moment, or in any case without one."""
+        over = self.accepted is not None and (at is None or at >= self.expiry())
+        return [self._end(self.expiry())] if over else []
+
+    def take(self, mine: tuple) -> list[tuple]:
+        """The rows that one frame settles."""
+        out, (seq, kind, at) = self.expired(mine[4]), mine[2:]
+        if kind == "request" and self.accepted:
+            out.append((*mine, "duplicate", None, None, None))
+        elif kind == "request":
+            self.accepted = mine
+        elif kind == "cancel" and self.accepted and self.called_off is None:
+            self.called_off = at
+            out.append((*mine, "cancelled", self.accepted[2], None, None))
+        elif kind == "cancel":
+            out.append((*mine, "unknown_cancel", None, None, None))
+        elif kind == "reply" and self.accepted and self.called_off is None:
+            out.append((*self.accepted, "answered", None, None, None))
+            out.append((*mine, "answered", self.accepted[2], at - self.accepted[4], None))
+            self.accepted = None
+        elif kind == "reply" and self.accepted:
+            out.append(self._end(None))
+            out.append((*mine, "dropped", None, None, None))
+        else:
+            out.append((*mine, "orphan" if kind == "reply" else "other", None, None, None))
+        return out
 
-        def expiry() -> int:
-            return (accepted[4] if called_off is None else called_off) + limit
 
+def _statuses(limit: int):
+    """The rule of one id, frame by frame. It holds no more than one open request."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, slot = None, Slot(limit)
         for batch in batches:
             out = []
             for frame in zip(*[batch.column(c).to_pylist() for c in (*FRAME, "_run_at", "_run_seq")]):
-                mine, here = frame[:5], (frame[0], frame[1], *frame[5:])
-                seq, kind, at = mine[2:]
-                if accepted and (here != run or at >= expiry()):
-                    out.append(ended(expiry()))
-                    accepted = called_off = None
+                here = (frame[0], frame[1], *frame[5:])
+                if here != run:
+                    out += slot.expired()
                 run = here
-                if kind == "request" and accepted:
-                    out.append((*mine, "duplicate", None, None, None))
-                elif kind == "request":
-                    accepted = mine
-                elif kind == "cancel" and accepted and called_off is None:
-                    called_off = at
-                    out.append((*mine, "cancelled", accepted[2], None, None))
-                elif kind == "cancel":
-                    out.append((*mine, "unknown_cancel", None, None, None))
-                elif kind == "reply" and accepted and called_off is None:
-                    out.append((*accepted, "answered", None, None, None))
-                    out.append((*mine, "answered", accepted[2], at - accepted[4], None))
-                    accepted = None
-                elif kind == "reply" and accepted:
-                    out.append(ended(None))
-                    out.append((*mine, "dropped", None, None, None))
-                    accepted = called_off = None
-                else:
-                    out.append((*mine, "orphan" if kind == "reply" else "other", None, None, None))
+                out += slot.take(frame[:5])
             if out:
                 yield _batch(out)
-        if accepted:
-            yield _batch([ended(expiry())])
+        if last := slot.expired():
+            yield _batch(last)
 
     return judge
 

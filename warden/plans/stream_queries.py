@@ -16,6 +16,7 @@ from warden.functions import sql as S
 from warden.functions.calls import tool_sink
 from warden.functions.fields import ScanConfig
 from warden.operators import replay, scan, taint
+from warden.plans import frame_queries
 from warden.plans.derived import CALLS
 from warden.plans.registry import query
 from warden.streaming import frames as live_frames, taint as live_taint
@@ -61,14 +62,41 @@ def st3(spark, folder):
     return drained(scan.findings(texts, "text", "doc_id", CONFIG))
 
 
-@query("st4_stream_pairs")
-def st4(spark, folder):
-    rows = source(spark, folder, "events")
-    as_frames = rows.select(
-        (F.col("user_id") % 50).cast("string").alias("session_id"), F.expr("cast(event_id div 2 as string)").alias("id"),
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
-        F.when(F.col("event_id") % 2 == 0, "request").otherwise("reply").alias("kind"))
-    same = as_frames.withColumn("session_id", F.lit("s"))
-    return drained(live_frames.pair(same, 3600))
+def in_slices(df: DataFrame, moments: list, live, last: DataFrame | None = None) -> DataFrame:
+    """What ``live`` makes of a table that comes in slices of event time; ``last`` is a slice after all others.
+
+    After each slice the stream ends and starts anew from its checkpoint, as after a lost driver.
+    """
+    spark = df.sparkSession
+    base = os.path.join(session.checkpoint_dir(spark), f"slices-{uuid.uuid4().hex}")
+    path, out, state = (os.path.join(base, name) for name in ("in", "out", "state"))
+    edges = [None, *moments, None]
+    slices = []
+    for low, high in zip(edges[:-1], edges[1:]):
+        part = df if low is None else df.where(F.col("ts") >= F.lit(low).cast("timestamp"))
+        slices.append(part if high is None else part.where(F.col("ts") < F.lit(high).cast("timestamp")))
+    for part in slices + ([] if last is None else [last]):
+        part.write.mode("append").parquet(path)
+        stream = live(spark.readStream.schema(df.schema).parquet(path))
+        (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(out)
+
 
+ALL_STATUSES = f"""with {frame_queries.STATUS}
+select session_id, id, seq, kind, case when status = 'unanswered' then 'unanswered' else status end as status,
+  case when kind <> 'request' and status in ('answered', 'cancelled') then request_seq end as request_seq,
+  case when kind = 'reply' and status = 'answered' then date_diff('microsecond', request_ts, cast(ts as timestamp)) end as latency_us
+from s"""
 
+
+@query("st4_stream_pairs", ALL_STATUSES)
+def st4(spark, folder):
+    """Frames in three slices of time; a frame long after them lets the watermark pass the last requests."""
+    log = frame_queries.rows(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    end = spark.range(1).select(
+        F.lit("end").alias("session_id"), F.lit("end").alias("id"), F.lit("2100-01-01").cast("timestamp").alias("ts"),
+        F.lit(0).cast("bigint").alias("seq"), F.lit("other").alias("kind"))
+    live = in_slices(log, ["1994-06-01", "1996-09-01"],
+                     lambda stream: live_frames.paired(stream, frame_queries.TIMEOUT), end)
+    return live.where("kind <> 'other'").select("session_id", "id", "seq", "kind", "status", "request_seq", "latency_us")

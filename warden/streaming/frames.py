@@ -2,24 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from itertools import islice
+from typing import Any
 
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-def pair(frames: DataFrame, timeout_seconds: int = 30) -> DataFrame:
-    """Requests with their reply; requests without one appear once the watermark has passed the timeout.
+from warden.operators.frames import KEY, Slot
 
-    The join is on (session_id, id), so a busy session spreads over its ids, and the
-    state of a request lives no longer than the timeout.
+OUTPUT = ("session_id string, id string, seq bigint, kind string, _at bigint, status string, request_seq bigint, "
+          "latency_us bigint, expires bigint")
+_ROW = Row(*[part.split()[0] for part in OUTPUT.split(", ")])
+#: Frames of one id and micro-batch that are put in order together.
+ORDERED = 50_000
+
+
+class Pending(StatefulProcessor):
+    """One id of a session: holds its accepted request, and a timer for the moment at which it expires."""
+
+    def __init__(self, limit: int):
+        self._limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("open", "seq bigint, at bigint, off bigint")
+
+    def _load(self, key: Any) -> Slot:
+        held = self._state.get() if self._state.exists() else None
+        accepted = (key[0], key[1], held[0], "request", held[1]) if held else None
+        return Slot(self._limit, accepted, held[2] if held else None)
+
+    def _keep(self, slot: Slot, timer: int | None) -> None:
+        """Store what is open now; its timer replaces the one that was set."""
+        due = -(-slot.expiry() // 1000) if slot.accepted else None
+        if timer is not None and timer != due:
+            self._handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self._handle.registerTimer(due)
+        if slot.accepted:
+            self._state.update((slot.accepted[2], slot.accepted[4], slot.called_off))
+        elif self._state.exists():
+            self._state.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        slot = self._load(key)
+        timer = -(-slot.expiry() // 1000) if slot.accepted else None
+        while part := list(islice(rows, ORDERED)):
+            part.sort(key=lambda r: (r["_at"], r["seq"], r["kind"]))
+            for r in part:
+                for row in slot.take((key[0], key[1], r["seq"], r["kind"], r["_at"])):
+                    yield _ROW(*row)
+        self._keep(slot, timer)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        slot = self._load(key)
+        for row in slot.expired(expiredTimerInfo.getExpiryTimeInMs() * 1000):
+            yield _ROW(*row)
+        if slot.accepted is None and self._state.exists():
+            self._state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def paired(frames: DataFrame, timeout_seconds: int = 30, delay: str = "10 seconds") -> DataFrame:
+    """ST4: status of every request, reply and cancellation of a live log, by the rule of operators.frames.paired.
+
+    ``frames`` has session_id, id, ts (a timestamp), seq and kind. The state is one open request per (session_id, id), so
+    a busy session spreads over its ids. Frames of a micro-batch are taken in order; a frame that comes in a later one
+    meets the state it finds. A request without a reply is given once the watermark, ``delay`` behind the latest frame,
+    has passed its end. Null ids form an id of their own.
     """
-    if not 1 <= timeout_seconds <= 3600:
-        raise ValueError("the timeout is between 1 second and 1 hour")
-    window = f"{timeout_seconds} seconds"
-    requests = frames.where("kind = 'request'").select(
-        F.col("session_id"), F.col("id"), F.col("ts").alias("request_ts"), F.col("seq").alias("request_seq")
-    ).withWatermark("request_ts", window)
-    replies = frames.where("kind = 'reply'").select(
-        F.col("session_id").alias("r_session"), F.col("id").alias("r_id"), F.col("ts").alias("reply_ts"),
-        F.col("seq").alias("reply_seq")).withWatermark("reply_ts", window)
-    matched = F.expr(
-        f"session_id = r_session and id = r_id and reply_ts >= request_ts and reply_ts < request_ts + interval {window}")
-    return requests.join(replies, matched, "left_outer").drop("r_session", "r_id")
+    if timeout_seconds < 1:
+        raise ValueError("the timeout is a second at least")
+    rows = frames.withWatermark("ts", delay).select(
+        F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("string").alias("id"), "ts",
+        F.col("seq").cast("bigint").alias("seq"), "kind", F.unix_micros("ts").alias("_at"))
+    return rows.groupBy(*KEY).transformWithState(
+        Pending(timeout_seconds * 1_000_000), OUTPUT, "Append", "EventTime").withColumn("ts", F.timestamp_micros("_at"))
