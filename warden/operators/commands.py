@@ -323,6 +323,46 @@ def decisions(calls: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
     return done.select("call_id", F.explode(F.array("_decision")).alias("decision")).where("decision is not null")
 
 
+def _running(unit: Sql, body, kind: str) -> Sql:
+    """``body`` of the name, arguments and rest of a unit that runs."""
+    return S.when(unit["kind"] == "run", S.let_as(kind, program(unit["argv"]), lambda name: S.let_as(
+        kind, args_of(unit["argv"]), lambda args: S.let_as(kind, _rest(name, args), lambda rest: body(name, args, rest)))))
+
+
+def with_flow(calls: DataFrame, sinks_as: str = "sink", sources_as: str = "shown") -> DataFrame:
+    """P25 and A6 inside the row: where a call sends data, and what its commands show.
+
+    Adds the sink (of the tool, else of the first command that sends) and the struct
+    (paths, sql): normalised paths and SQL texts whose content the commands show.
+    """
+    found = "_flow_units"
+    shown = "struct<paths:array<string>,sql:string>"
+    staged = calls.withColumn(found, S.col(S.when(
+        S.size(S.ref("commands")) > 0, units(S.ref("commands"), S.ref("cwd"))).otherwise(S.expr(_UNITS))))
+
+    def sends(unit: Sql) -> Sql:
+        lost = ((unit["kind"] == "rule") & (S.element_at(unit["pos"], -1) == 3)) | (unit["rule"] == "shell.nesting_limit")
+        return S.when(lost, "outbound_network").otherwise(_running(unit, sink, "string"))
+
+    def shows(unit: Sql) -> Sql:
+        def one(name: Sql, args: Sql, rest: Sql) -> Sql:
+            paths = S.transform(read_paths(name, args), lambda p: normalize(unit["cwd"], p))
+            return S.struct(S.filter(paths, lambda p: p.isNotNull()).alias("paths"), sql_text(name, args, rest).alias("sql"))
+
+        return S.when(unit["cwd"].isNotNull(), _running(unit, one, shown))
+
+    own = tool_sink(S.ref("tool_name"), S.ref("capability"), S.size(S.ref("urls")) > 0)
+    ordered = S.array_sort(S.filter(S.transform(S.ref(found), lambda u: S.struct(
+        u["pos"].alias("pos"), sends(u).alias("sink"))), lambda x: x["sink"].isNotNull()))
+    every = S.filter(S.transform(S.ref(found), shows), lambda x: x.isNotNull())
+    staged = staged.withColumn(sinks_as, S.col(S.coalesce(own, S.get(ordered, 0)["sink"])))
+    staged = staged.withColumn("_shown", S.col(every))
+    return staged.withColumn(sources_as, S.col(S.struct(
+        S.flatten(S.transform(S.ref("_shown"), lambda x: x["paths"])).alias("paths"),
+        S.filter(S.transform(S.ref("_shown"), lambda x: x["sql"]), lambda q: q.isNotNull()).alias("sql")))).drop(
+        found, "_shown")
+
+
 def sinks(calls: DataFrame) -> DataFrame:
     """P25: (call_id, sink) of every call that can send data out; the first command that does decides."""
     direct = calls.select("call_id", S.col(tool_sink(
@@ -336,10 +376,8 @@ def sinks(calls: DataFrame) -> DataFrame:
 
 
 def command_sources(calls: DataFrame) -> DataFrame:
-    """Paths and SQL texts whose content the commands of a call show: (call_id, paths, sql)."""
-    name, args, rest = S.ref("_name"), S.ref("_args"), S.ref("_rest")
-    run = _parts(segments(calls).where("kind = 'run' and cwd is not null"))
-    paths = S.transform(read_paths(name, args), lambda p: normalize(S.ref("cwd"), p))
-    return run.select(
-        "call_id", S.col(S.filter(paths, lambda p: p.isNotNull())).alias("paths"),
-        S.col(sql_text(name, args, rest)).alias("sql"))
+    """Paths and SQL texts whose content the commands of a call show: (call_id, paths, sql), one row per call that has any."""
+    bare = calls.withColumns({"tool_name": F.lit("Bash"), "capability": F.lit("shell_execute"),
+                              "urls": F.expr(_STRINGS)})
+    return with_flow(bare).select("call_id", F.explode(F.array("shown")).alias("s")).select("call_id", "s.*").where(
+        "size(paths) > 0 or size(sql) > 0")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from warden.functions import sql as S
+from warden.functions.calls import is_mcp
 from warden.functions.decisions import RuleSet, first_rule_id, rank
 from warden.functions.paths import normalize
 from warden.functions.sql import Sql
@@ -71,11 +72,27 @@ def sources(calls: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
 
 
 def call_categories(calls: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
-    """The categories each call exposes by its paths, kept in the row as ``source_categories``."""
-    found = S.transform(S.ref("paths"), lambda p: S.let(
-        path_source(normalize(S.ref("cwd"), p), rules, _project(calls)),
-        lambda source: S.when(source.isNotNull(), source_categories(source)).otherwise(S.expr(_STRINGS))))
-    return calls.withColumn("source_categories", S.col(S.array_distinct(S.flatten(found))))
+    """The categories that each call exposes, kept in the row as ``source_categories``.
+
+    Sources are the paths of the call and, where the columns are there, its ``queries`` (of MCP and unknown tools) and
+    what its commands show (``shown``, see commands.with_flow).
+    """
+    project = _project(calls)
+    paths = S.transform(S.ref("paths"), lambda p: normalize(S.ref("cwd"), p))
+    texts = S.expr(_STRINGS)
+    if "queries" in calls.columns:
+        kind = S.ref("capability")
+        texts = S.when(is_mcp(S.ref("tool_name"), kind) | (kind == "unknown"), S.ref("queries")).otherwise(texts)
+    if "shown" in calls.columns:
+        paths, texts = S.concat(paths, S.ref("shown")["paths"]), S.concat(texts, S.ref("shown")["sql"])
+    of_path = lambda p: S.let_as("array<string>", path_source(p, rules, project), lambda source: S.when(
+        source.isNotNull(), source_categories(source)).otherwise(S.expr(_STRINGS)))
+    of_text = lambda q: S.flatten(S.transform(
+        S.coalesce(sensitive_tables(q, rules.tables), S.expr(_STRINGS)), table_categories))
+    staged = calls.withColumn("_of_paths", S.col(S.flatten(S.transform(paths, of_path)))).withColumn(
+        "_of_texts", S.col(S.flatten(S.transform(texts, of_text))))
+    return staged.withColumn("source_categories", F.array_distinct(F.concat("_of_paths", "_of_texts"))).drop(
+        "_of_paths", "_of_texts")
 
 
 def first_seen(events: DataFrame) -> DataFrame:

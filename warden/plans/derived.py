@@ -113,6 +113,15 @@ COMMANDS = [
     ("nice -n 5 cat auth.json", "deny", "composer.secret.auth_json", ""),
     ("ddev exec --raw --dir /srv/app touch web/modules/contrib/a.php", "deny", "filesystem.write.contrib", ""),
 ]
+# What the commands above show, by the contract: command, categories of what it reads; all others show nothing protected.
+SHOWN = {
+    **dict.fromkeys(
+        ("cat .env", "bash -c 'cat .env'", "bash -c \"sh -c 'cat auth.json'\"", "ddev exec --dir /var/www/html cat .env",
+         "env FOO=1 timeout 5 cat .env", "mv .env old.txt", "nice -n 5 cat auth.json"), "credential,authentication"),
+    "cd web && cat sites/default/settings.php": "credential,authentication,operational_sensitive",
+    "ddev drush sql:query 'SELECT * FROM users'": "credential,authentication,personal_data",
+    "mysql -e 'SELECT mail FROM p1_users'": "credential,authentication,personal_data",
+}
 # (query, effect, rule, sensitive tables)
 SQL_TEXTS = [
     ("SELECT nid, title FROM node", "allow", "none", ""),

@@ -15,7 +15,7 @@ from warden.operators import commands, queries, replay, taint
 from warden.plans.derived import CALLS, CONFIGURED_TABLES, SQL_TEXTS, calls, golden, sql
 from warden.plans.path_queries import ORG, ORG_SQL, file_calls
 from warden.plans.registry import query
-from warden.plans.taint_queries import SOURCES_SQL, source_rows, tainted_calls
+from warden.plans.taint_queries import FLAGS, SOURCES_SQL, source_rows, tainted_calls
 from warden.vocab import CATEGORIES
 
 R = S.ref
@@ -159,10 +159,6 @@ def o6(spark, folder):
     return found.select(F.substring_index("both", "/", 1).alias("session_id"), "table_name").dropDuplicates()
 
 
-@query("j7_state_before_call", f"""
-with {SOURCES_SQL}, f as (select agent, session_id, min((ts, seq)) as first from s where source_id <> 'sql.read.sensitive_table' group by all)
-select call_id, cast(f.first is not null and f.first < (c.ts, c.seq) as int) as tainted from c left join f using (agent, session_id)""")
+@query("j7_state_before_call", f"with {FLAGS} select call_id, cast(prior <> '' as int) as tainted from w")
 def j7(spark, folder):
     return taint.prior(tainted_calls(spark, folder)).select("call_id", (F.size("prior") > 0).cast("int").alias("tainted"))
-
-

@@ -5,66 +5,95 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from warden.functions import sql as S
-from warden.functions.calls import tool_sink
-from warden.operators import replay, taint
-from warden.plans.derived import CALLS, CONFIGURED_TABLES, SQL_TEXTS, calls, golden, sql
+from warden.operators import commands, replay, taint
+from warden.plans.derived import CALLS, COMMANDS, CONFIGURED_TABLES, SHOWN, SQL_TEXTS, calls, golden, sql
 from warden.functions.decisions import BUILT_IN, RuleSet
 from warden.plans.path_queries import BUILT_IN_SQL, rule_ladder
 from warden.plans.registry import query
+from warden.vocab import CATEGORIES
 
 R = S.ref
 C = sql(CALLS)
 READ_RULES = [r for r in BUILT_IN_SQL if r[1] == "read"]
 SOURCE = rule_ladder("normal_path", "'file_read'", "''", READ_RULES)
 ORDER = "partition by agent, session_id order by ts, seq rows between unbounded preceding and 1 preceding"
+TABLE_CATS = """case when regexp_matches(t, '(users|user__|sessions$|flood$)') then 'credential,authentication,personal_data'
+  when regexp_matches(t, 'commerce_(payment|order|shipment)') then 'personal_data,financial_data,customer_data'
+  when regexp_matches(t, '(webform_submission|comment|profile)') then 'personal_data,customer_data'
+  when regexp_matches(t, '(watchdog|key_value|key_value_expire)$') then 'operational_sensitive' else 'unknown_sensitive' end"""
+PATH_CATS = f"""case when {SOURCE} = 'drupal.secret.settings_php' then 'credential,authentication,operational_sensitive'
+  when {SOURCE} <> '' then 'credential,authentication' else '' end"""
+#: Every kind of source: paths, commands and the queries of MCP tools.
 FLAGS = f"""
-flags as (select *, source in ('drupal.secret.env','composer.secret.auth_json','drupal.secret.settings_php',
-    'filesystem.secret.private_key','filesystem.secret.credential_store') as secret,
-  source = 'drupal.secret.settings_php' as operational,
-  case capability when 'network_write' then 'outbound_network' when 'mcp_call' then 'outbound_mcp' end as sink,
-  {rule_ladder('normal_path')} as rule_id from (select *, {SOURCE} as source from ({C}))),
-w as (select *, coalesce(bool_or(secret) over ({ORDER}), false) as had_secret,
-  coalesce(bool_or(operational) over ({ORDER}), false) as had_operational from flags)"""
+shown as (select *, case capability
+    when 'shell_execute' then {golden([(c, SHOWN.get(c[0], "")) for c in COMMANDS], 1, 'command_no')}
+    when 'mcp_call' then {PATH_CATS} || ',' || coalesce((select string_agg({TABLE_CATS}, ',')
+      from (select unnest(string_split({golden(SQL_TEXTS, 3, 'query_no')}, ',')) as t) where t <> ''), '')
+    else {PATH_CATS} end as cats from ({C})),
+flags as (select *, string_split(cats, ',') as own,
+  case capability when 'network_write' then 'outbound_network' when 'mcp_call' then 'outbound_mcp'
+    when 'shell_execute' then nullif({golden(COMMANDS, 3, 'command_no')}, '') end as sink,
+  case when capability = 'shell_execute' then case when {golden(COMMANDS, 1, 'command_no')} = 'allow' then 'default.no_matching_rule'
+      else {golden(COMMANDS, 2, 'command_no')} end
+    when capability = 'mcp_call' and {golden(SQL_TEXTS, 1, 'query_no')} <> 'allow' then {golden(SQL_TEXTS, 2, 'query_no')}
+    else {rule_ladder('normal_path')} end as rule_id from shown),
+known as (select *, {', '.join(f"coalesce(bool_or(list_contains(own, '{c}')) over ({ORDER}), false) as had_{c}" for c in CATEGORIES)}
+  from flags),
+w as (select *, concat_ws(',', {', '.join(f"case when had_{c} then '{c}' end" for c in CATEGORIES)}) as prior,
+  cats <> '' and regexp_matches(cats, '[a-z]') as touches,
+  case when rule_id = 'default.no_matching_rule' then 'allow'
+    when capability = 'shell_execute' then {golden(COMMANDS, 1, 'command_no')} else 'deny' end as effect from known),
+v as (select *, prior <> '' and sink is not null as hot, replace(prior, 'operational_sensitive', '') <> '' as grave from w),
+e as (select *, case when hot and grave and effect <> 'deny' then 'exfiltration.tainted_session'
+    when hot and not grave and effect = 'allow' then 'exfiltration.tainted_session.review' else rule_id end as enforced_rule_id,
+  case when hot and grave then 'deny' when hot and effect = 'allow' then 'ask' else effect end as enforced_effect from v)"""
+TABLES = RuleSet(BUILT_IN, CONFIGURED_TABLES)
+
+
+def with_taint(log):
+    """Calls with what they show, where they send and what was decided; all inside the row."""
+    none = F.expr("cast(array() as array<string>)")
+    given = lambda kind, column: F.when(F.col("capability") == kind, F.array(column)).otherwise(none)
+    ready = log.withColumns({
+        "commands": given("shell_execute", "command"), "queries": given("mcp_call", "query"), "urls": none,
+        "paths": F.when(F.col("capability") == "shell_execute", none).otherwise(F.array("path"))})
+    return taint.call_categories(commands.with_flow(ready), TABLES)
 
 
 def tainted_calls(spark, folder):
-    log = calls(spark, folder).withColumn("paths", F.array("path"))
-    return taint.call_categories(log).withColumn("sink", S.col(tool_sink(R("tool_name"), R("capability"), S.lit(False))))
+    return with_taint(calls(spark, folder))
+
+
+def decided(log):
+    return replay.decide(commands.with_call_decision(log, "by_command", TABLES), RuleSet(), "by_command")
 
 
 def enforced(spark, folder):
-    return taint.enforce(taint.prior(replay.decide(tainted_calls(spark, folder))))
+    return taint.enforce(taint.prior(decided(tainted_calls(spark, folder))))
 
 
 @query("slice0_exfiltration", f"""
-with {FLAGS} select case when had_secret and sink is not null and rule_id = 'default.no_matching_rule'
-   then 'exfiltration.tainted_session' else rule_id end as enforced_rule_id, count(*) as n_calls,
-   count(distinct session_id) as n_sessions from w group by all""")
+with {FLAGS} select enforced_rule_id, count(*) as n_calls, count(distinct session_id) as n_sessions from e group by all""")
 def slice0(spark, folder):
     per_session = enforced(spark, folder).groupBy("enforced_rule_id", "session_id").agg(F.count("*").alias("n"))
     return per_session.groupBy("enforced_rule_id").agg(
         F.sum("n").alias("n_calls"), F.count("*").alias("n_sessions"))
 
 
-@query("w1_taint_before_call", f"""
-with {FLAGS} select call_id, case when had_secret then 'credential,authentication' else '' end
-  || case when had_operational then ',operational_sensitive' else '' end as prior from w""")
+@query("w1_taint_before_call", f"with {FLAGS} select call_id, prior from w")
 def w1(spark, folder):
     return taint.prior(tainted_calls(spark, folder)).select("call_id", F.array_join("prior", ",").alias("prior"))
 
 
-@query("w2_exfiltration_decisions", f"""
-with {FLAGS} select call_id, rule_id, case when had_secret and sink is not null and rule_id = 'default.no_matching_rule'
-   then 'exfiltration.tainted_session' else rule_id end as enforced_rule_id,
-   case when had_secret and sink is not null or rule_id <> 'default.no_matching_rule' then 'deny' else 'allow' end as enforced_effect from w""")
+@query("w2_exfiltration_decisions", f"with {FLAGS} select call_id, rule_id, sink, enforced_rule_id, enforced_effect from e")
 def w2(spark, folder):
-    return enforced(spark, folder).select("call_id", "rule_id", "enforced_rule_id", "enforced_effect")
+    return enforced(spark, folder).select("call_id", "rule_id", "sink", "enforced_rule_id", "enforced_effect")
 
 
 @query("w3_taint_distance", f"""
 with {FLAGS}, n as (select *, row_number() over (partition by agent, session_id order by ts, seq) as rn from w),
-t as (select agent, session_id, min(rn) filter (where secret) as t_rn, min(rn) filter (where had_secret and sink is not null) as o_rn
-  from n group by all having min(rn) filter (where secret) is not null)
+t as (select agent, session_id, min(rn) filter (where touches) as t_rn, min(rn) filter (where prior <> '' and sink is not null) as o_rn
+  from n group by all having min(rn) filter (where touches) is not null)
 select agent, session_id, a.call_id as taint_call, b.call_id as outbound_call, coalesce(o_rn - t_rn, 0) as calls_between
 from t join n a using (agent, session_id) left join n b on b.agent = t.agent and b.session_id = t.session_id and b.rn = o_rn
 where a.rn = t_rn""")
@@ -78,10 +107,6 @@ def source_rows(spark, folder):
     return taint.sources(log, RuleSet(BUILT_IN, CONFIGURED_TABLES))
 
 
-TABLE_CATS = """case when regexp_matches(t, '(users|user__|sessions$|flood$)') then 'credential,authentication,personal_data'
-  when regexp_matches(t, 'commerce_(payment|order|shipment)') then 'personal_data,financial_data,customer_data'
-  when regexp_matches(t, '(webform_submission|comment|profile)') then 'personal_data,customer_data'
-  when regexp_matches(t, '(watchdog|key_value|key_value_expire)$') then 'operational_sensitive' else 'unknown_sensitive' end"""
 SOURCES_SQL = f"""
 c as ({C}), s as (
  select call_id, agent, session_id, ts, seq, {SOURCE} as source_id, 'file' as resource_kind, 'sha256:' || sha256(normal_path) as resource,

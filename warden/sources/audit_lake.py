@@ -63,6 +63,28 @@ def write_audit(records: DataFrame, path: str, fmt: str = "json", checkpoint: st
     return None
 
 
+def commit_batch(outputs: dict[str, DataFrame], path: str, query: str, batch_id: int) -> None:
+    """ST5: the outputs of one micro-batch, each row once however often the batch is delivered.
+
+    Every output has a folder per (query, batch), which a repeated delivery replaces. The batch counts once its row is in
+    the ledger, which is written last: what a lost driver left half written is not read and is replaced later.
+    """
+    spot = f"query={query}/batch={batch_id}"
+    for name, records in outputs.items():
+        records.write.mode("overwrite").parquet(f"{path}/{name}/{spot}")
+    spark = next(iter(outputs.values())).sparkSession
+    spark.range(1).select(F.array(*[F.lit(n) for n in sorted(outputs)]).alias("outputs")).write.mode(
+        "overwrite").parquet(f"{path}/ledger/{spot}")
+
+
+def read_committed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Rows of one output, of the batches that the ledger holds."""
+    rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    done = spark.read.option("basePath", f"{path}/ledger").parquet(f"{path}/ledger").where(
+        F.array_contains("outputs", name)).select("query", "batch")
+    return rows.join(done, ["query", "batch"], "left_semi").drop("query", "batch")
+
+
 def complete(records: DataFrame) -> DataFrame:
     """Rows of schema 1 had no mode and no enforcement fields; they were always enforced as decided."""
     old = F.col("schema") < 2

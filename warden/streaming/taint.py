@@ -8,10 +8,10 @@ keep their stateless decision in a map-only branch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from warden.operators.taint import KEY, enforce, first_seen, order_key, prior
@@ -19,38 +19,45 @@ from warden.vocab import CATEGORIES, MAX_SOURCES
 
 OUTPUT = (
     "agent string, session_id string, call_id string, kind string, ts timestamp, seq bigint, effect string, rule_id string, "
-    "sink string, prior array<string>, n_sources int"
+    "sink string, prior array<string>, n_sources int, capability string, category string, severity string, policy_layer string"
 )
+#: What an event may carry besides, for the audit.
+CARRIED = ("capability", "category", "severity", "policy_layer")
+_ROW = Row(*[part.split()[0] for part in OUTPUT.split(", ")])
 _STATE = "categories array<string>, sources array<string>, created timestamp, updated timestamp"
+#: Events of one session and micro-batch that are put in order together; more of them come chunk by chunk.
+ORDERED = 50_000
 
 
 class SessionTaint(StatefulProcessor):
-    """Emits every event with what its session had touched before; taint has no expiry."""
+    """Emits every event with what its session had touched before; taint has no expiry.
+
+    The rows of a session are an iterator that is worked off chunk by chunk, so a session that holds most of a
+    micro-batch takes the memory of one chunk.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("taint", _STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         old = self._state.get() if self._state.exists() else None
         known = set(old[0]) if old else set()
         sources = list(old[1]) if old else []
         created, updated = (old[2], old[3]) if old else (None, None)
-        out = []
-        for event in events.itertuples(index=False):
-            before = [c for c in CATEGORIES if c in known]
-            found = list(event.source_categories) if event.source_categories is not None else []
-            if found:
-                known.update(found)
-                created, updated = created or event.ts, event.ts
-                if event.source not in sources:
-                    sources = [*sources, event.source][-MAX_SOURCES:]
-            out.append((key[0], key[1], event.call_id, event.kind, event.ts, event.seq, event.effect, event.rule_id,
-                        event.sink, before, len(sources)))
-        if known:
-            self._state.update(([c for c in CATEGORIES if c in known], sources, created, updated))
-        columns = [part.split()[0] for part in OUTPUT.replace("array<string>", "list").split(", ")]
-        yield pd.DataFrame(out, columns=columns)
+        before, changed = [c for c in CATEGORIES if c in known], False
+        while part := list(islice(rows, ORDERED)):
+            part.sort(key=lambda e: (e["ts"], e["seq"]))
+            for e in part:
+                yield _ROW(key[0], key[1], e["call_id"], e["kind"], e["ts"], e["seq"], e["effect"], e["rule_id"], e["sink"],
+                           before, len(sources), *[e[c] for c in CARRIED])
+                if e["source_categories"]:
+                    known.update(e["source_categories"])
+                    before, changed = [c for c in CATEGORIES if c in known], True
+                    created, updated = created or e["ts"], e["ts"]
+                    if e["source"] not in sources:
+                        sources = [*sources, e["source"]][-MAX_SOURCES:]
+        if changed:
+            self._state.update((before, sources, created, updated))
 
     def close(self) -> None:
         pass
@@ -60,15 +67,16 @@ def stream(events: DataFrame) -> DataFrame:
     """ST1, ST2: enforced decisions of a live log of calls and results.
 
     ``events`` has agent, session_id, call_id, kind (pre or post), ts, seq,
-    source_categories, source, sink, effect and rule_id. Late events are decided with
+    source_categories, source, sink, effect and rule_id, and may have the columns of CARRIED. Late events are decided with
     the state they meet, so there is no watermark; a repeated event changes nothing,
     since the union of categories is idempotent.
     """
     relevant = events.where("session_id is not null and (size(source_categories) > 0 or sink is not null)")
     columns = ["agent", "session_id", "call_id", "kind", "ts", "seq", "source_categories", "source", "sink", "effect", "rule_id"]
+    carried = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in CARRIED]
     stated = (
-        relevant.select(*columns).groupBy(*KEY)
-        .transformWithStateInPandas(SessionTaint(), OUTPUT, "Append", "None"))
+        relevant.select(*columns, *carried).groupBy(*KEY)
+        .transformWithState(SessionTaint(), OUTPUT, "Append", "None"))
     return enforce(stated)
 
 
