@@ -96,6 +96,17 @@ def test_templates(spark):
     assert {r.doc_id for r in left.collect()} == {3, 4, 5, 6}
 
 
+def test_questions_of_several_sentences_and_of_few_words(spark):
+    bench = spark.createDataFrame([(1, "Anna has 3 apples. Carl has 5 pears. Dora has 2 plums."), (2, "What is 17 + 25?")],
+                                  "item_id long, text string")
+    rows = [(1, "Well. Anna has 3 apples. Carl has 5 pears. Dora has 2 plums. So."),
+            (2, "Well. Bert has 7 apples. Emma has 4 pears. Fred has 9 plums. So."),
+            (4, "He asked: what is 17 + 25? Nobody knew."),
+            (5, "He asked: what is 18 + 26? Nobody knew."), (6, "The cat has 7 lives. A dog has one life. We have 2 of each.")]
+    got = {(r.doc_id, r.item_id, r.exact) for r in templates.contamination(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (4, 2, True)}
+
+
 def test_benchmark_passages_against_a_plain_search(spark):
     folder = "/root/testdata/sf0.01"
     plain = lambda s: " " + " ".join(re.findall(r"\w+", s.lower())) + " "

@@ -54,8 +54,9 @@ class Pieces:
         self.unknown_score = worst - UNKNOWN_PENALTY
         self.part = common.Cache(self.best)
 
-    def best(self, part: str) -> tuple[bytes, float]:
-        """Ids (little-endian 32 bits each) and score of the best path; ties go to the path whose last piece is longer."""
+    def best(self, part: str) -> tuple[bytes, float, bool]:
+        """Ids (little-endian 32 bits each) and score of the best path, and whether the ids stand for the part's own
+        bytes; ties go to the path whose last piece is longer."""
         n = len(part)
         score = [0.0] + [None] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
@@ -86,14 +87,23 @@ class Pieces:
             else:
                 ids.append(self.unknown)
             end = start
-        return np.array(ids[::-1], "<u4").tobytes(), score[n]
+        ids.reverse()
+        back_again = b"".join([self.bytes_of[i] for i in ids]) == part.encode("utf-8", "replace")
+        return np.array(ids, "<u4").tobytes(), score[n], back_again
+
+    def _parts(self, text: str) -> list[tuple[bytes, float, bool]]:
+        return list(map(self.part.__getitem__, _PARTS.findall(SPACE + text.replace(" ", SPACE)))) if text else []
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:
         """Ids and score of a whole text; a space mark is put in front of a text that is not empty."""
-        if not text:
-            return np.zeros(0, np.uint32), 0.0
-        found = list(map(self.part.__getitem__, _PARTS.findall(SPACE + text.replace(" ", SPACE))))
-        return np.frombuffer(b"".join([f[0] for f in found]), "<u4"), float(sum(f[1] for f in found))
+        return self.encode_checked(text)[:2]
+
+    def encode_checked(self, text: str) -> tuple[np.ndarray, float, bool]:
+        """Ids and score, and whether decoding gives the text again: each part must, and the text must hold no space
+        mark, which would come back as a space. Parts are decoded once, when they are first met."""
+        found = self._parts(text)
+        ids, scores, again = zip(*found) if found else ((), (), ())
+        return np.frombuffer(b"".join(ids), "<u4"), float(sum(scores)), all(again) and SPACE not in text
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: byte pieces are joined to characters, space marks become spaces, the first one goes."""
@@ -123,11 +133,11 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         for batch in batches:
             ids, scores, crcs, trips = [], [], [], []
             for text in batch.column(1).to_pylist():
-                own, score = pieces.encode(text)
+                own, score, again = pieces.encode_checked(text)
                 ids.append(own)
                 scores.append(score)
                 crcs.append(zlib.crc32(own.tobytes()))
-                trips.append(pieces.decode(own) == text)
+                trips.append(again)
             sizes = np.array([len(i) for i in ids], np.int64)
             flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
             offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)

@@ -90,12 +90,16 @@ class _Facts(dict):
 
 
 def tokens(text: str, facts: _Facts, first_is_name: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """(hash, kind) of each template token of a whole text, its words and the place of each token in them."""
+    """(hash, kind) of each template token of a whole text, its words and the place of each token in them.
+
+    A capitalised word at the start of a sentence is an ordinary word, or a name like any other with `first_is_name`.
+    """
     words = text.replace("\n", f" {_NEWLINE} ").split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), [], np.zeros(0, np.int64)
-    table = facts(words)
-    start = np.r_[not first_is_name, table[:-1, 3] == 1]
+    return _read(words, facts(words), first_is_name) if words else _read([], np.zeros((0, 4), np.uint64), False)
+
+
+def _read(words: list[str], table: np.ndarray, first_is_name: bool):
+    start = np.r_[True, table[:-1, 3] == 1][:len(words)] & (not first_is_name)
     hashes = np.where(start, table[:, 0], table[:, 1])
     kinds = np.where(start & (table[:, 2] == NAME), LITERAL, table[:, 2]).astype(np.int64)
     real = np.flatnonzero(hashes)
@@ -119,31 +123,41 @@ def _fillers(kinds: np.ndarray, words: list[str], real: np.ndarray, at: int, siz
 
 
 _WINDOWS = "row_id long, gram long, at int, size int, n_tokens int, fillers array<string>"
+_COLUMNS = [part.split()[0] for part in _WINDOWS.split(", ")]
 
 
 def _windows(bitmap: np.ndarray | None, sizes: list[int] | None):
-    """Windows of each text; of items (no bitmap) all, in both readings of a capitalised first word."""
+    """Windows of each text, of items (no bitmap) all, in both readings of capitalised words at sentence starts."""
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         facts = _Facts()
         for frame in frames:
             out: list[tuple] = []
             for row_id, text in zip(frame["row_id"].tolist(), frame["text"].tolist()):
                 seen = set()
-                for first_is_name in ((False,) if bitmap is not None else (False, True)):
-                    hashes, kinds, words, real = tokens(text, facts, first_is_name)
+                words = text.replace("\n", f" {_NEWLINE} ").split()
+                table, before = facts(words) if words else np.zeros((0, 4), np.uint64), None
+                for first_is_name in (False, True):
+                    hashes, kinds, words, real = _read(words, table, first_is_name)
                     n = len(hashes)
+                    # Only windows with a sentence start that the two readings take differently are new.
+                    other = None if before is None else np.r_[0, np.cumsum(hashes != before)]
+                    before = hashes
+                    if other is not None and not other[-1]:
+                        break
                     for size in (sizes if sizes is not None else [min(WINDOW, n)]):
                         grams = window_hashes(hashes, size) if size else np.zeros(0, np.uint64)
                         at = np.arange(len(grams))
+                        if other is not None and len(grams):
+                            at = np.flatnonzero(other[size:size + len(grams)] > other[:len(grams)])
                         if bitmap is not None:
-                            slot = grams >> np.uint64(64 - MAP_BITS)
-                            at = np.flatnonzero(bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                            slot = grams[at] >> np.uint64(64 - MAP_BITS)
+                            at = at[np.flatnonzero(bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)]
                         signed = grams.view(np.int64)
                         for k in at.tolist():
                             if (key := (int(signed[k]), k)) not in seen:
                                 seen.add(key)
                                 out.append((row_id, key[0], k, size, n, _fillers(kinds, words, real, k, size)))
-            yield pd.DataFrame(out, columns=["row_id", "gram", "at", "size", "n_tokens", "fillers"])
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return work
 
@@ -179,8 +193,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """(doc_id, item_id, n_windows, coverage, exact): the items found in each document, one row per pair.
 
     coverage is the share of the item's tokens in matched windows of the best alignment; `exact` says that all fillers
-    are the item's own. A pair is given if coverage reaches `coverage`, matched windows hold LITERALS ordinary words
-    (or the item has fewer) and the fillers are consistent. Texts without words and null texts hold nothing; an item
+    are the item's own. A pair is given if coverage reaches `coverage`, the fillers are consistent and matched
+    windows hold LITERALS ordinary words, or are the whole item with its own fillers: a question of few words counts as
+    found only where it is copied. Texts without words and null texts hold nothing; an item
     shorter than a window is one window. Null ids are kept out. Repeated rows give one pair.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("row_id"), F.coalesce(F.col(item_text), F.lit(""))
@@ -207,7 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     share = F.size("covered") / F.col("n_tokens")
     good = aligned.where(
         (share >= coverage) & (F.size(F.array_distinct(left)) == F.size("bound"))
-        & (F.size("covered") - F.size("bound") >= F.least(F.lit(LITERALS), F.col("n_tokens"))))
+        & ((F.size("covered") - F.size("bound") >= LITERALS) | (same & (F.size("covered") == F.col("n_tokens")))))
     return good.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max(share).alias("coverage"), F.max(same).alias("exact"))
 
