@@ -91,6 +91,9 @@ def verdicts(df: DataFrame, text: str, id_: str, config: ScanConfig = ScanConfig
 
     Texts that look like JSON are judged by their leaves; content of a JSON text
     that needs rewriting is not released, since only typed data is rewritten (F17).
+    ``content`` is what the verdict releases, NULL if it blocks. ``n_findings`` and
+    ``redacted``, the text without any of its findings (NULL for JSON), are complete
+    whatever the verdict, also beyond the cap of findings.
     """
     t, found = S.ref(text), S.ref("_found")
     scanned = _scanned(df, text, config).withColumn(
@@ -121,8 +124,9 @@ def verdicts(df: DataFrame, text: str, id_: str, config: ScanConfig = ScanConfig
         S.col(decision).alias("decision"),
         "rule_id",
         S.col(S.coalesce(categories, S.expr("cast(array() as array<string>)"))).alias("categories"),
-        S.col(S.when(decision == "sanitize", n).otherwise(0)).alias("n_findings"),
+        S.col(S.coalesce(n, S.lit(0))).alias("n_findings"),
         S.col(content).alias("content"),
+        S.col(S.when(~looks_like_json(t), redact(t, found["merged"]))).alias("redacted"),
     )
 
 

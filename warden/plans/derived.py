@@ -156,6 +156,16 @@ SQL_TEXTS = [
     (";;", "allow", "none", ""),
     ("SELECT value FROM custom_secret_table", "deny", "sql.read.sensitive_table", "custom_secret_table"),
 ]
+# The words of the texts above, by hand: statements apart by ;, - where the text is ambiguous.
+SQL_WORDS = [
+    "SELECT NID TITLE FROM NODE", "SELECT FROM USERS", "SELECT MAIL FROM PREFIX_USERS_FIELD_DATA", "SELECT AS X",
+    "SELECT 1;DROP TABLE NODE", "UPDATE NODE SET TITLE", "INSERT INTO X SELECT FROM SESSIONS", "SELECT LOAD_FILE ( )",
+    "SELECT SLEEP ( 5 )", "SELECT COUNT ( ) FROM NODE", "SELECT COUNT ( ) FROM NODE USERS", "SELECT 1", "-", "-",
+    "SELECT UID FROM USERS", "SELECT NAME FROM MY_FLOOD", "SHOW TABLES", "DESCRIBE WATCHDOG",
+    "WITH X AS ( SELECT 1 ) SELECT FROM X", "", "SELECT A . B . COUNT ( X ) FROM T", "SELECT NAME FROM USER__ROLES",
+    "SELECT FROM COMMERCE_ORDER__ITEMS O COMMERCE_PAYMENT P", "EXPLAIN SELECT FROM SITE_KEY_VALUE_EXPIRE",
+    "GRANT ALL ON X TO Y", "SELECT FROM NODE", "-", "CALL PROC", ";;", "SELECT VALUE FROM CUSTOM_SECRET_TABLE",
+]
 CONFIGURED_TABLES = ("*secret*",)
 
 CALLS = f"""

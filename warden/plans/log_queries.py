@@ -8,7 +8,7 @@ from warden.functions import sql as S
 from warden.functions.calls import tool_sink
 from warden.functions.decisions import RuleSet
 from warden.operators import commands, queries
-from warden.plans.derived import CALLS, COMMANDS, CONFIGURED_TABLES, SQL_TEXTS, calls, golden, sql
+from warden.plans.derived import CALLS, COMMANDS, CONFIGURED_TABLES, SQL_TEXTS, SQL_WORDS, calls, golden, pick, sql
 from warden.plans.registry import query
 
 R = S.ref
@@ -31,6 +31,15 @@ def p12(spark, folder):
         F.count("*").alias("n"))
 
 
+@query("p12_query_words", f"""
+with c as ({C}) select call_id, {pick(SQL_WORDS, 'k + event_id * 3').replace('event_id', 'call_id')} as words from c""")
+def p12_words(spark, folder):
+    words = queries.statements(calls(spark, folder).select("call_id", "query"))
+    placed = F.struct("stmt_pos", F.coalesce(F.array_join("words", " "), F.lit("-")).alias("w"))
+    return words.groupBy("call_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(placed)), lambda s: s["w"]), ";").alias("words"))
+
+
 @query("p13_query_verdicts", f"""
 with c as ({C}) select call_id, {golden(SQL_TEXTS, 1, 'query_no')} as effect, {golden(SQL_TEXTS, 2, 'query_no')} as rule_id from c""")
 def p13(spark, folder):

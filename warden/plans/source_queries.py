@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
+from warden import session
 from warden.functions import sql as S
 from warden.functions.decisions import rank
 from warden.functions.fields import ScanConfig
-from warden.operators import mask, replay
+from warden.operators import mask, replay, taint
 from warden.plans.derived import CALLS, derive, sql
-from warden.plans.path_queries import file_calls
+from warden.plans.path_queries import file_calls, rule_ladder
 from warden.plans.registry import load, query
+from warden.plans.taint_queries import PATH_CATS, SOURCE
 from warden.sources import audit_lake, calls as logs
+from warden.vocab import BUILT_IN_RULES
 
 C = sql(CALLS)
 Q = '"'
@@ -115,6 +121,31 @@ def s4(spark, folder):
         "call_id", F.element_at("paths", 1).alias("path"), "result.status", "result.byte_size")
 
 
+MORE_RESULTS = {
+    "cursor": """'{{"conversation_id":"s","cwd":"' || cwd || '","tool_name":"Read","tool_use_id":"' || cast(call_id as string) ||
+ '","tool_input":{{"path":"' || path || '"}},"tool_output":"' || repeat('é', cast(k % 50 as int)) || '","duration":5}}'""",
+    "opencode": """'{{"schema":1,"session_id":"s","call_id":"' || cast(call_id as string) || '","cwd":"' || cwd ||
+ '","tool_name":"read","tool_input":{{"filePath":"' || path || '"}},"status":"' || case when k % 5 = 0 then 'error' else 'completed' end ||
+ '","content_type":"text/plain","byte_size":' || cast(k as string) || '}}'""",
+}
+
+
+@query("s4_results_of_all_agents", f"""
+select 'cursor' as agent, cast(call_id as varchar) as call_id, path, 'completed' as status, 'application/json' as content_type,
+  cast(2 * (k % 50) as bigint) as byte_size from ({C})
+union all select 'opencode', cast(call_id as varchar), path, case when k % 5 = 0 then 'error' else 'completed' end, 'text/plain',
+  cast(k as bigint) from ({C})""")
+def s4_all(spark, folder):
+    out = []
+    for agent, body in MORE_RESULTS.items():
+        text = derive(spark, folder, f"select {body} as body from ({CALLS})")
+        rows = text.select(F.from_json("body", logs.ENVELOPES[agent] + logs.RESULTS[agent]).alias("e")).select("e.*")
+        out.append(logs.with_result(rows, agent).select(
+            F.lit(agent).alias("agent"), "call_id", F.element_at("paths", 1).alias("path"), "result.status",
+            "result.content_type", "result.byte_size"))
+    return logs.unify(*out)
+
+
 CANDIDATE_BODY = """'{{"schema":1,"session_id":"s","call_id":"' || cast(call_id as string) || '","cwd":"' || cwd || '","tool_name":"Task","tool_input":{{"cmd":"ls","files":["' || path || '"],"sql":' ||
  case when k % 6 = 0 then '1' else '"select 1"' end || '}}}}'"""
 
@@ -151,11 +182,58 @@ def s11(spark, folder):
 @query("s10_audit_records", f"""
 select 'sha256:' || sha256(cast(call_id as varchar)) as call, 'sha256:' || sha256(session_id) as session, agent, epoch_us(ts) // 1000 as timestamp_unix_ms,
  capability from ({C})""")
-def s10(spark, folder):
+def s10_records(spark, folder):
     decided = replay.decide(file_calls(spark, folder).drop("project"))
     return audit_lake.pre_records(decided).select("call", "session", "agent", "timestamp_unix_ms", "capability")
 
 
+_RULES = {rule: (category, severity) for rule, category, _, severity, _, _ in BUILT_IN_RULES}
+_ONE_OF = lambda place: "case rule_id " + " ".join(
+    f"when '{rule}' then '{values[place]}'" for rule, values in _RULES.items()) + f" else '{('default', 'info')[place]}' end"
+RESULT_TYPE = "case k % 3 when 0 then 'application/json' when 1 then 'text/html; odd' end"
+AUDITED = f"""
+c as (select *, 'sha256:' || sha256(session_id) as session, 'sha256:' || sha256(cast(call_id as varchar)) as call,
+  epoch_us(ts) // 1000 as timestamp_unix_ms, strftime(ts, '%Y-%m-%d') as day,
+  {rule_ladder('normal_path')} as rule_id, {SOURCE} as source, {PATH_CATS} as cats from ({C})),
+p as (select *, case when rule_id = 'default.no_matching_rule' then 'allow' else 'deny' end as decision from c)"""
+
+
+@query("s10_audit_lake", f"""
+with {AUDITED}
+select 4 as schema, timestamp_unix_ms, agent, 'pre_tool_use' as event, session, call, capability, decision, rule_id,
+  {_ONE_OF(0)} as category, {_ONE_OF(1)} as severity,
+  case when rule_id = 'default.no_matching_rule' then 'default' else 'built_in' end as policy_layer, 'enforce' as mode,
+  decision as enforcement_decision, rule_id as enforcement_rule_id, '' as result_status, '' as result_content_type,
+  cast(-1 as bigint) as result_byte_size, '' as source_ids, '' as sensitivity_categories, -1 as exit_code, day from p
+union all
+select 4, timestamp_unix_ms, agent, 'post_tool_use', session, call, capability, 'recorded', '', '', '', '', '', '', '', 'completed',
+  coalesce(case k % 3 when 0 then 'application/json' when 1 then 'unknown' end, ''), cast(k as bigint), source, cats, -1, day from p
+union all
+select 4, timestamp_unix_ms, agent, 'result_containment', session, '', '', case when cats <> '' then 'sanitize' else 'allow' end,
+  '', '', '', '', '', '', '', '', '', -1, source, cats, cast(k % 4 as int), day from p""")
+def s10(spark, folder):
+    """Records of three kinds, written to one partitioned log and read back, in all their columns."""
+    log = taint.call_categories(file_calls(spark, folder).drop("project"))
+    sources = taint.path_source(S.ref("normal_path"))
+    facts = log.withColumn("source_ids", S.col(S.filter(S.array(sources), lambda x: x.isNotNull()))).withColumn(
+        "sensitivity_categories", F.col("source_categories"))
+    results = facts.withColumn("result", F.struct(
+        F.lit("completed").alias("status"), F.expr(RESULT_TYPE).alias("content_type"), F.col("k").cast("bigint").alias("byte_size")))
+    contained = facts.withColumn("decision", F.when(F.size("source_ids") > 0, "sanitize").otherwise("allow")).withColumn(
+        "exit_code", F.col("k") % 4)
+    path = os.path.join(session.checkpoint_dir(spark), f"audit-log-{uuid.uuid4().hex}")
+    audit_lake.write_audit(audit_lake.all_records(
+        audit_lake.pre_records(replay.decide(log)), audit_lake.post_records(results), audit_lake.result_records(contained)), path)
+    text = ("session", "call", "capability", "rule_id", "category", "severity", "policy_layer", "mode", "enforcement_decision",
+            "enforcement_rule_id", "result_status", "result_content_type")
+    back = audit_lake.read_audit(spark, path)
+    return back.select(
+        "schema", "timestamp_unix_ms", "agent", "event", "decision", *[F.coalesce(c, F.lit("")).alias(c) for c in text],
+        F.coalesce("result_byte_size", F.lit(-1)).alias("result_byte_size"), F.coalesce("exit_code", F.lit(-1)).alias("exit_code"),
+        *[F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("source_ids", "sensitivity_categories")],
+        F.date_format("date", "yyyy-MM-dd").alias("day"))
+
+
 @query("f19_pseudonyms", "select c_custkey, 'sha256:' || sha256(c_name) as name from customer")
 def f19(spark, folder):
     return load(spark, folder, "customer").select("c_custkey", audit_lake.pseudonymize(F.col("c_name")).alias("name"))

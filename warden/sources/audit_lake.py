@@ -54,6 +54,23 @@ def post_records(results: DataFrame) -> DataFrame:
         F.to_date("ts").alias("date"))
 
 
+def result_records(results: DataFrame) -> DataFrame:
+    """Audit rows of contained results: the verdict, the exit code and source ids; there is no column for a body."""
+    return results.select(
+        F.lit(4).alias("schema"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_unix_ms"),
+        S.col(known(S.ref("agent"), "agent")).alias("agent"), F.lit("result_containment").alias("event"),
+        pseudonymize(F.col("session_id")).alias("session"), "decision", F.col("exit_code").cast("int").alias("exit_code"),
+        "source_ids", "sensitivity_categories", F.to_date("ts").alias("date"))
+
+
+def all_records(*kinds: DataFrame) -> DataFrame:
+    """Records of several kinds as rows of one log; columns that a kind does not have are null and not written."""
+    first, *rest = kinds
+    for other in rest:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first
+
+
 def write_audit(records: DataFrame, path: str, fmt: str = "json", checkpoint: str | None = None):
     """S10, ST5: append records by event and day; a streaming frame needs a checkpoint folder."""
     if records.isStreaming:
