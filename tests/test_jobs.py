@@ -265,10 +265,29 @@ def test_stream_scan_and_pairs(spark, tmp_path):
         "ts", F.timestamp_seconds("seq"))
     found = live_scan.taint_events(texts, "text").where("size(source_categories) > 0").collect()
     assert [(r.call_id, r.source, r.source_categories) for r in found] == [("1", "personal.email", ["personal_data"])]
-    frames = spark.createDataFrame([("s", "1", 0, 1, "request"), ("s", "1", 5, 2, "reply"), ("s", "2", 0, 3, "request"), ("s", "2", 31, 4, "reply")],
-                                   "session_id string, id string, sec int, seq bigint, kind string").withColumn("ts", F.timestamp_seconds("sec"))
-    pairs = live_frames.pair(frames, 30).orderBy("request_seq").collect()
-    assert [(r.request_seq, r.reply_seq) for r in pairs] == [(1, 2), (3, None)]
+
+
+def test_live_pairs_equal_the_batch(spark):
+    """Duplicates, cancellations and expiries, in slices of time between which the stream starts anew."""
+    import random
+
+    from warden.operators import frames
+    from warden.plans.stream_queries import by_time, in_slices
+
+    draw, sec, rows = random.Random(3), 0, []
+    for seq in range(600):
+        sec += draw.choice([0, 1, 3, 9, 40])
+        rows.append((draw.choice(["a", "b", None]), draw.choice(["1", "2", None]), sec, seq,
+                     draw.choice(["request", "request", "reply", "cancel"])))
+    log = spark.createDataFrame(rows, "session_id string, id string, sec long, seq bigint, kind string").withColumn(
+        "ts", F.timestamp_seconds("sec")).drop("sec").select("session_id", "id", "ts", "seq", "kind")
+    columns = ["session_id", "id", "seq", "kind", "status", "request_seq", "latency_us", "expires"]
+    want = sorted(map(str, frames.paired(log, 30).select(*columns).collect()))
+    end = spark.createDataFrame([("end", "end", 0, 0, "other")], "session_id string, id string, sec long, seq bigint, kind string")
+    end = end.select("session_id", "id", F.timestamp_seconds(F.lit(10 ** 9)).alias("ts"), "seq", "kind")
+    middle = [str(spark.sql(f"select timestamp_seconds({rows[n][2]})").first()[0]) for n in (200, 400)]
+    live = in_slices(log, by_time(*middle), lambda s: live_frames.paired(s, 30), end)
+    assert sorted(map(str, live.where("kind <> 'other'").select(*columns).collect())) == want
 
 
 def test_findings_do_not_shuffle(spark):
