@@ -245,60 +245,55 @@ def test_names_of_special_tokens_are_coded_as_by_the_library():
 
 # --- 6: lines -------------------------------------------------------------------------------------------------------
 
-def plain_dedup(rows, cells, grams, window, reach, least):
-    """The rule by itself: anchors, first places, extension, removal; hashes are those of the job."""
-    place_of, anchors = {}, []
-    for key in sorted(rows):
-        c, g = cells[key], grams[key]
-        for i, cell in enumerate(c):
-            alone, span = cell & 4095, range(max(0, i - window + 1), i + 1)
-            chosen = any(s + min(window, len(g)) <= len(g) and i < s + min(window, len(g)) and
-                         max((-g[j], j) for j in range(s, s + min(window, len(g)))) == (-g[i], i)
-                         for s in span) if i < len(g) else False
-            if alone >= least:
-                anchors.append((("line", cell), key, i))
-            elif chosen:
-                anchors.append((("pair", g[i]), key, i))
-    gone = {key: set() for key in rows}
-    for gram, key, i in anchors:
-        first = place_of.setdefault(gram, (key, i))
-        if first == (key, i):
-            continue
-        c, d, j = cells[key], cells[first[0]], first[1]
-        up = down = 0
-        while up < reach and i - up > 0 and j - up > 0 and c[i - up - 1] == d[j - up - 1]:
-            up += 1
-        while down < reach and i + down + 1 < len(c) and j + down + 1 < len(d) and c[i + down + 1] == d[j + down + 1]:
-            down += 1
-        if c[i] == d[j] and sum(x & 4095 for x in c[i - up:i + down + 1]) >= least:
-            gone[key].update(range(i - up, i + down + 1))
-    return gone
-
-
-def test_lines_against_the_plain_rule(spark):
-    from pyspark.sql import functions as F
-
-    draw, rows = random.Random(4), []
-    stock = [" ".join(f"{draw.choice('abcdefgh')}{draw.randint(0, 30)}" for _ in range(draw.choice((1, 2, 4, 14))))
+def plain_dedup(rows, least):
+    """All runs of lines of all texts: what lies in a run with `least` characters seen before goes."""
+    seen, out = {}, {}
+    for key, text in sorted(rows):
+        lines_of = text.split("\n")
+        own = [(n, t.strip(" ")) for n, t in enumerate(lines_of) if t.strip(" ")]
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                run = tuple(t for _, t in own[a:b])
+                if sum(map(len, run)) >= least and seen.setdefault(run, (key, a)) != (key, a):
+                    gone.update(range(a, b))
+        between = {n for g in gone if g + 1 in gone for n in range(own[g][0], own[g + 1][0])}
+        between |= {own[g][0] for g in gone}
+        out[key] = ("\n".join(t for n, t in enumerate(lines_of) if n not in between), len(between))
+    return out
+
+
+def stocked(seed, words, blank):
+    """Texts of lines from a small stock, with runs of it in order; some lines are blank."""
+    draw, rows = random.Random(seed), []
+    stock = [" ".join(f"{draw.choice('abcdefgh')}{draw.randint(0, 30)}" for _ in range(draw.choice(words)))
              for _ in range(60)]
     for i in range(120):
         at = draw.randrange(50)
-        rows.append((i, "\n".join(draw.choices(stock, k=draw.randint(0, 6)) + stock[at:at + draw.randint(0, 8)])))
-    docs = frame(spark, rows)
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("v"), F.transform(F.split("text", "\n", -1), lines._cell)
-                         .alias("cells"))
-    hashed = hashed.withColumn("grams", F.expr(
-        "transform(slice(cells, 1, greatest(size(cells) - 1, 0)), (c, i) -> xxhash64(c, get(cells, i + 1)))")).collect()
-    keys = {(r.doc_id, r.v): r for r in hashed}
-    want = plain_dedup(list(keys), {k: r.cells for k, r in keys.items()}, {k: r.grams for k, r in keys.items()},
-                       lines.WINDOW, lines.REACH, lines.MIN_CHARS)
-    want = {k[0]: "\n".join(t for n, t in enumerate(dict(rows)[k[0]].split("\n")) if n not in w) for k, w in want.items()}
-    got = lines.dedup_lines(docs)
-    assert {r.doc_id: r.text for r in got.collect()} == want and want != dict(rows)
+        own = draw.choices(stock, k=draw.randint(0, 6)) + stock[at:at + draw.randint(0, 8)]
+        rows.append((i, "\n".join(x for t in own for x in [t] + ["", "  "][:draw.randint(0, 2)] * (draw.random() < blank))))
+    return rows
+
+
+@pytest.mark.parametrize("seed,words,blank", [(4, (1, 2, 4, 14), 0.0), (5, (1, 2, 3), 0.3), (6, (1, 1, 16), 0.5)])
+def test_lines_against_all_runs(spark, seed, words, blank):
+    rows = stocked(seed, words, blank)
+    got = lines.dedup_lines(frame(spark, rows))
+    want = plain_dedup(rows, lines.MIN_CHARS)
+    assert {r.doc_id: (r.text, r.n_lines_removed) for r in got.collect()} == want
+    assert {k: v[0] for k, v in want.items()} != dict(rows)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_runs_whose_lines_stand_first_elsewhere_go_whole(spark):
+    short = [f"k{i} = {i}" for i in range(12)]  # no line is long, every neighbouring pair stands in another text first
+    rows = [(i, f"{short[i]}\n{short[i + 1]}") for i in range(11)]
+    rows += [(20, "own head\n" + "\n\n".join(short) + "\nown tail"), (21, "a head\n" + "\n".join(short) + "\na tail")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got.pop(21) == "a head\na tail" and got == {k: v for k, v in rows if k != 21}
+
+
 def test_repeated_passages_go_and_the_first_stays(spark):
     passage = "\n".join(f"line {i} of a passage that many documents share" for i in range(5))
     rows = [(i, f"own start {i}\n{passage}\nown end {i}") for i in range(40)] + [(99, "short\nshort\nshort")]

@@ -1,9 +1,12 @@
 """Line deduplication by winnowing, in DataFrame functions only.
 
-Lines are hashed. Pairs of neighbouring lines are the grams; of each window of grams the smallest hash is selected, so
-any repeated run of `window + 1` lines or more shares a selected gram. A line that is long enough to be removed by
-itself is selected by itself. Selected places are joined with the first place of the same hash (never all with all);
-the match is extended line by line both ways, and the later run is removed if it has `min_chars` characters.
+Lines that are not blank are hashed. A window is a shortest run of lines with `min_chars` characters: from each line on,
+and back from each line. The smallest line hash of a window is its fingerprint, so any repeated run with `min_chars`
+characters shares one, wherever the run begins. Fingerprints that stand at one place only fall out. The windows that
+reach both ways from the others are joined with the first place of the same run of lines: what has an earlier copy goes.
+
+The windows inside a run cover all of it (from its start forward, from its end back), so extending a match line by line
+is a union of windows, and no run depends on the text in which one of its fingerprints happens to stand first.
 """
 
 from __future__ import annotations
@@ -12,109 +15,88 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from warden.llm import common
 
-WINDOW = 3
-#: Lines an extension may reach beyond its anchor; anchors are never farther apart than a window.
-REACH = 4
 MIN_CHARS = 40
-#: A cell is a line's hash with the line's length (capped) in the lowest bits.
-LENGTH_BITS = 12
-_TOP = (1 << LENGTH_BITS) - 1
-
-
-def _cell(line: Column) -> Column:
-    line = F.trim(line)
-    return F.shiftleft(F.xxhash64(line), LENGTH_BITS).bitwiseOR(F.least(F.length(line), F.lit(_TOP)).cast("long"))
-
-
-def _length(cell: Column) -> Column:
-    return cell.bitwiseAND(F.lit(_TOP).cast("long"))
-
-
-def _streak(grams: Column, at: Column, step: int, window: int) -> Column:
-    """How many neighbours on one side do not beat the gram: ties go to the right-hand one."""
-    here, out = F.get(grams, at), F.lit(0)
-    for k in range(window - 1, 0, -1):
-        there = F.get(grams, at + F.lit(step * k))
-        holds = (there >= here) if step < 0 else (there > here)
-        out = F.when(holds, F.lit(1) + out if k < window - 1 else F.lit(1)).otherwise(0)
-    return out
-
-
-def anchors(rows: DataFrame, window: int = WINDOW, reach: int = REACH, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Selected places (gram, place, cell, before, after) of rows (doc_id, version, cells); neighbours nearest first."""
-    cells = F.col("cells")
-    grams = rows.withColumn("grams", F.expr(
-        "transform(slice(cells, 1, greatest(size(cells) - 1, 0)), (c, i) -> xxhash64(c, get(cells, i + 1)))"))
-
-    def place(cell, i):
-        alone = _length(cell) >= min_chars
-        enough = F.least(F.lit(window), F.size("grams"))
-        chosen = (i < F.size("grams")) & (
-            _streak(F.col("grams"), i, -1, window) + _streak(F.col("grams"), i, 1, window) + 1 >= enough)
-        return F.struct(
-            F.when(alone, F.xxhash64(cell)).when(chosen, F.get("grams", i)).alias("gram"), i.alias("line"),
-            cell.alias("cell"),
-            F.reverse(F.slice(cells, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))).alias("before"),
-            F.slice(cells, i + 2, reach).alias("after"))
-
-    found = grams.select("doc_id", "version", F.explode(
-        F.filter(F.transform(cells, place), lambda p: p["gram"].isNotNull())).alias("p"))
-    return found.select(F.col("p.gram").alias("gram"), F.struct("doc_id", "version", F.col("p.line").alias("line"))
-                        .alias("place"), F.col("p.cell").alias("cell"), "p.before", "p.after")
-
-
-def _same(left: str, right: str) -> Column:
-    """Number of equal leading cells of two arrays."""
-    equal = F.zip_with(left, right, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    miss = F.array_position(equal, False).cast("int")
-    return F.when(miss == 0, F.size(equal)).otherwise(miss - 1)
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, reach: int = REACH,
-             min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, version, gone): the numbers of the lines to remove from each text that has some.
+def _windows(min_chars: int) -> Column:
+    """(first, n) of the shortest runs with enough characters, from the array `sizes` of one text's lines."""
+    # Lines hold a character at least, so a run of min_chars lines is always long enough.
+    step = f"""named_struct('sum', 0, 'n', 0),
+        (s, x) -> if(s.sum >= {min_chars}, s, named_struct('sum', s.sum + x, 'n', s.n + 1))"""
+    on = f"aggregate(slice(sizes, i + 1, {min_chars}), {step})"
+    back = f"aggregate(reverse(slice(sizes, greatest(i + 2 - {min_chars}, 1), least(i + 1, {min_chars}))), {step})"
+    # A run that is shortest in both directions is taken once, from its first line.
+    return F.expr(f"""flatten(transform(sizes, (size, i) -> if(size >= {min_chars},
+        array(named_struct('first', i, 'n', 1)),
+        filter(concat(
+            transform(array({on}), s -> if(s.sum >= {min_chars}, named_struct('first', i, 'n', s.n), null)),
+            transform(array({back}), s -> if(s.sum - size >= {min_chars},
+                named_struct('first', i + 1 - s.n, 'n', s.n), null))), w -> w is not null))))""")
+
+
+def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(place, n, run, mark, gram, at): each window's first line and length, two hashes of its lines, its fingerprint
+    and the line that holds it. Lines are numbered without the blank ones; place is (doc_id, version, line)."""
+    lines = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
+    hashed = (docs.where(F.col(text).isNotNull())
+              .select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), lines.alias("lines"))
+              .select("doc_id", "version", F.transform("lines", lambda line: F.xxhash64(line)).alias("cells"),
+                      F.transform("lines", lambda line: F.hash(line)).alias("marks"),
+                      F.transform("lines", lambda line: F.length(line)).alias("sizes")))
+    found = F.expr("""transform(windows, w -> named_struct('first', w.first, 'n', w.n,
+        'run', xxhash64(slice(cells, w.first + 1, w.n)), 'mark', hash(slice(marks, w.first + 1, w.n)),
+        'gram', array_min(slice(cells, w.first + 1, w.n))))""")
+    at = F.expr("""transform(found, w -> named_struct('w', w,
+        'at', w.first + cast(array_position(slice(cells, w.first + 1, w.n), w.gram) as int) - 1))""")
+    spread = (hashed.withColumn("windows", _windows(min_chars)).withColumn("found", found)
+              .select("doc_id", "version", F.explode(at).alias("p")))
+    return spread.select(F.struct("doc_id", "version", F.col("p.w.first").alias("line")).alias("place"),
+                         F.col("p.w.n").alias("n"), F.col("p.w.run").alias("run"), F.col("p.w.mark").alias("mark"),
+                         F.col("p.w.gram").alias("gram"), F.col("p.at").alias("at"))
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, version, gone): the numbers, not counting blank lines, of the lines to remove from each text.
 
     `version` is the text's hash: two texts under one id stay apart.
     """
-    rows = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("version"),
-        F.transform(F.split(F.col(text), "\n", -1), _cell).alias("cells"))
-    places = common.saved(anchors(rows, window, reach, min_chars), "anchors")
-    first = (places.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("place", "cell", "before", "after"))
-                                        .alias("first")).where("n > 1").select("gram", "first"))
-    pairs = places.join(first, "gram").where(
-        ~F.col("place").eqNullSafe(F.col("first.place")) & (F.col("cell") == F.col("first.cell")))
-    runs = pairs.select("place", "cell", "before", "after", _same("before", "first.before").alias("up"),
-                        _same("after", "first.after").alias("down"))
-    size = (_length(F.col("cell"))
-            + F.aggregate(F.slice("before", F.lit(1), F.col("up")), F.lit(0).cast("long"), lambda s, c: s + _length(c))
-            + F.aggregate(F.slice("after", F.lit(1), F.col("down")), F.lit(0).cast("long"), lambda s, c: s + _length(c)))
-    spans = runs.where(size >= min_chars).select(
-        "place.doc_id", "place.version",
-        F.sequence(F.col("place.line") - F.col("up"), F.col("place.line") + F.col("down")).alias("gone"))
-    return spans.groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-                reach: int = REACH, min_chars: int = MIN_CHARS) -> DataFrame:
+    found = common.saved(windows(docs, doc_id, text, min_chars), "windows")
+    holder = F.struct("place.doc_id", "place.version", "at")
+    grams = found.groupBy("gram").agg(F.min(holder).alias("low"), F.max(holder).alias("high")).where(
+        ~F.col("low").eqNullSafe(F.col("high"))).select("gram")
+    matched = found.join(grams, "gram", "left_semi").select("place", "n", "run", "mark")
+    first = (matched.groupBy("run", "mark", "n").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+             .where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
+    later = matched.join(first, ["run", "mark", "n"]).where(~F.col("place").eqNullSafe(F.col("first")))
+    spans = later.select("place.doc_id", "place.version",
+                         F.sequence(F.col("place.line"), F.col("place.line") + F.col("n") - 1).alias("gone"))
+    return spans.groupBy("doc_id", "version").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` with later repeats of runs of lines taken out of `text`, and n_lines_removed (clashing names: see below).
 
-    Order is (doc_id, hash of the text, line). The first place of a line never goes. Lines are compared without blanks
-    around them. A run is measured within `reach` lines of its anchor and goes if it has `min_chars` characters, so
-    short repeated lines stay unless they stand in a longer run. Guarantee: a repeated run of `window + 1` lines, or
-    with a line of `min_chars` characters, has an anchor; it is compared with the first place of that anchor.
+    A line goes exactly if it lies in a run of lines with `min_chars` characters that also stands at an earlier place.
+    Order is (doc_id, hash of the text, line), so the first place of a run never goes. Lines are compared without blanks
+    around them; blank lines are not compared, and go if the nearest lines above and below both go. Short repeated lines
+    stay unless they stand in such a run. Equal runs are equal in 96 bits of hashes and in their number of lines.
     Null texts stay null; an empty text stays empty; a text of which all lines go becomes empty; no row is dropped.
     Repeated rows (same id and text) count as one place and all stay. Rows with a null id come first in the order.
     An input column named n_lines_removed is replaced.
     """
-    gone = repeated(docs, doc_id, text, window, reach, min_chars).select(
+    gone = repeated(docs, doc_id, text, min_chars).select(
         F.col("doc_id").alias("__gone_id"), F.col("version").alias("__gone_version"), F.col("gone").alias("__gone"))
     docs = docs.drop("n_lines_removed")
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone_id"))
                        & (F.xxhash64(F.col(text)) == F.col("__gone_version")), "left")
-    return joined.select(
+    split = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n", -1)))
+    numbered = split.withColumn("__numbers", F.expr(
+        "filter(transform(__lines, (line, i) -> if(trim(line) = '', null, i)), i -> i is not null)"))
+    out = numbered.withColumn("__out", F.expr("""flatten(transform(__gone, (g, i) -> if(get(__gone, i + 1) = g + 1,
+        sequence(get(__numbers, g), get(__numbers, g + 1) - 1), array(get(__numbers, g)))))"""))
+    kept = F.expr("""array_join(transform(array_except(sequence(0, size(__lines) - 1), __out),
+        i -> get(__lines, i)), '\n')""")
+    return out.select(
         *[F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(f"`{c}`")
-          for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("n_lines_removed"))
+          for c in docs.columns], F.coalesce(F.size("__out"), F.lit(0)).alias("n_lines_removed"))
