@@ -294,3 +294,32 @@ def test_findings_do_not_shuffle(spark):
     df = spark.createDataFrame([(1, "a@b.co")], "id int, text string")
     plan = scan.findings(df, "text", "id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_sketches_of_days_merge_into_the_exact_report(spark):
+    # A hot detector with a third of a million texts, each found on three days and twice on one of them; a small one.
+    rows = spark.range(330_000).select("id", F.explode(F.array(*map(F.lit, (0, 1, 1, 2)))).alias("day")).select(
+        F.col("id").alias("doc_id"), ((F.col("id") + F.col("day")) % 5).alias("day"),
+        F.when(F.col("id") % 1000 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("d"))
+    found = rows.select("doc_id", "day", F.explode("d").alias("detector_id"), F.lit("personal_data").alias("category"))
+    days = scan.detector_sketches(found, "doc_id", ["day"])
+    exact = {r.detector_id: r for r in scan.detector_report(found, "doc_id").collect()}
+    merged = {r.detector_id: r for r in scan.sketch_report(days).collect()}
+    assert exact["a"].n_docs == 330_000 and set(merged) == set(exact)
+    for name, row in merged.items():
+        assert row.n_findings == exact[name].n_findings and abs(row.n_docs - exact[name].n_docs) <= 0.03 * exact[name].n_docs
+    by_day = scan.sketch_report(days, ["day"]).where("detector_id = 'a'").collect()
+    assert len(by_day) == 5 and all(abs(r.n_docs - 198_000) <= 0.03 * 198_000 for r in by_day)
+    assert scan.sketch_report(scan.detector_sketches(found.where("false"), "doc_id", ["day"])).count() == 0
+
+
+def test_all_detectors_of_the_corpus_by_sketch(spark):
+    from warden.plans.all_queries import QUERIES
+    from warden.plans.scan_queries import CONFIG, documents
+
+    folder = "/root/testdata/sf0.001"
+    exact = scan.detector_report(scan.findings(documents(spark, folder), "text", "doc_id", CONFIG), "doc_id").collect()
+    got = {r.detector_id: r for r in QUERIES["a12_daily_sketches"](spark, folder).collect()}
+    assert set(got) == {r.detector_id for r in exact}
+    for r in exact:
+        assert got[r.detector_id].n_findings == r.n_findings and abs(got[r.detector_id].n_docs - r.n_docs) <= 0.03 * r.n_docs

@@ -278,6 +278,12 @@ def a12(spark, folder):
     return scan.detector_report(corpus_findings(spark, folder), "doc_id")
 
 
+@query("a12_daily_sketches")
+def a12_sketches(spark, folder):
+    found = scan.findings(documents(spark, folder), "text", "doc_id", CONFIG).withColumn("day", F.col("doc_id") % 7)
+    return scan.sketch_report(scan.detector_sketches(found, "doc_id", ["day"]))
+
+
 @query("o1_ordered_findings")
 def o1(spark, folder):
     return scan.findings(documents(spark, folder), "text", "doc_id", CONFIG)
