@@ -479,6 +479,18 @@ def test_seeds_against_the_forms():
     bootstrap.seeds("a" * 300_000 + "@" + "1" * 300_000 + " " + "1." * 100_000)  # stays linear
 
 
+def test_trust_travels_along_a_long_chain(spark):
+    # Pattern k holds three instances of level k five times each and three of level k + 1 once; level 0 are seeds.
+    levels = 8
+    rows = [(10 * k + i, k, 1 if k == 0 else -1, 5) for k in range(levels) for i in range(3)]
+    rows += [(10 * (k + 1) + i, k, -1, 1) for k in range(levels) for i in range(3)]
+    rows += [(900 + i, 50, -1, 1) for i in range(9)]  # a pattern without known instances
+    graph = spark.createDataFrame(rows, "instance long, pattern long, kind int, n long")
+    places = graph.groupBy("pattern").agg(F.sum("n").alias("places"))
+    got = sorted((r.instance, r.kind) for r in bootstrap.trusted(graph, places).collect())
+    assert got == [(10 * k + i, 1) for k in range(1, levels + 1) for i in range(3)]
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f"please write to user{i}@mail.example.org for details number {i}") for i in range(12)]
     rows += [(100 + i, f"please write to user{i}-at-mail for details again") for i in range(3)]

@@ -3,7 +3,7 @@
 Seeds are the addresses and numbers that patterns of characters find. The words around them are lexical patterns. Spark
 scores the graph of patterns and instances in rounds: a pattern is trusted for a kind if enough different known
 instances stand in it and hardly anything else does; an instance is trusted if trusted patterns hold it; trusted
-instances count as known in the next round. All places of trusted instances are given beside the seeds' own.
+instances count as known in the next round, until a round finds no new one. All places of trusted instances are given beside the seeds' own.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ KINDS = ("email", "ip", "card", "phone")
 INSTANCES = 3
 PRECISION = 0.8
 TRUST = 0.8
-ROUNDS = 3
 #: Unknown words with a digit and at least so many characters can be instances.
 LEAST = 5
 MAP_BITS = 22
@@ -198,16 +197,16 @@ def _places(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     return patterns.join(counted, "pattern", "left").select("pattern", F.coalesce("places", F.lit(0)).alias("places"))
 
 
-def trusted(graph: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def trusted(graph: DataFrame, places: DataFrame) -> DataFrame:
     """(instance, kind) of the instances that become trusted.
 
     `graph` has (instance, pattern, kind, n): how often an instance stands in a pattern; kind is -1 for unknown ones.
+    What is trusted stays so with its kind, hence the set grows until it stands still.
     """
-    empty = graph.select("instance", "kind").where("false")
-    known = common.saved(empty, "trusted")
+    known = common.saved(graph.select("instance", "kind").where("false"), "trusted")
     unknown = graph.where("kind < 0").select("instance", "pattern", "n")
     seeded = graph.where("kind >= 0")
-    for _ in range(rounds):
+    while True:
         taken = seeded.unionByName(unknown.join(known, "instance"))
         scored = (taken.groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("instances"),
                                                        F.sum("n").alias("held"))
@@ -220,13 +219,13 @@ def trusted(graph: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFr
                 .where(F.col("score") >= TRUST))
         found = held.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("rank"))).alias("best")).select(
             "instance", (-F.col("best.rank")).cast("int").alias("kind"))
-        before, known = known, common.saved(found, "trusted")
-        if before.count() == known.count():
-            break
-    return known
+        new = common.saved(found.join(known, "instance", "left_anti"), "trusted-new")
+        if new.isEmpty():
+            return known
+        known = common.saved(known.unionByName(new), "trusted")
 
 
-def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every whole text.
 
     Counts and base_sha256 are of the seeds; spans holds them and what the contexts found, by start and kind, as
@@ -245,7 +244,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
               .where(F.col("k") >= INSTANCES).select("pattern"))
     graph = common.saved(graph.join(wanted, "pattern"), "graph")
     places = common.saved(_places(rows, graph.select("pattern").distinct()), "places")
-    found = trusted(graph, places, rounds).select(F.col("instance").alias("is"), F.col("kind").alias("as"))
+    found = trusted(graph, places).select(F.col("instance").alias("is"), F.col("kind").alias("as"))
     more = (spread.where("kind < 0").join(found, F.col("instance") == F.col("is"))
             .groupBy("row").agg(F.collect_set(F.struct("start", F.col("as").alias("kind"), "end")).alias("more"))
             .withColumnRenamed("row", "of"))
