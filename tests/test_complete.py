@@ -1,6 +1,7 @@
 """Findings and masks stay whole, however many hits a text has."""
 
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -162,3 +163,18 @@ def test_merge_and_running_values_match_python(spark):
     got = df.select(S.col(merge(S.ref("s"))).alias("m"), S.col(before(S.transform(S.ref("s"), lambda x: x["start"]), 0, total)).alias("b")).collect()
     assert [tuple(x) for x in got[0].m] == want and got[1].m == [] and got[2].m is None
     assert got[0].b == [sum(x[0] for x in spans[:i]) for i in range(len(spans))] and got[1].b == []
+
+
+def test_a_delivered_batch_is_computed_once(spark, tmp_path):
+    from warden.plans.stream_queries import audited_twice
+    from warden.sources import audit_lake
+
+    drawn = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    calls = spark.createDataFrame([(i, "codex", "s") for i in range(20)], "call_id long, agent string, session_id string")
+    text = ("capability", "effect", "category", "severity", "policy_layer", "sink")
+    batch = calls.withColumns({c: F.lit("x") for c in text} | {
+        "kind": F.lit("pre"), "ts": F.lit("2024-01-01").cast("timestamp"), "rule_id": drawn()})
+    audited_twice(str(tmp_path))(batch, 0)
+    shown = [{r[0] for r in audit_lake.read_committed(spark, str(tmp_path), name).select("rule_id").collect()}
+             for name in ("calls", "rules")]
+    assert len(shown[0]) == 20 and shown[0] == shown[1]

@@ -132,6 +132,21 @@ def st7(spark, folder):
         events, [F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1], lambda s: live_taint.stream(call_events(s))))
 
 
+def audited_twice(path: str):
+    """A writer of micro-batches that delivers each twice. The stateful part of a batch runs once: its records are kept
+    until all outputs are written."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        records = audit_lake.pre_records(batch.where("kind = 'pre'")).persist()
+        try:
+            outputs = {"calls": records, "rules": records.groupBy("rule_id").count()}
+            audit_lake.commit_batch(outputs, path, "calls", batch_id)
+            audit_lake.commit_batch(outputs, path, "calls", batch_id)
+        finally:
+            records.unpersist()
+
+    return write
+
+
 @query("st5_audit_sink", f"""
 with {taint_queries.FLAGS} select 'sha256:' || sha256(cast(call_id as varchar)) as call, 'sha256:' || sha256(session_id) as session,
   agent, capability, 4 as schema, 'pre_tool_use' as event, 'enforce' as mode, effect as decision, rule_id, sink,
@@ -141,13 +156,7 @@ from e where touches or sink is not null""")
 def st5(spark, folder):
     """Audit rows of live calls, every batch delivered twice; rows and a count per rule are outputs of one commit."""
     path = os.path.join(session.checkpoint_dir(spark), f"audit-{uuid.uuid4().hex}")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        records = audit_lake.pre_records(batch.where("kind = 'pre'"))
-        outputs = {"calls": records, "rules": records.groupBy("rule_id").count()}
-        audit_lake.commit_batch(outputs, path, "calls", batch_id)
-        audit_lake.commit_batch(outputs, path, "calls", batch_id)
-
+    write = audited_twice(path)
     events = session.table(spark, folder, "events")
     feed, state = os.path.join(path, "feed"), os.path.join(path, "state")
     for part in by_time("2024-01-03", "2024-01-15"):
