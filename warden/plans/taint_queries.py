@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from warden import session
 from warden.functions import sql as S
 from warden.operators import commands, replay, taint
 from warden.plans.derived import CALLS, COMMANDS, CONFIGURED_TABLES, SHOWN, SQL_TEXTS, calls, golden, sql
@@ -65,11 +66,18 @@ def tainted_calls(spark, folder):
 
 
 def decided(log):
-    return replay.decide(commands.with_call_decision(log, "by_command", TABLES), RuleSet(), "by_command")
+    """Calls with their decision. What they show and where they send becomes a generated row before: a filter on it is
+    asked ahead of the decision, and computes nothing a second time."""
+    flow = ("sink", "source_categories")
+    ready = log.select(*[c for c in log.columns if c not in flow], F.inline(F.array(F.struct(*flow))))
+    return replay.decide(commands.with_call_decision(ready, "by_command", TABLES), RuleSet(), "by_command")
 
 
 def enforced(spark, folder):
-    return taint.enforce(taint.prior(decided(tainted_calls(spark, folder))))
+    """Enforced decisions. Taint joins the calls with their own first moments, so what was decided is saved for both sides."""
+    rows = decided(tainted_calls(spark, folder)).select(
+        "call_id", "agent", "session_id", "ts", "seq", "source_categories", "sink", "effect", "rule_id")
+    return taint.enforce(taint.prior(session.saved(rows, "decided")))
 
 
 @query("slice0_exfiltration", f"""
