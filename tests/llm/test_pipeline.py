@@ -75,6 +75,23 @@ def test_near_copies_against_all_pairs(spark):
         assert reach[i] == reach[root]
 
 
+def test_every_link_at_the_threshold_is_found(spark):
+    """Pairs just above similarity 0.8: all of them are in one class, those just below in none."""
+    draw = random.Random(3)
+    texts = []
+    for _ in range(200):
+        base = [draw.choice("abcdefgh") + str(draw.randint(0, 900)) for _ in range(draw.randint(40, 120))]
+        texts.append(" ".join(base))
+        cut = draw.randint(len(base) // 8, len(base) // 5)
+        texts.append(" ".join(base[:-cut] + [f"new{draw.randint(0, 10 ** 6)}" for _ in range(draw.randint(0, 3))]))
+    own = [plain_shingles(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near.classes(docs).collect()}
+    alike = [similarity(own[i], own[i + 1]) >= 0.8 for i in range(0, len(own), 2)]
+    assert 50 < sum(alike) < 190
+    assert [got[i] == got[i + 1] for i in range(0, len(own), 2)] == alike
+
+
 @pytest.mark.parametrize("chunk", [2048, 2])
 def test_crowded_buckets(spark, monkeypatch, chunk):
     """One text with many near copies, and unrelated texts that share a long passage: chunks change nothing."""

@@ -5,10 +5,15 @@ of a few min-wise samples of them. Two texts of similarity s have the same sampl
 `SAMPLES` fingerprints agrees nearly always. All go through the same index (`gray.links`); texts whose fingerprints are
 linked are a bucket. In a bucket a text is compared by a sketch with the texts that stand for the bucket so far, never all
 with all; what looks alike is confirmed by the exact similarity of the shingle sets, and confirmed links make the classes.
+
+What fingerprints and sketches miss comes from an exact pass (`missed`): two texts of similarity s share a shingle among the
+first of each in any one order of all shingles, so texts of different classes that do are compared as well. The order puts
+frequent shingles last; frequencies come from a sample, which decides only how much is compared, never what is found.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,9 @@ SKETCH = 64
 LOOKS_ALIKE = 0.65
 #: Texts of a bucket that one task row by row compares with its centres; larger buckets are dealt in chunks.
 CHUNK = 2048
+#: Texts whose shingles are counted for the order, and frequent shingles that it knows at most.
+ORDER_TEXTS = 5000
+ORDER_SHINGLES = 200_000
 _DRAW = np.random.default_rng(20).integers(0, 1 << 63, SAMPLES + SKETCH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -61,21 +69,55 @@ def facts(found: np.ndarray) -> tuple[np.ndarray, bytes]:
     return np.unique(np.array(prints, np.uint64)), (sketch >> np.uint64(20) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def prefix(found: np.ndarray, order: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """The first shingles of a text, in the order: any text of similarity `similar` has one of them among its own."""
+    n = len(found)
+    take = min(n, n - math.ceil(similar * n - 1e-9) + 1)
+    common_ones, counts = order
+    rank = np.zeros(n, np.int64)
+    if len(common_ones):
+        at = np.minimum(np.searchsorted(common_ones, found), len(common_ones) - 1)
+        rank = np.where(common_ones[at] == found, counts[at], 0)
+    return found[np.lexsort((found, rank))[:take]]
+
+
+def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), sorted by shingle, of the most frequent shingles in a sample of the texts."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingles(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64))], ["shingle"])
+
+    every = max(1, docs.count() // ORDER_TEXTS)
+    some = docs.select(common.text_bytes(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    rows = common.map_arrow(some, work, "shingle long").groupBy("shingle").count().where("count > 1").orderBy(
+        F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas()
+    known, counts = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    by = np.argsort(known)
+    return known[by], counts[by]
+
+
 def _version(text: str):
     return F.unhex(F.sha2(common.text_bytes(text), 256))
 
 
-def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, version, fps, sketch) of every row; version is the text's digest."""
+def sketched(docs: DataFrame, doc_id: str, text: str, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, version, fps, sketch, size, prefix) of every row; version is the text's digest, size its shingles."""
+    order = frequent(docs, text)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [facts(shingles(t)) for t in batch.column(2).to_pylist()]
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            made = [facts(found) for found in sets]
+            lists = lambda values: pa.array([v.view(np.int64) for v in values], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([m[0].view(np.int64) for m in made], pa.list_(pa.int64())),
-                 pa.array([m[1] for m in made], pa.binary())], ["doc_id", "version", "fps", "sketch"])
+                [batch.column(0), batch.column(1), lists([m[0] for m in made]), pa.array([m[1] for m in made], pa.binary()),
+                 pa.array([len(found) for found in sets], pa.int32()), lists([prefix(found, order, similar) for found in sets])],
+                ["doc_id", "version", "fps", "sketch", "size", "prefix"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _version(text).alias("version"), common.text_bytes(text).alias("text")).where("doc_id is not null")
-    return common.map_arrow(rows, work, "doc_id long, version binary, fps array<long>, sketch binary")
+    return common.map_arrow(rows, work, "doc_id long, version binary, fps array<long>, sketch binary, size int, prefix array<long>")
 
 
 def _alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -180,17 +222,40 @@ def confirmed(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, similar
     return met.where(shared >= F.lit(similar) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def missed(placed: DataFrame, similar: float) -> DataFrame:
+    """(a, b): texts of different classes that may have the similarity; none that has it is left out.
+
+    `placed` has a row (rep, root, size, prefix) per text. Members of one class never meet, however many they are: a shingle
+    first tells which classes share it, and only their members are joined. Sizes and places in the order bound what two texts
+    can have in common.
+    """
+    filed = placed.select("rep", "root", "size", F.posexplode("prefix").alias("at", "shingle"))
+    shared = common.saved(filed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                          .where("low <> high").select(F.col("shingle").alias("id")), "shared-shingles")
+    some = common.saved(_only(filed, "shingle", shared, "named").where("named").join(
+        shared, F.col("shingle") == F.col("id"), "left_semi").select("shingle", "root", "rep", "size", "at"), "shared-prefixes")
+    kinds = some.select("shingle", "root").distinct()
+    met = kinds.join(kinds.withColumnRenamed("root", "other"), "shingle").where("root < other")
+    pairs = met.join(some, ["shingle", "root"]).join(
+        some.select("shingle", F.col("root").alias("other"), F.col("rep").alias("rep2"), F.col("size").alias("size2"),
+                    F.col("at").alias("at2")), ["shingle", "other"])
+    least = (F.col("size") + F.col("size2")) * F.lit(similar / (1 + similar)) - 1e-6
+    return pairs.where(F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) >= least).select(
+        F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(doc_id, version, component_id) of every row with an id: the smallest id of its class of near-duplicates.
 
-    Texts are linked from a similarity of `similar` of their sets of lower-cased five-word shingles on; links are found
-    with the chance stated at SAMPLES, and every link is confirmed on the texts. Equal texts are always one class. Null
+    Texts are linked from a similarity of `similar` of their sets of lower-cased five-word shingles on; every class is that
+    of all such links, and every link is confirmed on the texts. Equal texts are always one class. Null
     texts count as empty. Rows with a null id are left out; repeated rows give repeated rows; two texts under one id are
     rows of their own, told apart by version, the text's digest. An empty table gives no rows. Other columns are not read.
     """
-    rows = common.saved(sketched(docs, doc_id, text), "sketches")
-    texts = common.saved(rows.groupBy("version").agg(F.min(F.struct("doc_id", "fps", "sketch")).alias("m")).select(
-        "version", F.col("m.doc_id").alias("rep"), "m.fps", "m.sketch"), "distinct-texts")
+    rows = common.saved(sketched(docs, doc_id, text, similar), "sketches")
+    texts = common.saved(rows.groupBy("version").agg(F.min(F.struct("doc_id", "fps", "sketch", "size", "prefix")).alias("m"))
+                         .select("version", F.col("m.doc_id").alias("rep"), "m.fps", "m.sketch", "m.size", "m.prefix"),
+                         "distinct-texts")
     filed = texts.select(F.explode("fps").alias("fp"), "rep", "sketch")
     nodes = common.saved(filed.select("fp").distinct().withColumn("rep", F.col("fp")), "nodes")
     roots = gray.components(gray.links(nodes))
@@ -198,8 +263,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
         F.coalesce("root", "fp").alias("bucket"), "rep", "sketch").distinct()
     found = candidates(common.saved(members, "bucket-members")).where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    linked = confirmed(docs, common.saved(found, "alike"), doc_id, text, similar)
+    linked = common.saved(confirmed(docs, common.saved(found, "alike"), doc_id, text, similar), "confirmed")
     roots = gray.components(linked)
+    placed = texts.join(roots, texts["rep"] == roots["node"], "left").select(
+        "rep", F.coalesce("root", "rep").alias("root"), "size", "prefix")
+    more = common.saved(confirmed(docs, common.saved(missed(placed, similar), "maybe"), doc_id, text, similar), "found-late")
+    roots = gray.components(linked.unionByName(more))
     top = texts.join(roots, texts["rep"] == roots["node"], "left").select(
         "version", F.coalesce("root", "rep").alias("component_id"))
     return rows.select("doc_id", "version").join(top, "version").select("doc_id", "version", "component_id")
