@@ -84,6 +84,22 @@ def test_frame_statuses_follow_the_rule(spark):
     assert got == _brute_statuses(rows, 30)
 
 
+def test_plain_runs_by_columns_equal_the_automaton(spark):
+    """All columns, over many time buckets and their edges; the automaton sees the few runs that need it."""
+    import random
+    rnd = random.Random(8)
+    rows, sec = [], 0
+    for seq in range(6000):
+        sec += rnd.choice([0, 0, 1, 5, 29, 30, 31, 40, 1900])
+        rows.append((rnd.choice(["a", "b", None]), rnd.choice(["1", "2", None]), sec, seq,
+                     rnd.choice(["request", "request", "reply", "reply", "cancel", "other"])))
+    log = _frames(spark, rows + rows[:50])
+    show = lambda df: sorted(map(str, df.select(
+        "session_id", "id", "seq", "kind", "_at", "status", "request_seq", "latency_us", "expires").collect()))
+    assert show(frames.paired(log, 30)) == show(frames._by_automaton(log, 30))
+    assert frames._placed(log, 30_000_000).where("not _plain").count() < 0.2 * len(rows)
+
+
 def test_first_request_is_answered_and_requests_expire(spark):
     rows = [("s", "1", 0, 1, "request"), ("s", "1", 5, 2, "request"), ("s", "1", 10, 3, "reply")]
     pairs = frames.pair(_frames(spark, rows), 30).collect()

@@ -162,6 +162,53 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
         [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)], names=[*FRAME, *OUTCOME])
 
 
+def _by_automaton(frames: DataFrame, timeout_seconds: int) -> DataFrame:
+    """``paired`` for any frames: one ordered pass over each run."""
+    ready = runs(frames, timeout_seconds).select(
+        F.col("_id.session_id").cast("string").alias("session_id"), F.col("_id.id").cast("string").alias("id"),
+        F.col("seq").cast("bigint").alias("seq"), "kind", "_at",
+        F.col("_run._at").alias("_run_at"), F.col("_run.seq").cast("bigint").alias("_run_seq"))
+    run = [*KEY, "_run_at", "_run_seq"]
+    return ready.repartition(*run).sortWithinPartitions(*run, "_at", "seq", "kind").mapInArrow(
+        _statuses(timeout_seconds * 1_000_000),
+        "session_id string, id string, seq bigint, kind string, _at bigint, "
+        "status string, request_seq bigint, latency_us bigint, expires bigint")
+
+
+def _placed(frames: DataFrame, limit: int) -> DataFrame:
+    """Frames with their run inside a time bucket, what its first request met there, and whether that is all of it.
+
+    Only a run that touches a bucket's edge may go on beyond it; one whose frames all come within the timeout of its first
+    request has no second one accepted. Such runs are ``_plain`` once neither edge is near.
+    """
+    wide = limit * BUCKET_TIMEOUTS
+    rows = (frames.select(*KEY, "seq", "kind", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+            .withColumn("_bucket", F.floor(F.col("_at") / F.lit(wide))))
+    order = Window.partitionBy(*KEY, "_bucket").orderBy("_at", "seq", "kind")
+    far = F.col("_at") - F.col("_bucket") * wide >= limit
+    marked = (
+        rows.withColumn("_n", F.row_number().over(order)).withColumn("_prev", F.lag(F.struct("kind", "_at")).over(order))
+        .withColumn("_begins", F.coalesce(F.when(F.col("_prev").isNull(), far).otherwise(
+            F.coalesce(F.col("_prev.kind") == "reply", F.lit(False)) | (F.col("_at") - F.col("_prev._at") >= limit)), F.lit(False)))
+        # Run 0 began before the bucket, or may have.
+        .withColumn("_run", F.sum(F.col("_begins").cast("long")).over(
+            order.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    run = Window.partitionBy(*KEY, "_bucket", "_run").orderBy("_n")
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_ = lambda kind: F.col("kind") == kind
+    spot = F.struct("_n", "_at", "seq")
+    met = (
+        marked.withColumn("_asked", F.count(F.when(is_("request"), 1)).over(
+            run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("_first", F.min(F.when(is_("request"), spot)).over(whole))
+        .withColumn("_reply", F.max(is_("reply")).over(whole))
+        .withColumn("_last", F.max("_at").over(whole))
+        .withColumn("_off", F.min(F.when(is_("cancel") & (F.col("_asked") > 0), spot)).over(whole)))
+    closed = F.coalesce("_reply", F.lit(False)) | (F.col("_last") + limit <= (F.col("_bucket") + 1) * wide)
+    one = F.col("_first").isNull() | (F.col("_last") - F.col("_first._at") < limit)
+    return met.withColumn("_plain", F.coalesce((F.col("_run") > 0) & closed & one, F.lit(False)))
+
+
 def paired(frames: DataFrame, timeout_seconds: int = 30) -> DataFrame:
     """Status of every request, reply and cancellation.
 
@@ -170,19 +217,29 @@ def paired(frames: DataFrame, timeout_seconds: int = 30) -> DataFrame:
     timeout ago. Others are duplicates and change nothing. A reply answers the accepted
     request; after a cancellation it is dropped. ``expires`` (microseconds) is set for
     accepted requests that no reply ended. Null ids form an id of their own; any other
-    kind is passed on as "other". The rule is a small automaton, which needs one ordered
-    pass over each run; a task holds one open request, never a run.
+    kind is passed on as "other". Runs with one accepted request, nearly all, are decided by
+    columns; the rest need an automaton and an ordered pass over each run, in which a task
+    holds one open request, never a run.
     """
-    ready = runs(frames, timeout_seconds).select(
-        F.col("_id.session_id").cast("string").alias("session_id"), F.col("_id.id").cast("string").alias("id"),
-        F.col("seq").cast("bigint").alias("seq"), "kind", "_at",
-        F.col("_run._at").alias("_run_at"), F.col("_run.seq").cast("bigint").alias("_run_seq"))
-    run = [*KEY, "_run_at", "_run_seq"]
-    judged = ready.repartition(*run).sortWithinPartitions(*run, "_at", "seq", "kind").mapInArrow(
-        _statuses(timeout_seconds * 1_000_000),
-        "session_id string, id string, seq bigint, kind string, _at bigint, "
-        "status string, request_seq bigint, latency_us bigint, expires bigint")
-    return judged.withColumn("ts", F.timestamp_micros("_at"))
+    limit = timeout_seconds * 1_000_000
+    found = _placed(frames, limit)
+    kind, first, off = F.col("kind"), F.col("_first"), F.col("_off")
+    accepted, answered = F.col("_n") == first["_n"], F.coalesce("_reply", F.lit(False))
+    status = (
+        F.when(kind == "request", F.when(~accepted, "duplicate").when(off.isNotNull(), "cancelled").when(
+            answered, "answered").otherwise("unanswered"))
+        .when(kind == "cancel", F.when(F.col("_n") == off["_n"], "cancelled").otherwise("unknown_cancel"))
+        .when(kind == "reply", F.when(first.isNull(), "orphan").when(off.isNull(), "answered").otherwise("dropped"))
+        .otherwise("other"))
+    settles = (kind == "reply") & first.isNotNull() & off.isNull()
+    plain = found.where("_plain").select(
+        F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("string").alias("id"),
+        F.col("seq").cast("bigint").alias("seq"), "kind", "_at", status.alias("status"),
+        F.when(settles | (kind == "cancel") & (F.col("_n") == off["_n"]), first["seq"]).cast("bigint").alias("request_seq"),
+        F.when(settles, F.col("_at") - first["_at"]).alias("latency_us"),
+        F.when((kind == "request") & accepted & ~answered, F.coalesce(off["_at"], F.col("_at")) + limit).alias("expires"))
+    rest = _by_automaton(found.where("not _plain").select(*KEY, "ts", "seq", "kind"), timeout_seconds)
+    return plain.unionByName(rest).withColumn("ts", F.timestamp_micros("_at"))
 
 
 def pair(frames: DataFrame, timeout_seconds: int = 30) -> DataFrame:
