@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -111,3 +112,26 @@ def test_near_copies_of_awkward_rows(spark, awkward):
     assert left.columns == awkward.columns
     ids = [r.doc_id for r in left.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 5, 7, 8, 9] and ids.count(None) == 2
+
+
+def test_pairs_that_only_share_passages_are_not_made_into_sets(spark):
+    """Parities of any two sizes never rule out a pair at the threshold, and rule out nearly all that share less."""
+    draw = np.random.default_rng(5)
+    sets = []
+    for n in [1, 3, 40, 63, 64, 65, 300, 1000, 4000] * 12:
+        base = draw.integers(0, 2 ** 64, n, np.uint64)
+        sets.append(np.unique(base))
+        for share in (0.97, 0.8, 0.78, 0.3):
+            own = base[:max(1, round(n * share))]
+            sets.append(np.unique(np.r_[own, draw.integers(0, 2 ** 64, draw.integers(0, 3), np.uint64)]))
+    texts = spark.createDataFrame([(i, len(s), bytearray(near.parity(s))) for i, s in enumerate(sets)],
+                                  "rep long, size int, parity binary")
+    alike = {}
+    for i in range(0, len(sets), 5):
+        for j in (*range(i + 1, i + 5), *range(i + 5, min(i + 50, len(sets)))):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            alike[j, i] = shared / (len(sets[i]) + len(sets[j]) - shared)
+    pairs = spark.createDataFrame(list(alike), "a long, b long")
+    kept = {tuple(r) for r in near.possible(pairs, texts, 0.8).collect()}
+    assert {p for p, s in alike.items() if s >= 0.8} <= kept
+    assert sum(alike[p] < 0.7 for p in kept) <= 0.01 * len(alike)

@@ -8,7 +8,9 @@ with all; what looks alike is confirmed by the exact similarity of the shingle s
 
 What fingerprints and sketches miss comes from an exact pass (`missed`): two texts of similarity s share a shingle among the
 first of each in any one order of all shingles, so texts of different classes that do are compared as well. The order puts
-frequent shingles last; frequencies come from a sample, which decides only how much is compared, never what is found.
+frequent shingles last; frequencies come from a sample, which decides only how much is compared, never what is found. Most
+of these pairs share a passage and no more. Parity bits of the shingle sets bound from below how much two sets differ, so
+pairs that cannot have the similarity go before any set is made or shuffled (`possible`).
 """
 
 from __future__ import annotations
@@ -81,6 +83,21 @@ def prefix(found: np.ndarray, order: tuple[np.ndarray, np.ndarray], similar: flo
     return found[np.lexsort((found, rank))[:take]]
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Whether each slot holds an odd number of a set's shingles; two to four slots a shingle, a power of two, 64 at least."""
+    slots = 1 << max(6, (2 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1,
+                       bitorder="little").tobytes()
+
+
+def _differing(one: bytes, other: bytes) -> int:
+    """Slots in which two parities differ, the larger folded to the smaller: at most the shingles that one set alone has."""
+    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, counts), sorted by shingle, of the most frequent shingles in a sample of the texts."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +120,7 @@ def _version(text: str):
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, version, fps, sketch, size, prefix) of every row; version is the text's digest, size its shingles."""
+    """(doc_id, version, fps, sketch, size, parity, prefix) of every row; version is the text's digest, size its shingles."""
     order = frequent(docs, text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +130,13 @@ def sketched(docs: DataFrame, doc_id: str, text: str, similar: float = SIMILAR)
             lists = lambda values: pa.array([v.view(np.int64) for v in values], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), lists([m[0] for m in made]), pa.array([m[1] for m in made], pa.binary()),
-                 pa.array([len(found) for found in sets], pa.int32()), lists([prefix(found, order, similar) for found in sets])],
-                ["doc_id", "version", "fps", "sketch", "size", "prefix"])
+                 pa.array([len(found) for found in sets], pa.int32()), pa.array(map(parity, sets), pa.binary()),
+                 lists([prefix(found, order, similar) for found in sets])],
+                ["doc_id", "version", "fps", "sketch", "size", "parity", "prefix"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _version(text).alias("version"), common.text_bytes(text).alias("text")).where("doc_id is not null")
-    return common.map_arrow(rows, work, "doc_id long, version binary, fps array<long>, sketch binary, size int, prefix array<long>")
+    return common.map_arrow(rows, work, "doc_id long, version binary, fps array<long>, sketch binary, size int, parity binary, "
+                                  "prefix array<long>")
 
 
 def _alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -244,6 +263,24 @@ def missed(placed: DataFrame, similar: float) -> DataFrame:
         F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
 
 
+def possible(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) that may have the similarity by what the parities of `texts` (rep, size, parity) tell; one that has
+    it always stays."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            n, m = np.asarray(batch.column(4)), np.asarray(batch.column(5))
+            apart = np.maximum(np.fromiter(map(_differing, x, y), np.int64, len(x)), np.abs(n - m))
+            most = (n + m) * ((1 - similar) / (1 + similar)) + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+
+    facts_of = lambda side: texts.select(
+        F.col("rep").alias(side), F.col("parity").alias(f"{side}_parity"), F.col("size").cast("long").alias(f"{side}_size"))
+    met = pairs.join(facts_of("a"), "a").join(facts_of("b"), "b").select(
+        "a", "b", "a_parity", "b_parity", "a_size", "b_size")
+    return common.map_arrow(met, work, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(doc_id, version, component_id) of every row with an id: the smallest id of its class of near-duplicates.
 
@@ -253,8 +290,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     rows of their own, told apart by version, the text's digest. An empty table gives no rows. Other columns are not read.
     """
     rows = common.saved(sketched(docs, doc_id, text, similar), "sketches")
-    texts = common.saved(rows.groupBy("version").agg(F.min(F.struct("doc_id", "fps", "sketch", "size", "prefix")).alias("m"))
-                         .select("version", F.col("m.doc_id").alias("rep"), "m.fps", "m.sketch", "m.size", "m.prefix"),
+    texts = common.saved(rows.groupBy("version").agg(F.min(F.struct("doc_id", "fps", "sketch", "size", "parity", "prefix")).alias("m"))
+                         .select("version", F.col("m.doc_id").alias("rep"), "m.fps", "m.sketch", "m.size", "m.parity", "m.prefix"),
                          "distinct-texts")
     filed = texts.select(F.explode("fps").alias("fp"), "rep", "sketch")
     nodes = common.saved(filed.select("fp").distinct().withColumn("rep", F.col("fp")), "nodes")
@@ -267,7 +304,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     roots = gray.components(linked)
     placed = texts.join(roots, texts["rep"] == roots["node"], "left").select(
         "rep", F.coalesce("root", "rep").alias("root"), "size", "prefix")
-    more = common.saved(confirmed(docs, common.saved(missed(placed, similar), "maybe"), doc_id, text, similar), "found-late")
+    maybe = common.saved(missed(placed, similar), "maybe")
+    maybe = common.saved(possible(maybe, texts, similar), "possible")
+    more = common.saved(confirmed(docs, maybe, doc_id, text, similar), "found-late")
     roots = gray.components(linked.unionByName(more))
     top = texts.join(roots, texts["rep"] == roots["node"], "left").select(
         "version", F.coalesce("root", "rep").alias("component_id"))
