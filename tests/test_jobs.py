@@ -290,6 +290,57 @@ def test_live_pairs_equal_the_batch(spark):
     assert sorted(map(str, live.where("kind <> 'other'").select(*columns).collect())) == want
 
 
+def test_a_call_of_the_live_pairs_serves_many_ids():
+    """Frames of 300 ids come in blocks of one share: a call a micro-batch, one state value and one timer, not one per id."""
+    import random
+
+    import pyarrow as pa
+
+    draw, micro, limit = random.Random(8), 1_000_000, 30_000_000
+    log = sorted((draw.randint(0, 900) * micro, n, draw.choice(["request", "request", "reply", "cancel"]),
+                  draw.choice(["a", None]), draw.choice([None, *map(str, range(150))])) for n in range(4000))
+
+    class Held:
+        value, timers, calls = None, set(), 0
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value, self.calls = value, self.calls + 1
+
+        def clear(self):
+            self.value = None
+
+        registerTimer, deleteTimer = (lambda self, at: self.timers.add(at)), (lambda self, at: self.timers.remove(at))
+
+    held, out = Held(), []
+    pending = live_frames.Pending(limit)
+    pending._state = pending._handle = held
+    opened = lambda found: [row for batch in live_frames._opened([pa.RecordBatch.from_pydict({"block": [r.block]}) for r in found])
+                            for row in map(tuple, (r.values() for r in batch.to_pylist()))]
+    for part in (log[:1500], log[1500:]):
+        draw.shuffle(part)
+        batches = [pa.RecordBatch.from_pylist([
+            {"share": 0, "ts": at, "session_id": session, "id": name, "seq": seq, "kind": kind, "_at": at}
+            for at, seq, kind, session, name in part[a:a + 700]]) for a in range(0, len(part), 700)]
+        packs = [live_frames.Row(**r) for batch in live_frames._packed(batches) for r in batch.to_pylist()]
+        assert len(packs) == 1
+        out += opened(pending.handleInputRows((0,), iter(packs), None))
+        assert len(held.timers) == 1
+    first = held.timers.pop()
+    expired = type("Expired", (), {"getExpiryTimeInMs": lambda self: first})()
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 10 ** 9})()
+    out += opened(pending.handleExpiredTimer((0,), now, expired))
+    assert held.value is None and not held.timers and held.calls == 2
+    want = []
+    for name in {r[3:] for r in log}:
+        slot = live_frames.Slot(limit)
+        for at, seq, kind, *_ in (r for r in log if r[3:] == name):
+            want += slot.take((*name, seq, kind, at))
+        want += slot.expired()
+    assert sorted(map(str, out)) == sorted(map(str, want))
+
+
 def test_findings_do_not_shuffle(spark):
     df = spark.createDataFrame([(1, "a@b.co")], "id int, text string")
     plan = scan.findings(df, "text", "id")._jdf.queryExecution().executedPlan().toString()
