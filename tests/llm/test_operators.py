@@ -528,3 +528,15 @@ def test_awkward_rows(spark, awkward, labels, tmp_path):
 def test_empty_tables(spark, nothing, labels, tmp_path):
     assert {n: d.count() for n, d in applied(spark, nothing, labels, tmp_path / "ids").items()} == dict.fromkeys(
         ("quality", "pieces", "templates", "near", "tokens", "lines", "ngrams", "tiff", "toxic", "personal"), 0)
+
+
+def test_parts_of_many_texts_stay_known():
+    """A corpus has several hundred thousand different parts; those met stay known, and each is worked out once."""
+    known = pieces.Pieces(queries.vocabulary("piece_bpe_32k.model"))
+    parts = [f"{n:x}" for n in range(300_000)]
+    made = []
+    known.part.function = lambda part: made.append(part) or (b"", 0.0, True)
+    for _ in range(2):
+        for a in range(0, len(parts), 1000):
+            known.encode(" ".join(parts[a:a + 1000]))
+    assert len(made) == len(parts)

@@ -8,7 +8,9 @@ piece covers become byte pieces. Scores are those of the vocabulary file.
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,6 +24,8 @@ from warden.llm import common
 SPACE = "▁"
 #: What an uncovered character costs beyond the least likely piece.
 UNKNOWN_PENALTY = 10.0
+#: Parts that a worker remembers.
+KNOWN_PARTS = 500_000
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -33,6 +37,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_of: list[bytes] = []
+        self.size_of: dict[int, int] = {}
         self.byte_id: dict[int, int] = {}
         self.unknown = model.unk_id()
         self.automaton = ahocorasick.Automaton()
@@ -49,47 +54,50 @@ class Pieces:
                     raise ValueError(f"piece {i} goes over a space")
                 self.bytes_of.append(piece.encode())
                 self.automaton.add_word(piece, (i, len(piece), model.get_score(i)))
+                self.size_of[i] = len(piece)
                 worst = min(worst, model.get_score(i))
         self.automaton.make_automaton()
         self.unknown_score = worst - UNKNOWN_PENALTY
-        self.part = common.Cache(self.best)
+        self.part = common.Cache(self.best, KNOWN_PARTS)
 
     def best(self, part: str) -> tuple[bytes, float, bool]:
         """Ids (little-endian 32 bits each) and score of the best path, and whether the ids stand for the part's own
         bytes; ties go to the path whose last piece is longer."""
-        n = len(part)
-        score = [0.0] + [None] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        n, unknown = len(part), self.unknown_score
+        score = [0.0] + [-math.inf] * n
+        back = [-1] * (n + 1)  # the piece that ends here on the best path; -1 is a character that no piece covers
         at = 0  # positions up to here are settled: a character that no piece covers costs the penalty
-
-        def settle(upto):
-            nonlocal at
-            while at < upto:
-                at += 1
-                through = score[at - 1] + self.unknown_score
-                if score[at] is None or through > score[at]:
-                    score[at], back[at] = through, (at - 1, -1)
-
         for end, (i, size, value) in self.automaton.iter(part):
-            settle(end)
-            total = score[end + 1 - size] + value
-            if score[end + 1] is None or total > score[end + 1]:
-                score[end + 1], back[end + 1] = total, (end + 1 - size, i)
-        settle(n)
+            while at < end:
+                through = score[at] + unknown
+                at += 1
+                if through > score[at]:
+                    score[at], back[at] = through, -1
+            end += 1
+            total = score[end - size] + value
+            if total > score[end]:
+                score[end], back[end] = total, i
+        while at < n:
+            through = score[at] + unknown
+            at += 1
+            if through > score[at]:
+                score[at], back[at] = through, -1
         ids: list[int] = []
-        end = n
+        end, sizes = n, self.size_of
         while end:
-            start, i = back[end]
+            i = back[end]
             if i >= 0:
                 ids.append(i)
-            elif self.byte_id:
-                ids.extend(self.byte_id[b] for b in reversed(part[start:end].encode("utf-8", "replace")))
+                end -= sizes[i]
+                continue
+            end -= 1
+            if self.byte_id:
+                ids.extend(self.byte_id[b] for b in reversed(part[end].encode("utf-8", "replace")))
             else:
                 ids.append(self.unknown)
-            end = start
         ids.reverse()
         back_again = b"".join([self.bytes_of[i] for i in ids]) == part.encode("utf-8", "replace")
-        return np.array(ids, "<u4").tobytes(), score[n], back_again
+        return struct.pack(f"<{len(ids)}I", *ids), score[n], back_again
 
     def _parts(self, text: str) -> list[tuple[bytes, float, bool]]:
         return list(map(self.part.__getitem__, _PARTS.findall(SPACE + text.replace(" ", SPACE)))) if text else []
