@@ -540,3 +540,17 @@ def test_parts_of_many_texts_stay_known():
         for a in range(0, len(parts), 1000):
             known.encode(" ".join(parts[a:a + 1000]))
     assert len(made) == len(parts)
+
+
+def test_phrases_are_counted_as_columns_of_word_numbers():
+    """A scan makes no text per phrase in Python: numbers of words come back, a column per place, with exact counts."""
+    from warden.llm import collocations
+
+    draw = np.random.default_rng(4)
+    words = [b"\xff", *(f"w{i}".encode() for i in range(1, 9))]
+    ids, everything = draw.integers(0, 9, 3000).astype(np.int32), np.full(1 << 12, 255, np.uint8)
+    hashes = draw.integers(0, 2 ** 63, 9).astype(np.uint64)
+    for order in (1, 2, 3, 4):
+        want = Counter(row for row in zip(*[ids[k:].tolist() for k in range(order)]) if 0 not in row)
+        columns, n = collocations._counts(ids, order, words, hashes, 7, everything)
+        assert len(columns) == order and Counter(dict(zip(zip(*[c.tolist() for c in columns]), n.tolist()))) == want

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -69,15 +70,16 @@ class _Numbers(dict):
 
 
 def _counts(ids: np.ndarray, order: int, words: list[bytes], hashes: np.ndarray, lang: int, frequent: np.ndarray | None):
-    """(phrases, counts) of `order` words in a row of word numbers."""
+    """(numbers of the words of phrases, a column per place; counts) of `order` words in a row of word numbers."""
     if order == 1:
-        n = np.bincount(ids, minlength=len(words))[1:]
-        found = np.flatnonzero(n)
-        return [words[i + 1] for i in found.tolist()], n[found]
+        n = np.bincount(ids, minlength=len(words))
+        found = np.flatnonzero(n[1:]) + 1
+        return [found], n[found]
     # Is the phrase of order - 1 words that begins here frequent, as far as the bitmap tells?
     size = len(ids) - order + 2
+    none = [np.zeros(0, np.int64)] * order, np.zeros(0, np.int64)
     if size < 2:
-        return [], np.zeros(0, np.int64)
+        return none
     rolled, whole = hashes[ids[:size]] + np.uint64(lang), ids[:size] > 0
     for k in range(1, order - 1):
         rolled = _longer(rolled, hashes[ids[k:k + size]])
@@ -86,15 +88,21 @@ def _counts(ids: np.ndarray, order: int, words: list[bytes], hashes: np.ndarray,
     whole &= (frequent[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) > 0
     at = np.flatnonzero(whole[:-1] & whole[1:])
     if not len(at):
-        return [], np.zeros(0, np.int64)
-    code = ids[at].astype(np.int64)
+        return none
+    code, shorter = ids[at].astype(np.int64), []
     for k in range(1, order):
         if k > 1:
-            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            found, code = np.unique(code, return_inverse=True)
+            shorter.append(found)
         code = code * len(words) + ids[at + k]
-    _, first, n = np.unique(code, return_index=True, return_counts=True)
-    columns = [ids[at[first] + k].tolist() for k in range(order)]
-    return [b" ".join([words[i] for i in row]) for row in zip(*columns)], n
+    found, n = np.unique(code, return_counts=True)
+    # A code is the place of the phrase without its last word, then that word.
+    columns = [found % len(words)]
+    place = found // len(words)
+    for codes in reversed(shorter):
+        columns.append(codes[place] % len(words))
+        place = codes[place] // len(words)
+    return [place, *reversed(columns)], n
 
 
 def counted(rows: DataFrame, order: int, frequent=None) -> DataFrame:
@@ -107,10 +115,12 @@ def counted(rows: DataFrame, order: int, frequent=None) -> DataFrame:
         def flush():
             words = list(numbers)
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            texts = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
             for lang, parts in held.items():
-                phrases, n = _counts(np.concatenate(parts), order, words, hashes, xxhash.xxh64_intdigest(lang), bitmap)
-                for a in range(0, len(phrases), 1 << 16):
-                    some = pa.array(phrases[a:a + (1 << 16)], pa.binary()).cast(pa.string())
+                places, n = _counts(np.concatenate(parts), order, words, hashes, xxhash.xxh64_intdigest(lang), bitmap)
+                for a in range(0, len(n), 1 << 16):
+                    parts_of = [texts.take(pa.array(p[a:a + (1 << 16)])) for p in places]
+                    some = pc.binary_join_element_wise(*parts_of, " ") if order > 1 else parts_of[0]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang.decode()] * len(some), pa.string()), some, pa.array(n[a:a + (1 << 16)], pa.int64())],
                         ["lang", "phrase", "n"])
