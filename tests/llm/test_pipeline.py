@@ -135,3 +135,54 @@ def test_pairs_that_only_share_passages_are_not_made_into_sets(spark):
     kept = {tuple(r) for r in near.possible(pairs, texts, 0.8).collect()}
     assert {p for p, s in alike.items() if s >= 0.8} <= kept
     assert sum(alike[p] < 0.7 for p in kept) <= 0.01 * len(alike)
+
+
+def test_shared_passages_are_known_to_the_order_of_a_large_table(spark, monkeypatch):
+    """A passage's share of the texts decides, not how many texts there are; exact passes then meet on other shingles."""
+    monkeypatch.setattr(near, "ORDER_TEXTS", 20)
+    passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(10)]
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i} " + (passages[i % 10] if i < 400 else f"g{i} h{i}"))
+                                  for i in range(2000)], "doc_id long, text string")
+    known, counts = near.frequent(docs, "text")
+    want = np.concatenate([near.shingles(p.encode()) for p in passages])
+    assert np.isin(want, known).all()
+    assert (np.diff(known.astype(object)) > 0).all() and (counts > 1).all()
+
+
+def test_the_order_keeps_to_its_room(spark, monkeypatch):
+    monkeypatch.setattr(near, "ORDER_SHINGLES", 9)
+    docs = spark.createDataFrame([(i, f"u{i} " + "one two three four five six seven eight " * (i < 6) + "v w x y z a b c")
+                                  for i in range(9)], "doc_id long, text string")
+    known, counts = near.frequent(docs, "text")
+    assert set(near.shingles(b"v w x y z a b c").tolist()) <= set(known.tolist()) and len(known) <= 9
+
+
+@pytest.mark.parametrize("similar", [0.5, 0.8])
+def test_no_pair_at_the_threshold_is_missed(spark, similar):
+    """Sets of sizes around every level, of equal frequency and shared, each a class of its own or with others."""
+    random = np.random.default_rng(11)
+    sets = []
+    for n in list(range(1, 26)) + [40, 50, 64, 80, 100, 125]:
+        base = np.unique(random.integers(1, 1 << 60, n).astype(np.uint64))
+        sets.append(base)
+        sets.append(base[:max(1, int(np.ceil(similar * len(base))))])
+        sets.append(np.unique(np.r_[base, random.integers(1, 1 << 60, max(0, int(len(base) / similar) - len(base))).astype(np.uint64)]))
+    roots = [i if i % 5 else i - i % 2 for i in range(len(sets))]
+    order = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = [(i, roots[i], len(s), near.prefix(s, order, similar).view(np.int64).tolist()) for i, s in enumerate(sets)]
+    placed = spark.createDataFrame(rows, "rep long, root long, size int, prefix array<long>")
+    alike = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i])
+             if roots[i] != roots[j] and len(np.intersect1d(x, y)) >= similar * len(np.union1d(x, y)) - 1e-9}
+    found = {tuple(r) for r in near.missed(placed, similar).collect()}
+    assert len(alike) > 40 and alike <= found
+
+
+def test_texts_of_far_apart_sizes_do_not_meet(spark):
+    """One shingle in many texts gives join rows for those only that sizes and places allow."""
+    rows = [(i, i, 10 + 3 * i, [7, 1000 + i]) for i in range(300)]
+    placed = spark.createDataFrame(rows, "rep long, root long, size int, prefix array<long>")
+    pairs = near.missed(placed, 0.8)
+    want = {(j, i) for i, _, n, _ in rows for j, _, m, _ in rows if i < j and n >= 0.8 * m - 1e-6}
+    assert {tuple(r) for r in pairs.collect()} == want
+    joined = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert any("meets" in line and "other_level" in line for line in joined)

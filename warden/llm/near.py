@@ -8,8 +8,8 @@ with all; what looks alike is confirmed by the exact similarity of the shingle s
 
 What fingerprints and sketches miss comes from an exact pass (`missed`): two texts of similarity s share a shingle among the
 first of each in any one order of all shingles, so texts of different classes that do are compared as well. The order puts
-frequent shingles last; frequencies come from a sample, which decides only how much is compared, never what is found. Most
-of these pairs share a passage and no more. Parity bits of the shingle sets bound from below how much two sets differ, so
+frequent shingles last; frequencies come from a share of the texts, which decides only how much is compared, never what is
+found. Most of these pairs share a passage and no more. Parity bits of the shingle sets bound from below how much two sets differ, so
 pairs that cannot have the similarity go before any set is made or shuffled (`possible`).
 """
 
@@ -35,9 +35,10 @@ SKETCH = 64
 LOOKS_ALIKE = 0.65
 #: Texts of a bucket that one task row by row compares with its centres; larger buckets are dealt in chunks.
 CHUNK = 2048
-#: Texts whose shingles are counted for the order, and frequent shingles that it knows at most.
+#: One text in this many has its shingles counted for the order (all of a small table), which knows so many at most.
+ORDER_EVERY = 4
 ORDER_TEXTS = 5000
-ORDER_SHINGLES = 200_000
+ORDER_SHINGLES = 1_000_000
 _DRAW = np.random.default_rng(20).integers(0, 1 << 63, SAMPLES + SKETCH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -99,18 +100,29 @@ def _differing(one: bytes, other: bytes) -> int:
 
 
 def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts), sorted by shingle, of the most frequent shingles in a sample of the texts."""
+    """(shingles, counts), sorted by shingle, of the most frequent shingles in a share of the texts.
+
+    The share does not shrink as the table grows, so a shingle that the order does not know is in few texts, however many
+    there are, as long as the order's room lasts; beyond it the less frequent ones go.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64))], ["shingle"])
 
-    every = max(1, docs.count() // ORDER_TEXTS)
+    every = max(1, min(ORDER_EVERY, docs.count() // ORDER_TEXTS))
     some = docs.select(common.text_bytes(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
-    rows = common.map_arrow(some, work, "shingle long").groupBy("shingle").count().where("count > 1").orderBy(
-        F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas()
-    known, counts = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    rows = common.saved(common.map_arrow(some, work, "shingle long").groupBy("shingle").agg(
+        F.count("*").cast("int").alias("n")).where("n > 1"), "shingle-counts")
+    room, least = ORDER_SHINGLES, 2
+    for n, shingles_of in sorted((tuple(r) for r in rows.groupBy("n").count().collect()), reverse=True):
+        room -= shingles_of
+        if room < 0:
+            least = n + 1
+            break
+    rows = rows.where(F.col("n") >= least).toArrow()
+    known, counts = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     by = np.argsort(known)
     return known[by], counts[by]
 
@@ -246,20 +258,34 @@ def missed(placed: DataFrame, similar: float) -> DataFrame:
 
     `placed` has a row (rep, root, size, prefix) per text. Members of one class never meet, however many they are: a shingle
     first tells which classes share it, and only their members are joined. Sizes and places in the order bound what two texts
-    can have in common.
+    can have in common; a class is asked by the bounds of its members first, and meets only classes of its own level of size
+    or the next, since texts of the similarity are never further apart.
     """
-    filed = placed.select("rep", "root", "size", F.posexplode("prefix").alias("at", "shingle"))
+    level = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1 / similar) + 1e-9)).cast("int")
+    filed = placed.select("rep", "root", "size", level.alias("level"), F.posexplode("prefix").alias("at", "shingle"))
     shared = common.saved(filed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
                           .where("low <> high").select(F.col("shingle").alias("id")), "shared-shingles")
     some = common.saved(_only(filed, "shingle", shared, "named").where("named").join(
-        shared, F.col("shingle") == F.col("id"), "left_semi").select("shingle", "root", "rep", "size", "at"), "shared-prefixes")
-    kinds = some.select("shingle", "root").distinct()
-    met = kinds.join(kinds.withColumnRenamed("root", "other"), "shingle").where("root < other")
-    pairs = met.join(some, ["shingle", "root"]).join(
-        some.select("shingle", F.col("root").alias("other"), F.col("rep").alias("rep2"), F.col("size").alias("size2"),
-                    F.col("at").alias("at2")), ["shingle", "other"])
-    least = (F.col("size") + F.col("size2")) * F.lit(similar / (1 + similar)) - 1e-6
-    return pairs.where(F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) >= least).select(
+        shared, F.col("shingle") == F.col("id"), "left_semi").select("shingle", "root", "level", "rep", "size", "at"),
+        "shared-prefixes")
+    spot, other_spot = ["shingle", "root", "level"], ["shingle", "other", "other_level"]
+    kinds = some.groupBy(*spot).agg(F.min("size").alias("low"), F.max("size").alias("high"),
+                                    F.max(F.col("size") - F.col("at")).alias("left"))
+    others = kinds.withColumnsRenamed({"root": "other", "level": "other_level", "low": "low2", "high": "high2", "left": "left2"})
+    share = F.lit(similar / (1 + similar))
+
+    def may(size, high, left, size2, high2, left2):
+        return ((F.least(left, left2) >= (F.col(size) + F.col(size2)) * share - 1e-6)
+                & (F.col(high2) >= F.col(size) * F.lit(similar) - 1e-6) & (F.col(high) >= F.col(size2) * F.lit(similar) - 1e-6))
+
+    up = kinds.withColumn("meets", F.explode(F.array("level", F.col("level") + 1)))
+    met = up.join(others, (up["shingle"] == others["shingle"]) & (up["meets"] == others["other_level"])
+                  & ((F.col("level") < F.col("other_level")) & (F.col("root") != F.col("other")) | (F.col("root") < F.col("other")))
+                  & may("low", "high", F.col("left"), "low2", "high2", F.col("left2"))).select(
+        up["shingle"], "root", "level", "other", "other_level")
+    pairs = met.join(some, spot).join(some.withColumnsRenamed(
+        {"root": "other", "level": "other_level", "rep": "rep2", "size": "size2", "at": "at2"}), other_spot)
+    return pairs.where(may("size", "size", F.col("size") - F.col("at"), "size2", "size2", F.col("size2") - F.col("at2"))).select(
         F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
 
 
