@@ -36,7 +36,7 @@ LOOKS_ALIKE = 0.65
 #: Texts of a bucket that one task row by row compares with its centres; larger buckets are dealt in chunks.
 CHUNK = 2048
 #: One text in this many has its shingles counted for the order (all of a small table), which knows so many at most.
-ORDER_EVERY = 4
+ORDER_EVERY = 8
 ORDER_TEXTS = 5000
 ORDER_SHINGLES = 1_000_000
 _DRAW = np.random.default_rng(20).integers(0, 1 << 63, SAMPLES + SKETCH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
