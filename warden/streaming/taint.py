@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from warden.operators.taint import KEY, enforce, first_seen, order_key, prior
+from warden.streaming.ordering import in_order
 from warden.vocab import CATEGORIES, MAX_SOURCES
 
 OUTPUT = (
@@ -25,15 +26,23 @@ OUTPUT = (
 CARRIED = ("capability", "category", "severity", "policy_layer")
 _ROW = Row(*[part.split()[0] for part in OUTPUT.split(", ")])
 _STATE = "categories array<string>, sources array<string>, created timestamp, updated timestamp"
-#: Events of one session and micro-batch that are put in order together; more of them come chunk by chunk.
+#: Events of one session and micro-batch that are put in order in memory; more of them go through sorted runs on disk.
 ORDERED = 50_000
 
 
+def _place(event: Row) -> tuple:
+    return event["ts"], event["seq"]
+
+
+def _runs(rows: Iterator[Row]) -> Iterator[list[Row]]:
+    while part := sorted(islice(rows, ORDERED), key=_place):
+        yield part
+
+
 class SessionTaint(StatefulProcessor):
     """Emits every event with what its session had touched before; taint has no expiry.
 
-    The rows of a session are an iterator that is worked off chunk by chunk, so a session that holds most of a
-    micro-batch takes the memory of one chunk.
+    The events of a session and micro-batch come in order, however many there are; ``ORDERED`` of them are in memory.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -45,17 +54,15 @@ class SessionTaint(StatefulProcessor):
         sources = list(old[1]) if old else []
         created, updated = (old[2], old[3]) if old else (None, None)
         before, changed = [c for c in CATEGORIES if c in known], False
-        while part := list(islice(rows, ORDERED)):
-            part.sort(key=lambda e: (e["ts"], e["seq"]))
-            for e in part:
-                yield _ROW(key[0], key[1], e["call_id"], e["kind"], e["ts"], e["seq"], e["effect"], e["rule_id"], e["sink"],
-                           before, len(sources), *[e[c] for c in CARRIED])
-                if e["source_categories"]:
-                    known.update(e["source_categories"])
-                    before, changed = [c for c in CATEGORIES if c in known], True
-                    created, updated = created or e["ts"], e["ts"]
-                    if e["source"] not in sources:
-                        sources = [*sources, e["source"]][-MAX_SOURCES:]
+        for e in in_order(_runs(rows), _place, ORDERED):
+            yield _ROW(key[0], key[1], e["call_id"], e["kind"], e["ts"], e["seq"], e["effect"], e["rule_id"], e["sink"],
+                       before, len(sources), *[e[c] for c in CARRIED])
+            if e["source_categories"]:
+                known.update(e["source_categories"])
+                before, changed = [c for c in CATEGORIES if c in known], True
+                created, updated = created or e["ts"], e["ts"]
+                if e["source"] not in sources:
+                    sources = [*sources, e["source"]][-MAX_SOURCES:]
         if changed:
             self._state.update((before, sources, created, updated))
 
