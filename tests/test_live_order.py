@@ -69,3 +69,13 @@ def test_st1_a_session_beyond_the_room_is_in_order(monkeypatch):
     want = prior_of(events)
     assert {r.call_id: r.prior for r in got} == want and [r.call_id for r in got] == [e.call_id for e in events]
     assert got == shown and small == state
+
+
+def test_st2_results_taint_what_comes_after_them(monkeypatch):
+    """Calls hold nothing themselves; a result, an event after its call, taints the rest of a large session only."""
+    calls = [EVENT(str(i), "pre", i, 2 * i, [], None, "outbound_http", "allow", "none", *["x"] * 4) for i in range(900)]
+    results = [EVENT(str(i), "post", i, 2 * i + 1, ["personal_data"], "personal.email", None, "allow", "recorded", *[None] * 4)
+               for i in (400, 700)]
+    monkeypatch.setattr(live_taint, "ORDERED", 100)
+    got, _ = taints([[*results, *calls[::-1]]])
+    assert {int(r.call_id) for r in got if r.kind == "pre" and r.prior} == set(range(401, 900))
