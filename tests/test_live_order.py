@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import Row, functions as F
 
 from warden.streaming import ordering, taint as live_taint
@@ -79,3 +78,14 @@ def test_st2_results_taint_what_comes_after_them(monkeypatch):
     monkeypatch.setattr(live_taint, "ORDERED", 100)
     got, _ = taints([[*results, *calls[::-1]]])
     assert {int(r.call_id) for r in got if r.kind == "pre" and r.prior} == set(range(401, 900))
+
+
+def test_st7_late_calls_of_a_large_session_are_in_order(monkeypatch):
+    """Even events come first, odd ones late; each half is more than is ordered in memory."""
+    events = session_events(3000, random.Random(5))
+    early, late = events[::2], events[1::2]
+    monkeypatch.setattr(live_taint, "ORDERED", 100)
+    got, _ = taints([early[::-1], late[::-1]])
+    known = {c for e in early for c in e.source_categories}
+    want = prior_of(early) | {k: [c for c in CATEGORIES if c in known or c in v] for k, v in prior_of(late).items()}
+    assert {r.call_id: r.prior for r in got} == want
