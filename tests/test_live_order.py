@@ -89,3 +89,27 @@ def test_st7_late_calls_of_a_large_session_are_in_order(monkeypatch):
     known = {c for e in early for c in e.source_categories}
     want = prior_of(early) | {k: [c for c in CATEGORIES if c in known or c in v] for k, v in prior_of(late).items()}
     assert {r.call_id: r.prior for r in got} == want
+
+
+def test_st5_audited_rows_of_a_large_session(spark, tmp_path):
+    """One micro-batch of 52,000 calls of a session, the last ones first; only the last thousand are tainted."""
+    from warden.plans.stream_queries import audited_twice
+    from warden.sources import audit_lake
+
+    n, text = 52_000, ("capability", "category", "severity", "policy_layer")
+    late = F.col("id") >= n - 1001
+    events = spark.range(n - 1, -1, -1, 1).select(
+        F.lit("codex").alias("agent"), F.lit("s").alias("session_id"), F.col("id").cast("string").alias("call_id"),
+        F.lit("pre").alias("kind"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"),
+        F.when(late, F.array(F.lit("credential"))).otherwise(F.expr("cast(array() as array<string>)")).alias("source_categories"),
+        F.when(late, F.lit("drupal.secret.env")).alias("source"), F.lit("outbound_http").alias("sink"),
+        F.lit("allow").alias("effect"), F.lit("none").alias("rule_id"), *[F.lit("x").alias(c) for c in text])
+    feed, path = str(tmp_path / "feed"), str(tmp_path / "audit")
+    events.write.parquet(feed)
+    stream = live_taint.stream(spark.readStream.schema(events.schema).parquet(feed))
+    (stream.writeStream.foreachBatch(audited_twice(path)).option("checkpointLocation", str(tmp_path / "state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    rows = audit_lake.read_committed(spark, path, "calls").select(
+        F.col("timestamp_unix_ms") / 1000, F.size("sensitivity_categories") > 0, "enforcement_decision").collect()
+    assert len(rows) == n and {int(r[0]) for r in rows if r[1]} == set(range(n - 1000, n))
+    assert all((r[2] == "deny") == r[1] for r in rows)
