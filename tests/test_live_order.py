@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import Row, functions as F
 
-from warden.streaming import ordering, taint as live_taint
+from warden.streaming import frames as live_frames, ordering, taint as live_taint
 from warden.vocab import CATEGORIES
 
 EVENT = Row("call_id", "kind", "ts", "seq", "source_categories", "source", "sink", "effect", "rule_id", *live_taint.CARRIED)
@@ -113,3 +114,52 @@ def test_st5_audited_rows_of_a_large_session(spark, tmp_path):
         F.col("timestamp_unix_ms") / 1000, F.size("sensitivity_categories") > 0, "enforcement_decision").collect()
     assert len(rows) == n and {int(r[0]) for r in rows if r[1]} == set(range(n - 1000, n))
     assert all((r[2] == "deny") == r[1] for r in rows)
+
+
+FRAMES = pa.schema([("share", pa.int32()), ("ts", pa.timestamp("us", "UTC")), ("session_id", pa.string()), ("id", pa.string()),
+                    ("_at", pa.int64()), ("seq", pa.int64()), ("kind", pa.string())])
+
+
+def packs(rows, size):
+    """Blocks of frames (share, at, seq, kind, session, id) that came ``size`` a task."""
+    for a in range(0, len(rows), size):
+        batch = pa.RecordBatch.from_pylist([
+            {"share": share, "ts": at, "session_id": session, "id": name, "_at": at, "seq": seq, "kind": kind}
+            for share, at, seq, kind, session, name in rows[a:a + size]], FRAMES)
+        for out in live_frames._packed(iter([batch])):
+            yield from (live_frames.Row(**r) for r in out.to_pylist())
+
+
+def test_st4_blocks_hold_the_frames_of_their_share():
+    draw = random.Random(1)
+    for n in [5, 50, 300, 1000, 3000] * 12:
+        shares = [draw.randrange(512) for _ in range(n)]
+        rows = [(share, draw.randrange(10 ** 15), share, "request", "s", str(i)) for i, share in enumerate(shares)]
+        held = {}
+        for pack in packs(rows, n):
+            block = pa.ipc.read_record_batch(pa.py_buffer(pack["block"]), live_frames._FRAME)
+            assert set(block["seq"].to_pylist()) == {pack["share"]}
+            assert int(pack["ts"].timestamp() * 1e6 + 0.5) - max(block["_at"].to_pylist()) in (-1, 0, 1)
+            held[pack["share"]] = block.num_rows
+        assert sum(held.values()) == n and set(held) == set(shares)
+
+
+def test_st4_frames_beyond_the_room_are_in_order(monkeypatch):
+    """A share with many more frames than are ordered in memory, null ids and places among them, the last ones first."""
+    draw, limit = random.Random(3), 30_000_000
+    rows = [(0, draw.randint(0, 2000) * 1_000_000, draw.choice([n, n, n, None]), draw.choice(["request", "request", "reply", "cancel"]),
+             draw.choice(["a", None]), draw.choice([None, *map(str, range(40))])) for n in range(6000)]
+    rows.sort(key=lambda r: (r[1], r[2] is not None, r[2], r[3]), reverse=True)
+    monkeypatch.setattr(live_frames, "ORDERED", 250)
+    pending, out = live_frames.Pending(limit), []
+    pending._state = pending._handle = held = Value()
+    held.registerTimer = held.deleteTimer = lambda at: None
+    for row in pending.handleInputRows((0,), packs(rows, 100), None):
+        out += (tuple(r.values()) for r in pa.ipc.read_record_batch(pa.py_buffer(row.block), live_frames._SETTLED).to_pylist())
+    want, open_ = [], 0
+    for name in {r[4:] for r in rows}:
+        slot = live_frames.Slot(limit)
+        for _, at, seq, kind, *_ in (r for r in rows[::-1] if r[4:] == name):
+            want += slot.take((*name, seq, kind, at))
+        open_ += slot.accepted is not None
+    assert sorted(map(str, out)) == sorted(map(str, want)) and len(held.value[1]) == open_ > 0

@@ -7,16 +7,21 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from warden.operators.frames import KEY, Slot
+from warden.streaming.ordering import in_order
 
 #: Ids are dealt to so many shares by default; a share is what one call of the processor sees and one state value.
 SHARES = 512
-#: Frames that a task packs before it hands them on, and frames of a share and micro-batch that are put in order together.
+#: Frames that a task packs before it hands them on, and frames of a share and micro-batch that are put in order in memory;
+#: more of them go through sorted runs on disk.
 PACKED = 1_000_000
 ORDERED = 500_000
+#: Settled frames of a block.
+BLOCK = 10_000
 _OUT = (("session_id", "string"), ("id", "string"), ("seq", "bigint"), ("kind", "string"), ("_at", "bigint"), ("status", "string"),
         ("request_seq", "bigint"), ("latency_us", "bigint"), ("expires", "bigint"))
 OUTPUT = ", ".join(f"{name} {kind}" for name, kind in _OUT)
@@ -33,7 +38,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).sort_by("share").combine_chunks()
         share, frames = table["share"].to_numpy(), table.select(_FRAME.names).to_batches()[0]
         starts = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
-        last = table.group_by("share", use_threads=False).aggregate([("ts", "max")])
+        # Groups come in no order of their own.
+        last = table.group_by("share", use_threads=False).aggregate([("ts", "max")]).sort_by("share")
         blocks = [frames.slice(a, b - a).serialize().to_pybytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(share)])]
         return pa.RecordBatch.from_arrays([last["share"].combine_chunks(), last["ts_max"].combine_chunks(),
                                            pa.array(blocks, pa.binary())], ["share", "ts", "block"])
@@ -57,6 +63,30 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.ipc.read_record_batch(pa.py_buffer(block), _SETTLED)
 
 
+_ORDER = ("_at", "seq", "kind")
+
+
+def _place(frame: tuple) -> tuple:
+    """Where a frame (_at, seq, kind, ...) stands; null comes first."""
+    return tuple((part is not None, part) for part in frame[:3])
+
+
+def _runs(rows: Iterator[Row]) -> Iterator[list[tuple]]:
+    """Frames of blocks as lists in order, of ``ORDERED`` at least but for the last."""
+    held, size, more = [], 0, True
+    while more:
+        if pack := next(rows, None):
+            held.append(pa.ipc.read_record_batch(pa.py_buffer(pack["block"]), _FRAME))
+            size += held[-1].num_rows
+        else:
+            more = False
+        if held and (size >= ORDERED or not more):
+            table = pa.Table.from_batches(held).select([*_ORDER, *KEY])
+            table = table.take(pc.sort_indices(table, [(c, "ascending") for c in _ORDER], null_placement="at_start"))
+            yield list(zip(*[c.to_pylist() for c in table.columns]))
+            held, size = [], 0
+
+
 class Pending(StatefulProcessor):
     """A share of the ids: holds their accepted requests, and one timer for the moment at which the first expires."""
 
@@ -89,31 +119,19 @@ class Pending(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         slots, timer = self._load()
-        more = True
-        while more:
-            by_id: dict[tuple, list[tuple]] = {}
-            size = 0
-            for pack in rows:
-                block = pa.ipc.read_record_batch(pa.py_buffer(pack["block"]), _FRAME)
-                session, id_, *frame = [c.to_pylist() for c in block.columns]
-                for name, part in zip(zip(session, id_), zip(*frame)):
-                    by_id.setdefault(name, []).append(part)
-                size += block.num_rows
-                if size >= ORDERED:
-                    break
-            else:
-                more = False
-            out = []
-            for name, frames in by_id.items():
-                frames.sort()
-                slot = slots.get(name)
-                if slot is None:
-                    slot = slots[name] = Slot(self._limit)
-                for at, seq, kind in frames:
-                    out += slot.take((*name, seq, kind, at))
-                if not slot.accepted:
-                    del slots[name]
-            yield from _rows(out)
+        out = []
+        for at, seq, kind, session, id_ in in_order(_runs(rows), _place, ORDERED):
+            name = session, id_
+            slot = slots.get(name)
+            if slot is None:
+                slot = slots[name] = Slot(self._limit)
+            out += slot.take((session, id_, seq, kind, at))
+            if not slot.accepted:
+                del slots[name]
+            if len(out) >= BLOCK:
+                yield from _rows(out)
+                out = []
+        yield from _rows(out)
         self._keep(slots, timer)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
@@ -136,8 +154,8 @@ def _due(slot: Slot) -> int:
 
 def _rows(found: list[tuple]) -> Iterator[Row]:
     """Settled frames as Arrow blocks of some thousands."""
-    for a in range(0, len(found), 10_000):
-        columns = [pa.array(values, kind) for values, kind in zip(zip(*found[a:a + 10_000]), _SETTLED.types)]
+    for a in range(0, len(found), BLOCK):
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*found[a:a + BLOCK]), _SETTLED.types)]
         yield _BLOCK(pa.RecordBatch.from_arrays(columns, schema=_SETTLED).serialize().to_pybytes())
 
 
@@ -147,8 +165,8 @@ def paired(frames: DataFrame, timeout_seconds: int = 30, delay: str = "10 second
     ``frames`` has session_id, id, ts (a timestamp), seq and kind. The state is one open request per (session_id, id). Ids
     are dealt to ``shares``, which must stay the same for as long as a checkpoint is used: a call of the processor, its
     state and its timer then cost once per share and micro-batch, not once per id, and a busy session still spreads over
-    its ids. Frames of a share and micro-batch are taken in order, half a million at a time; a frame that comes in a later
-    one meets the state it finds. A request without a reply is given once the watermark, ``delay`` behind the latest frame,
+    its ids. Frames of a share and micro-batch are taken in order, however many there are; a frame that comes in a later
+    batch meets the state it finds. A request without a reply is given once the watermark, ``delay`` behind the latest frame,
     has passed its end. Null ids form an id of their own.
     """
     if timeout_seconds < 1:
